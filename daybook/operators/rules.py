@@ -18,6 +18,15 @@ from daybook.fixed_values import (
 from daybook.functions.text import contains_any, count_contained
 
 
+def _pieces(text: str, n: int) -> Column:
+    """Every substring of length ``n``."""
+    if n == 0:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    pieces = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
+    return F.when(F.length(text) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+
 def contained_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """Join every text with the terms that occur in it.
 
@@ -25,25 +34,10 @@ def contained_terms(texts: DataFrame, text: str, terms: DataFrame, term: str) ->
     have, once each, and these meet the terms in an ordinary join. Meant for short texts
     such as labels and merchants; pass distinct texts.
     """
-    lengths = sorted(r[0] for r in terms.select(F.length(term)).distinct().collect() if r[0] is not None)
-    pieces = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length(text) >= n,
-                        F.transform(
-                            F.sequence(F.lit(1), F.length(text) - (n - 1 if n else 0)),
-                            lambda i, n=n: F.substring(F.col(text), i, F.lit(n)),
-                        ),
-                    ).otherwise(F.array().cast("array<string>"))
-                    if n
-                    else F.array(F.lit(""))
-                    for n in lengths
-                ]
-            )
-        )
-    ) if lengths else F.array().cast("array<string>")
+    found = terms.select(F.length(term).alias("n")).filter("n is not null").distinct().collect()
+    pieces = F.array_distinct(F.flatten(F.array(*[_pieces(text, r["n"]) for r in found])))
+    if not found:
+        pieces = F.array().cast("array<string>")
     offered = texts.withColumn("_pieces", pieces).select(
         *texts.columns, F.explode_outer("_pieces").alias(term)
     )

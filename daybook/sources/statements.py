@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from daybook.fixed_values import HEADER_SCAN_LINES
 from daybook.schemas import BankProfile
 
-# Statements have a handful of columns; a line is read into this many cells.
-MAX_CELLS = 64
-
-
-def cells(line: Column, width: int = MAX_CELLS) -> Column:
-    """Cells of one CSV line, quotes honoured; missing cells are NULL."""
-    names = [f"c{i}" for i in range(width)]
-    parsed = F.from_csv(line, ", ".join(f"{n} string" for n in names))
-    return F.array(*[parsed[n] for n in names])
+# One cell behind its comma: quoted, with doubled quotes inside, or plain.
+CELL = r',("(?:[^"]|"")*"|[^,]*)'
+
+
+def cells(line: Column) -> Column:
+    """Cells of one CSV line, quotes honoured."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+    return F.transform(
+        found,
+        lambda c: F.when(
+            c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
+        ).otherwise(c),
+    )
 
 
 def signature(cell_array: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from daybook.operators.merge import KEY, insert_dedupe
 
@@ -16,8 +16,9 @@ from daybook.operators.merge import KEY, insert_dedupe
 def _earlier(df: DataFrame, path: str, schema: StructType, batch_id: int) -> DataFrame:
     """What batches before ``batch_id`` wrote."""
     spark = df.sparkSession
+    batch_field = StructField("batch", LongType())
     try:
-        table = spark.read.schema(schema.add("batch", "long")).parquet(path)
+        table = spark.read.schema(StructType([*schema.fields, batch_field])).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -37,7 +38,7 @@ def stream_insert_dedupe(
     key_schema = StructType([f for f in stream.schema.fields if f.name == key])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = _earlier(batch, path, StructType(list(key_schema.fields)), batch_id)
+        known = _earlier(batch, path, key_schema, batch_id)
         insert_dedupe(batch, known, order, key).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}"
         )
