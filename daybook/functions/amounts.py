@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 MONEY = "decimal(12,2)"
 
 
+def _signed(sign: Column, number: Column) -> Column:
+    """The number as it is without a sign, else its magnitude with that sign."""
+    pair = F.array(F.struct(sign.alias("s"), number.alias("n")))
+    return F.get(
+        F.transform(
+            pair,
+            lambda p: F.when(p["s"] < 0, -F.abs(p["n"]))
+            .when(p["s"] > 0, F.abs(p["n"]))
+            .otherwise(p["n"])
+            .cast(MONEY),
+        ),
+        F.lit(0),
+    )
+
+
 def parse_amount(text: Column, strict: bool = False) -> Column:
     """Signed amount of one cell: a ``Dr`` suffix makes it negative, ``Cr`` positive.
 
@@ -18,14 +33,11 @@ def parse_amount(text: Column, strict: bool = False) -> Column:
         digits = F.regexp_extract(F.regexp_replace(text, ",", ""), r"-?\d+(?:\.\d+)?", 0)
     else:
         digits = F.regexp_replace(text, "[^0-9.-]", "")
-    number = digits.try_cast(MONEY)
+    # The shape is tested first: a cast that fails costs a raised and swallowed error.
+    number = F.when(digits.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), digits.try_cast(MONEY))
     upper = F.upper(F.coalesce(text, F.lit("")))
-    return (
-        F.when(upper.rlike(r"DR\.?\s*$"), -F.abs(number))
-        .when(upper.rlike(r"CR\.?\s*$"), F.abs(number))
-        .otherwise(number)
-        .cast(MONEY)
-    )
+    sign = F.when(upper.rlike(r"DR\.?\s*$"), F.lit(-1)).when(upper.rlike(r"CR\.?\s*$"), F.lit(1))
+    return _signed(sign, number)
 
 
 def debit_credit(

@@ -107,9 +107,12 @@ def bm25_topk(
     if small:
         postings = postings.repartition("_doc")
 
+    # Counting through every column keeps this branch's shuffle equal to the scoring branch's,
+    # so that texts are tokenised and moved once.
+    whole = (F.col("tf") > 0) & (F.col("_len") > 0) & F.col("_doc").isNotNull()
     weights = (
         postings.groupBy("corpus", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count_if(whole).alias("df"))
         .join(stats, "corpus")
         .join(bounded(wanted), ["corpus", "term"])
         .select(

@@ -115,13 +115,16 @@ def apply_rule(looked_up: DataFrame, rules: DataFrame) -> DataFrame:
 
 def topic(text: Column, keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS, default: str = DEFAULT_TOPIC) -> Column:
     """Topic with the most keywords in the text; ties to the earlier one, default if none."""
-    lower = F.lower(text)
-    scores = [
-        F.struct(count_contained(lower, words).alias("n"), F.lit(-i).alias("p"), F.lit(name).alias("t"))
-        for i, (name, words) in enumerate(keywords.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["t"]).otherwise(F.lit(default))
+
+    def best(lower: Column) -> Column:
+        scores = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("p"), F.lit(default).alias("t"))]
+        for i, (name, words) in enumerate(keywords.items()):
+            n = count_contained(lower, words)
+            scores.append(F.struct(n.alias("n"), F.lit(-i).alias("p"), F.lit(name).alias("t")))
+        return F.array_max(F.array(*scores))["t"]
+
+    # The lambda binds the lowered text once for all keywords.
+    return F.get(F.transform(F.array(F.lower(text)), best), F.lit(0))
 
 
 def page_type(context: Column, best_for: Column | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daybook.functions.amounts import debit_credit, parse_amount
 from daybook.functions.dates import local_to_instant, parse_date
 from daybook.functions.keys import with_transaction_key
+from daybook.operators.columns import computed_once
 from daybook.operators.enrich import enrich
 from daybook.schemas import BankProfile, CategoryRule
 
@@ -58,14 +59,15 @@ def normalize_statement(
         F.trim("narration_text").alias("narration"),
         owner.alias("account"),
         *carried,
-    ).filter(
+    )
+    kept = computed_once(read).filter(
         F.col("_day").isNotNull()
         & F.col("amount").isNotNull()
         & (F.col("narration") != "")
         & ~F.lower("narration").rlike("(opening|closing) balance")
     )
     shaped = (
-        read.withColumn("ts", local_to_instant(F.col("_day"), tz))
+        kept.withColumn("ts", local_to_instant(F.col("_day"), tz))
         .withColumn("currency", F.lit(currency))
         .withColumn("source", F.lit("bank"))
         .drop("_day")

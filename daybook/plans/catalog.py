@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import amounts, dates, keys, text
 from daybook.operators import chat, enrich, merge, profiling, ranking, rules, spine, statement
+from daybook.operators.columns import computed_once
 from daybook.plans import analytics, recommend
 from daybook.schemas import VOCABULARY_COLUMNS
 from daybook.session import scratch_path
@@ -436,13 +437,13 @@ def categorize_rule_join(spark, d):
 
 @query
 def recategorize(spark, d):
-    stored = enrich.enrich(t.transactions(spark, d), t.OLD_RULES)
+    stored = computed_once(enrich.enrich(t.transactions(spark, d), t.OLD_RULES))
     return enrich.recategorize(stored, t.RULES).drop("currency", "source")
 
 
 @query
 def recategorize_delta(spark, d):
-    stored = enrich.enrich(t.transactions(spark, d), t.OLD_RULES)
+    stored = computed_once(enrich.enrich(t.transactions(spark, d), t.OLD_RULES))
     return enrich.recategorize_delta(stored, t.RULES).drop("currency", "source")
 
 
@@ -561,7 +562,7 @@ def scalar_nested(spark, d):
 @query
 def scalar_text(spark, d):
     body = F.col("text")
-    return t.table(spark, d, "documents").select(
+    return t.documents(spark, d).select(
         "doc_id",
         F.length(body).alias("n"),
         F.substring(body, 4, 2147483647).alias("rest"),
@@ -579,34 +580,34 @@ def scalar_text(spark, d):
 
 @query
 def term_frequencies(spark, d):
-    return ranking.term_frequencies(t.table(spark, d, "documents"))
+    return ranking.term_frequencies(t.documents(spark, d))
 
 
 @query
 def corpus_statistics(spark, d):
-    stats = ranking.corpus_stats(t.table(spark, d, "documents"), corpus="lang")
+    stats = ranking.corpus_stats(t.documents(spark, d), corpus="lang")
     return stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query
 def bm25_idf(spark, d):
-    return ranking.term_idf(t.table(spark, d, "documents")).withColumn("idf", F.round("idf", 6))
+    return ranking.term_idf(t.documents(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
 @query
 def bm25_topk(spark, d):
-    return ranking.bm25_topk(t.table(spark, d, "documents"), t.search_queries(spark, d)).drop("corpus")
+    return ranking.bm25_topk(t.documents(spark, d), t.search_queries(spark, d)).drop("corpus")
 
 
 @query
 def multi_corpus_topk(spark, d):
-    docs = t.table(spark, d, "documents").withColumn("corpus", F.col("lang"))
+    docs = t.documents(spark, d).withColumn("corpus", F.col("lang"))
     return ranking.bm25_topk(docs, t.search_queries(spark, d), {"en": 3, "fr": 2, "es": 2, "de": 1})
 
 
 @query
 def topic_detect(spark, d):
-    return t.table(spark, d, "documents").select("doc_id", rules.topic(F.col("text")).alias("topic"))
+    return t.documents(spark, d).select("doc_id", rules.topic(F.col("text")).alias("topic"))
 
 
 @query
@@ -639,7 +640,7 @@ def rule_apply(spark, d):
 
 @query
 def priority_rerank(spark, d):
-    docs = t.table(spark, d, "documents")
+    docs = t.documents(spark, d)
     hits = ranking.bm25_topk(docs, t.search_queries(spark, d))
     number = (F.col("query_id") % 20).cast("string")
     candidates = hits.join(docs, "doc_id").select(

@@ -410,7 +410,7 @@ ORACLE: dict[str, str] = {
     "recommend_batch": f"""WITH {bm25(CORPUS, '1')}, {SRC_RULES}, q AS (SELECT b.item_id AS query_id, b.text AS query_text, coalesce(d.source, 'General') AS category
         FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id AND h.corpus = 'product' LEFT JOIN dl d ON d.doc_id = h.doc_id),
       {tiers('q', 'category')}, ruled AS (SELECT q.*, r.* FROM q LEFT JOIN best ON item = lower(category) LEFT JOIN rules r ON r.rule_no = b.rule_no)
-      SELECT r.query_id, upper(query_text) AS project_name, category, coalesce(l.source, r.n_name, 'Hero + Features + CTA') AS pattern_name,
+      SELECT r.query_id, upper(replace(query_text, 'ß', 'ss')) AS project_name, category, coalesce(l.source, r.n_name, 'Hero + Features + CTA') AS pattern_name,
         coalesce('doc ' || l.doc_id, 'Hero > Features > CTA') AS pattern_sections, 'Minimalism' AS style_name, '' AS style_keywords,
         coalesce(c.source, '#2563EB') AS color_primary, coalesce('doc ' || c.doc_id, '') AS color_notes, coalesce(t.source, 'Inter') AS font_heading,
         coalesce(t.lang, CASE WHEN rule_no IS NULL THEN 'Clean' ELSE 'Plain' END) AS type_mood,

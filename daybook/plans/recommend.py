@@ -18,6 +18,7 @@ from daybook.fixed_values import (
 from daybook.functions.text import contains_any
 from daybook.operators.ranking import bm25_topk, rerank
 from daybook.operators.rules import apply_rule, page_type, tiered_lookup
+from daybook.session import materialize
 
 
 def _top(hits: DataFrame, corpus: str, columns: Mapping[str, str]) -> DataFrame:
@@ -28,8 +29,11 @@ def _top(hits: DataFrame, corpus: str, columns: Mapping[str, str]) -> DataFrame:
 
 
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits with the columns of their documents."""
-    return hits.join(docs.drop("text"), ["corpus", "doc_id"])
+    """Hits with the columns of their documents.
+
+    Written out, a few rows per query, because every part of a record reads them again.
+    """
+    return materialize(hits.join(docs.drop("text"), ["corpus", "doc_id"]), "hits")
 
 
 def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot does not compile methods above 8000 bytes: run those stages expression by
+    # expression instead of as one huge interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.keys import row_key
+from daybook.operators.columns import computed_once, spread
 from daybook.schemas import BankProfile, CategoryRule
 
 RULES = [
@@ -35,6 +36,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work that is costly per text."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def narration() -> Column:
     product = F.upper("p_name")
     order, supplier = F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")
@@ -51,7 +57,7 @@ def narration() -> Column:
 def sales(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the name of their part."""
     part = table(spark, folder, "part").select("p_partkey", "p_name")
-    items = table(spark, folder, "lineitem")
+    items = spread(table(spark, folder, "lineitem"), "l_orderkey")
     return items.join(part, items["l_partkey"] == part["p_partkey"])
 
 
@@ -85,7 +91,7 @@ def statement_rows(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" "), narration(), F.lit(" ")))
     )
     suffix = F.when(flag == "R", " Cr").otherwise(" Dr")
-    return sales(spark, folder).select(
+    rows = sales(spark, folder).select(
         "l_orderkey",
         "l_linenumber",
         F.when(F.col("l_linestatus") == "O", "open").otherwise("filed").alias("profile"),
@@ -96,6 +102,7 @@ def statement_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.when(flag != "R", price).alias("debit_text"),
         F.when(flag == "R", F.concat(F.lit("INR "), price)).alias("credit_text"),
     )
+    return computed_once(rows)
 
 
 def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,7 +357,7 @@ def corpus_documents(spark: SparkSession, folder: str, corpora: dict[str, str] |
     corpus = F.lit(None).cast("string")
     for lang, name in (corpora or LANGUAGE_CORPUS).items():
         corpus = F.when(F.col("lang") == lang, F.lit(name)).otherwise(corpus)
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         corpus.alias("corpus"),
         "doc_id",
         "text",
