@@ -7,13 +7,14 @@ document add up in the task that holds it and only the best few per query and ta
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import BM25_B, BM25_K1, RERANK_WEIGHTS, SEARCH_K
 from daybook.functions.text import token_count, tokens, with_term_counts
+from daybook.session import materialize
 
 # Query terms are copied to every task up to this many; more are joined by shuffle.
 MAX_BROADCAST_TERMS = 200_000
@@ -65,6 +66,36 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
     )
 
 
+def query_postings(
+    docs: DataFrame,
+    wanted: DataFrame,
+    corpora: list[str],
+    doc: str,
+    text: str,
+    bounded: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Written postings of the query terms: (corpus, _doc, doc_len, term, tf).
+
+    Every document also has one posting of the empty term, which carries its length into
+    the corpus statistics. Texts are read and tokenised once, here, without a shuffle.
+    """
+    spark = docs.sparkSession
+    marks = spark.createDataFrame([(c, "") for c in corpora], "corpus string, term string")
+    keep = wanted.select("corpus", "term").distinct().unionByName(marks)
+    counted = with_term_counts(docs, text).select(
+        "corpus",
+        F.col(doc).alias("_doc"),
+        F.aggregate("term_counts", F.lit(0), lambda n, x: n + x["tf"]).alias("doc_len"),
+        F.concat(
+            "term_counts", F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
+        ).alias("_t"),
+    )
+    found = counted.select("corpus", "_doc", "doc_len", F.inline_outer("_t")).join(
+        bounded(keep), ["corpus", "term"], "left_semi"
+    )
+    return materialize(found, "postings")
+
+
 def bm25_topk(
     docs: DataFrame,
     queries: DataFrame,
@@ -96,23 +127,20 @@ def bm25_topk(
     small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
     bounded = F.broadcast if small else (lambda df: df)
 
+    postings = query_postings(docs, wanted, list(per_corpus), doc, text, bounded)
     # One row per corpus named in ``per_corpus``.
-    stats = F.broadcast(corpus_stats(docs, text, "corpus"))
-    terms = wanted.select("corpus", "term").distinct()
-    postings = (
-        with_term_counts(docs.withColumn("_len", token_count(F.col(text))), text)
-        .select("corpus", F.col(doc).alias("_doc"), "_len", F.inline_outer("term_counts"))
-        .join(bounded(terms), ["corpus", "term"], "left_semi")
+    stats = F.broadcast(
+        postings.filter(F.col("term") == "")
+        .groupBy("corpus")
+        .agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            (F.sum("doc_len") / F.count(F.lit(1))).alias("avgdl"),
+        )
     )
-    if small:
-        postings = postings.repartition("_doc")
-
-    # Counting through every column keeps this branch's shuffle equal to the scoring branch's,
-    # so that texts are tokenised and moved once.
-    whole = (F.col("tf") > 0) & (F.col("_len") > 0) & F.col("_doc").isNotNull()
+    postings = postings.filter(F.col("term") != "")
     weights = (
         postings.groupBy("corpus", "term")
-        .agg(F.count_if(whole).alias("df"))
+        .agg(F.count(F.lit(1)).alias("df"))
         .join(stats, "corpus")
         .join(bounded(wanted), ["corpus", "term"])
         .select(
@@ -123,7 +151,10 @@ def bm25_topk(
             (F.col("mult") * idf(F.col("n_docs"), F.col("df"))).alias("_w"),
         )
     )
-    length_norm = k1 * (1 - b + b * F.col("_len") / F.col("avgdl"))
+    if small:
+        # With the weights copied to every task, scores add up where a document's postings are.
+        postings = postings.repartition("_doc")
+    length_norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
     gain = F.col("_w") * F.col("tf") * (k1 + 1) / (F.col("tf") + length_norm)
     scored = (
         postings.join(bounded(weights), ["corpus", "term"])
