@@ -337,7 +337,7 @@ def fuzzy_header_project(spark, d):
 
 @query
 def calendar_normalize(spark, d):
-    blocks = exports.calendar_blocks(t.calendar_texts(spark, d))
+    blocks = exports.calendar_blocks(t.calendar_lines(spark, d))
     return zoneless(exports.normalize_calendar(blocks).drop("event_no", "ts_end"), "ts_start")
 
 

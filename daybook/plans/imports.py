@@ -54,9 +54,7 @@ def music_jobs() -> list[Job]:
 
 
 def takeout_jobs(tz: str) -> list[Job]:
-    calendar = lambda spark, root: exports.calendar_blocks(
-        exports.read_calendar_text(spark, root)
-    )
+    calendar_lines = lambda spark, root: text_lines(spark, root, files.CALENDAR_GLOB)
     return [
         Job("takeout", "searches", files.SEARCH_GLOB, exports.read_searches,
             exports.normalize_searches, ("path", "ts"), "raw_searches"),
@@ -67,8 +65,8 @@ def takeout_jobs(tz: str) -> list[Job]:
         Job("takeout", "activities", "*.json", exports.read_sessions,
             lambda raw: exports.normalize_sessions(raw, tz), ("path", "ts_start"), "raw_sessions",
             "/All(?: |%20)Sessions/[^/]+$"),
-        Job("takeout", "calendar_events", files.CALENDAR_GLOB, calendar,
-            lambda raw: exports.normalize_calendar(raw, tz), ("path", "event_no"), "raw_calendar"),
+        Job("takeout", "calendar_events", files.CALENDAR_GLOB, calendar_lines,
+            lambda raw: exports.normalize_calendar(exports.calendar_blocks(raw), tz), ("path", "event_no"), "raw_calendar"),
     ]
 
 

@@ -329,7 +329,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN event_type <> 'view' THEN value END AS distance_m, CAST(NULL AS DOUBLE) AS calories,
         CAST(user_id AS DOUBLE) AS active_min, 'google_fit' AS source, sha256('google_fit|' || CAST(ts AS DATE)) AS dedupe_key
       FROM events WHERE event_type <> 'error'""",
-    "calendar_normalize": """SELECT event_id AS row_no, s AS ts_start, event_type || ' of, user ' || user_id AS title, event_type = 'signup' AS all_day,
+    "calendar_normalize": """SELECT user_id AS path, s AS ts_start, event_type || ' of, user ' || user_id AS title, event_type = 'signup' AS all_day,
         'google_calendar' AS source, CASE WHEN event_type <> 'view' THEN sha256('calendar|e' || event_id || '@x')
           ELSE sha256('calendar|' || strftime(s, '%Y-%m-%d %H:%M:%S') || '|' || event_type || ' of, user ' || user_id) END AS dedupe_key
       FROM (SELECT *, CASE WHEN event_type = 'signup' THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('second', ts) END AS s FROM events)""",

@@ -296,16 +296,14 @@ def dated_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def calendar_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """One calendar text per event, its summary folded over two lines."""
+def calendar_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One calendar per user in chunks of a thousand events, summaries folded over two lines."""
     stamp = F.regexp_replace(F.substring(F.col("ts").cast("string"), 1, 19), "[-:]", "")
     timed = F.concat(F.lit(":"), F.translate(stamp, " ", "T"), F.lit("Z"))
     dated = F.concat(F.lit(";VALUE=DATE:"), F.substring(stamp, 1, 8))
     uid = F.when(F.col("event_type") != "view", F.concat(F.lit("UID:e"), F.col("event_id").cast("string"), F.lit("@x")))
-    return table(spark, folder, "events").select(
-        F.col("event_id").alias("row_no"),
-        F.concat_ws(
-            "\r\n",
+    text = F.concat_ws(
+            "\n",
             F.lit("BEGIN:VCALENDAR"),
             F.lit("BEGIN:VEVENT"),
             F.concat(F.lit("DTSTART"), F.when(F.col("event_type") == "signup", dated).otherwise(timed)),
@@ -314,7 +312,12 @@ def calendar_texts(spark: SparkSession, folder: str) -> DataFrame:
             uid,
             F.lit("END:VEVENT"),
             F.lit("END:VCALENDAR"),
-        ).alias("text"),
+        )
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("path"),
+        F.floor(F.col("event_id") / 1000).alias("block"),
+        F.col("event_id").alias("line_id"),
+        F.posexplode(F.split(text, "\n")).alias("pos", "line"),
     )
 
 

@@ -1,0 +1,131 @@
+"""Import jobs on files: golden counts, a second run, a forced run."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from conftest import PROFILE, RULES, TZ
+
+from daybook.operators.spine import day_spine, flag_weeks, week_spine
+from daybook.plans import imports
+from daybook.plans.warehouse import read_ledger, read_table
+from daybook.sources import files
+
+
+def counts(metrics):
+    rows = metrics.collect()
+    return (
+        sum(r.rows_inserted for r in rows),
+        sum(r.rows_skipped for r in rows),
+        sum(r.files_skipped for r in rows),
+    )
+
+
+def test_music(spark, music, warehouse, zoned):
+    jobs = imports.music_jobs()
+    assert counts(imports.run_jobs(spark, jobs, music, warehouse)) == (7, 0, 0)
+    listens = read_table(spark, warehouse, "listens")
+    assert listens.filter("skipped is not null").count() == 3
+    zoned(TZ)
+    first = read_table(spark, warehouse, "listens").filter("ts > '2026-01-01'").orderBy("ts").selectExpr(
+        "date_format(ts, 'HH:mm') as t").first().t
+    assert first == "20:02"
+    zoned("UTC")
+    assert counts(imports.run_jobs(spark, jobs, music, warehouse)) == (0, 0, 2)
+    assert counts(imports.run_jobs(spark, jobs, music, warehouse, force=True)) == (0, 7, 0)
+    raw = spark.read.parquet(f"{warehouse}/raw_listens_extended/*")
+    assert raw.count() == 8  # four rows, staged twice; the trackless one is kept
+    ledger = {r.path.rsplit("/", 1)[1]: r.rows_inserted for r in read_ledger(spark, warehouse).collect()}
+    assert ledger == {"StreamingHistory_music_0.json": 0, "Streaming_History_Audio_2024_1.json": 0}
+
+
+def test_bank(spark, bank, warehouse):
+    job = imports.bank_job([PROFILE], RULES, TZ)
+    assert counts(imports.run_job(spark, job, bank, warehouse)) == (6, 0, 0)
+    rows = read_table(spark, warehouse, "transactions").orderBy("ts").collect()
+    assert [float(r.amount) for r in rows] == [-1240, -450, -2100, 85000, -3000, -5000]
+    assert [r.merchant for r in rows] == [
+        "NOODLE BAR", "CURRY HOUSE", "BOOKERY NORTH", "ACME SALARY", "CLIMB HALL", None]
+    assert [r.category for r in rows] == ["food", "food", "shopping", None, "fitness", "cash"]
+    assert {r.account for r in rows} == {"north_savings"}
+    assert rows[0].ts == dt.datetime(2026, 1, 31, 18, 30)
+    assert counts(imports.run_job(spark, job, bank, warehouse)) == (0, 0, 1)
+
+
+def test_chats(spark, chats, warehouse):
+    job = imports.chat_job("ASHA ", TZ)
+    assert counts(imports.run_job(spark, job, chats, warehouse)) == (9, 0, 0)
+    rows = read_table(spark, warehouse, "messages")
+    assert rows.filter("is_me").count() == 3
+    assert {r.chat for r in rows.collect()} == {"Mira", "Book Club"}
+    assert rows.filter("text = 'lovely view'").first().word_count == 2
+    assert rows.filter("text = 'sure at 7\nthe small hall'").count() == 1
+    assert rows.filter("is_media and text is null and word_count is null").count() == 2
+    assert rows.filter("text = 'chapter six?'").count() == 1
+    assert counts(imports.run_job(spark, job, chats, warehouse)) == (0, 0, 2)
+
+
+def test_takeout(spark, takeout, warehouse):
+    jobs = imports.takeout_jobs(TZ)
+    metrics = imports.run_jobs(spark, jobs, takeout, warehouse)
+    per_table = {r.table: r.rows_inserted for r in metrics.collect()}
+    assert per_table == {
+        "searches": 2, "youtube_watches": 3, "daily_metrics": 3, "activities": 2, "calendar_events": 3}
+    watches = read_table(spark, warehouse, "youtube_watches").orderBy("ts").collect()
+    assert (watches[0].title, watches[0].channel) == ("Shuffles in 100 Seconds", "Sparks")
+    assert watches[1].channel is None
+    day = read_table(spark, warehouse, "daily_metrics").filter("day = '2026-02-11'").first()
+    assert (day.steps, day.distance_m, day.calories, day.active_min) == (12050, 9530.8, 2540.9, 105.0)
+    done = read_table(spark, warehouse, "activities").orderBy("ts_start").collect()
+    assert [(r.activity_type, r.duration_min, r.calories) for r in done] == [
+        ("weightlifting", 65.0, 412.7), ("badminton", 60.0, 350.2)]
+    events = read_table(spark, warehouse, "calendar_events").orderBy("ts_start").collect()
+    assert [(r.title, r.all_day) for r in events] == [
+        ("Dentist, upper jaw", False), ("Weekly", False), ("Birthday", True)]
+    assert events[1].ts_start == dt.datetime(2026, 2, 20, 17, 0)
+    assert events[2].ts_start == dt.datetime(2026, 2, 28, 18, 30)
+
+    facts = [(read_table(spark, warehouse, t), "ts") for t in ("transactions", "listens", "messages")]
+    weeks = flag_weeks(week_spine(day_spine(facts, "2026-03-10")), read_table(spark, warehouse, "activities"))
+    flagged = weeks.filter("went_to_gym").collect()
+    assert [r.week_start for r in flagged] == [dt.date(2026, 2, 9)]
+    assert weeks.count() >= 52
+
+    assert counts(imports.run_jobs(spark, jobs, takeout, warehouse)) == (0, 0, 6)
+
+
+def test_raw_keeps_dropped_rows(spark, takeout, warehouse):
+    imports.run_job(spark, imports.takeout_jobs(TZ)[0], takeout, warehouse)
+    assert spark.read.parquet(f"{warehouse}/raw_searches/*").count() == 4
+
+
+def test_missing_products(spark, takeout, tmp_path):
+    report = files.missing_products(files.find_files(spark, takeout)).collect()
+    assert {r.product: r.missing for r in report} == {
+        "Search history": False, "YouTube history": False, "Google Fit": False, "Calendar": False}
+    only = tmp_path / "other" / "Takeout" / "Calendar"
+    only.mkdir(parents=True)
+    (only / "x.ics").write_text("BEGIN:VCALENDAR\nEND:VCALENDAR\n")
+    report = files.missing_products(files.find_files(spark, str(tmp_path / "other"))).collect()
+    assert sum(r.missing for r in report) == 3
+
+
+def test_broken_session_file_gives_no_row(spark, takeout, warehouse):
+    with open(f"{takeout}/Takeout/Fit/All Sessions/c.json", "w") as f:
+        f.write("{not json")
+    job = imports.takeout_jobs(TZ)[3]
+    assert counts(imports.run_job(spark, job, takeout, warehouse)) == (2, 0, 0)
+
+
+def test_routing(spark):
+    rows = [
+        ("/a/StreamingHistory_0.json", ""), ("/a/WhatsApp Chat with X.txt", ""),
+        ("/a/notes.txt", "\n‎[01/02/26, 8:01:00 AM] A: hi"), ("/a/notes.txt", "hello\n01/02/26, 8:01 - A: hi"),
+        ("/a/x.CSV", ""), ("/a/Takeout/Fit/daily.csv", ""), ("/a/takeout-1.zip", ""),
+        ("/a/Takeout/My_chat.txt", ""), ("/a/b.pdf", None),
+    ]
+    df = spark.createDataFrame(rows, "path string, head string")
+    got = [(r.source, r.status) for r in files.route_files(df).collect()]
+    assert got == [
+        ("spotify", "ok"), ("whatsapp", "ok"), ("whatsapp", "ok"), (None, "none"), ("bank", "ok"),
+        ("takeout", "ok"), ("takeout", "ok"), (None, "ambiguous"), (None, "none")]
