@@ -133,11 +133,15 @@ DEFAULT_RECOMMENDATION = {
 
 # ---- fixed values: page layout classes by keyword of the best style ----
 LAYOUT_CLASSES = [
-    (["data", "dense", "dashboard", "grid"], "1400px or full-width", "High — optimize for information display"),
-    (["minimal", "simple", "clean", "single"], "800px (narrow, focused)", "Low — focus on clarity"),
+    (["data", "dense", "dashboard", "grid"], "1400px or full-width", "12-column grid for data flexibility", "High — optimize for information display"),
+    (["minimal", "simple", "clean", "single"], "800px (narrow, focused)", "Single column, centered", "Low — focus on clarity"),
+]
+STANDARD_LAYOUT = ("1200px (standard)", "Full-width sections, centered content")
+PLAIN_LAYOUT = ("1200px", "Responsive grid")
+DEFAULT_ADVICE = [
+    "Refer to MASTER.md for all design rules",
+    "Add specific overrides as needed for this page",
 ]
-STANDARD_WIDTH = "1200px (standard)"
-PLAIN_WIDTH = "1200px"
 
 # ---- fixed values: caps ----
 DEFAULT_ROW_CAP = 500

@@ -419,6 +419,20 @@ ORACLE: dict[str, str] = {
       FROM ruled r LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'landing') l ON l.query_id = r.query_id
       LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'color') c ON c.query_id = r.query_id
       LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'typography') t ON t.query_id = r.query_id""",
+    "page_overrides": f"""WITH {bm25("CASE lang WHEN 'en' THEN 'style' WHEN 'fr' THEN 'ux' WHEN 'es' THEN 'landing' END", "CASE corpus WHEN 'ux' THEN 3 ELSE 1 END")},
+      found AS (SELECT h.query_id, h.corpus, h.rank, d.source, d.doc_id,
+        CASE WHEN n_chars > 3000 THEN 'long ' || d.source END AS effects FROM hits h JOIN dl d USING (doc_id)),
+      ux AS (SELECT query_id, string_agg(CASE WHEN effects IS NOT NULL THEN source || ': ' || effects END, '|' ORDER BY rank) AS dos,
+        string_agg('Avoid: doc ' || doc_id, '|' ORDER BY rank) AS avoid FROM found WHERE corpus = 'ux' GROUP BY query_id)
+      SELECT b.item_id AS query_id, {page_type('b.text', "'General'")} AS page_type,
+        CASE WHEN s.query_id IS NOT NULL THEN '1200px (standard)' WHEN l.query_id IS NULL THEN '1200px' END AS max_width,
+        CASE WHEN s.query_id IS NOT NULL THEN 'Full-width sections, centered content' WHEN l.query_id IS NULL THEN 'Responsive grid' END AS layout,
+        CAST(NULL AS VARCHAR) AS density, 'doc ' || l.doc_id AS sections, CASE WHEN l.query_id IS NOT NULL THEN 'es' END AS color_strategy,
+        coalesce(nullif(concat_ws('|', 'Effects: ' || s.effects, dos, 'CTA Placement: ' || l.effects), ''),
+          'Refer to MASTER.md for all design rules|Add specific overrides as needed for this page') AS recommendations,
+        coalesce(avoid, '') AS components
+      FROM benchmark b LEFT JOIN found s ON s.query_id = b.item_id AND s.corpus = 'style'
+      LEFT JOIN found l ON l.query_id = b.item_id AND l.corpus = 'landing' LEFT JOIN ux ON ux.query_id = b.item_id""",
     "stream_insert_dedupe": f"""SELECT l_shipdate AS ts, {PRICE} AS amount, l_linestatus AS account,
         sha256('bank|' || l_orderkey || '|' || l_linenumber) AS dedupe_key FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_extendedprice, l_linestatus) = 1""",

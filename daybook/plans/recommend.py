@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from daybook.fixed_values import (
     CORPUS_K,
+    DEFAULT_ADVICE,
     DEFAULT_CATEGORY,
     DEFAULT_RECOMMENDATION,
     LAYOUT_CLASSES,
-    PLAIN_WIDTH,
-    STANDARD_WIDTH,
+    PLAIN_LAYOUT,
+    STANDARD_LAYOUT,
 )
 from daybook.functions.text import contains_any
 from daybook.operators.ranking import bm25_topk, rerank
@@ -103,12 +104,12 @@ def page_overrides(pages: DataFrame, docs: DataFrame, k: Mapping[str, int] | Non
 
     ``pages``: query_id, query_text. ``docs`` as for ``recommend``, with the corpora style,
     ux and landing; ``effects`` and ``details`` are a ux document's do and don't texts and a
-    landing document's placement and sections.
+    landing document's placement and sections, its ``keywords`` the color strategy.
     """
     depth = dict(k or {"style": 1, "ux": 3, "landing": 1})
     hits = with_documents(bm25_topk(docs, pages, depth), docs)
     style = _top(hits, "style", {"keywords": "style_keywords", "effects": "style_effects", "details": "best_for"})
-    landing = _top(hits, "landing", {"details": "sections", "effects": "placement"})
+    landing = _top(hits, "landing", {"details": "sections", "effects": "placement", "keywords": "color_strategy"})
     said = F.array_sort(
         F.collect_list(
             F.struct(
@@ -120,28 +121,35 @@ def page_overrides(pages: DataFrame, docs: DataFrame, k: Mapping[str, int] | Non
     )
     ux = hits.filter(F.col("corpus") == "ux").groupBy("query_id").agg(said.alias("_ux"))
     keywords = F.lower(F.coalesce("style_keywords", F.lit("")))
-    width, density = F.lit(STANDARD_WIDTH), F.lit(None).cast("string")
-    for words, wide, dense in reversed(LAYOUT_CLASSES):
+    width, layout = map(F.lit, STANDARD_LAYOUT)
+    density = F.lit(None).cast("string")
+    for words, wide, grid, dense in reversed(LAYOUT_CLASSES):
         hit = contains_any(keywords, words)
         width = F.when(hit, F.lit(wide)).otherwise(width)
+        layout = F.when(hit, F.lit(grid)).otherwise(layout)
         density = F.when(hit, F.lit(dense)).otherwise(density)
     has_style = F.col("style_keywords").isNotNull()
-    no_layout = F.when(F.nullif("sections", F.lit("")).isNull(), F.lit(PLAIN_WIDTH))
+    sections = F.nullif("sections", F.lit(""))
+    # Without a style and without sections there is no layout at all, hence a plain one.
+    plain_width, plain_layout = [F.when(sections.isNull(), F.lit(v)) for v in PLAIN_LAYOUT]
     notes = F.concat(
         F.array(F.concat(F.lit("Effects: "), F.nullif("style_effects", F.lit("")))),
         F.coalesce(F.transform("_ux", lambda u: u["do"]), F.array().cast("array<string>")),
         F.array(F.concat(F.lit("CTA Placement: "), F.nullif("placement", F.lit("")))),
     )
     avoid = F.coalesce(F.transform("_ux", lambda u: u["avoid"]), F.array().cast("array<string>"))
+    advice, no_advice = F.array_compact(notes), F.array(*map(F.lit, DEFAULT_ADVICE))
     joined = pages.select("query_id", "query_text")
     for part in (style, ux, landing):
         joined = joined.join(part, "query_id", "left")
     return joined.select(
         "query_id",
         page_type(F.col("query_text"), F.col("best_for")).alias("page_type"),
-        F.when(has_style, width).otherwise(no_layout).alias("max_width"),
+        F.when(has_style, width).otherwise(plain_width).alias("max_width"),
+        F.when(has_style, layout).otherwise(plain_layout).alias("layout"),
         F.when(has_style, density).alias("density"),
-        F.nullif("sections", F.lit("")).alias("sections"),
-        F.array_compact(notes).alias("recommendations"),
+        sections.alias("sections"),
+        F.nullif("color_strategy", F.lit("")).alias("color_strategy"),
+        F.when(F.size(advice) > 0, advice).otherwise(no_advice).alias("recommendations"),
         F.array_compact(avoid).alias("components"),
     )
