@@ -30,10 +30,33 @@ def latest(batch: DataFrame, order: Sequence[str], key: str = KEY) -> DataFrame:
     return batch.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank")
 
 
+def near(target: DataFrame, batch: DataFrame, ts: str, margin_days: int = 2) -> DataFrame:
+    """Target rows dated within the span of the batch, give or take some days.
+
+    The bounds are scalar subqueries, whose values Spark hands to the Parquet scan, so a load
+    of one month does not read the keys of all years. An empty batch keeps nothing.
+    """
+    day = F.col(ts).cast("date")
+    first = batch.agg(F.date_sub(F.min(day), margin_days).alias("d")).scalar()
+    last = batch.agg(F.date_add(F.max(day), margin_days + 1).alias("d")).scalar()
+    return target.filter((F.col(ts) >= first) & (F.col(ts) < last))
+
+
 def insert_dedupe(
-    batch: DataFrame, target: DataFrame, order: Sequence[str], key: str = KEY
+    batch: DataFrame,
+    target: DataFrame,
+    order: Sequence[str],
+    key: str = KEY,
+    within: str | None = None,
 ) -> DataFrame:
-    """Rows of the batch to append: collapsed by key, without the keys the target has."""
+    """Rows of the batch to append: collapsed by key, without the keys the target has.
+
+    ``within`` names a time column that rows of equal key agree on, to the day; only the
+    target rows near the batch are looked at then. Pass a written batch, for it is read
+    once more. Leave it out for keys that say nothing of time, such as a calendar UID.
+    """
+    if within:
+        target = near(target.select(key, within), batch, within)
     return collapse(batch, order, key).join(target.select(key), key, "left_anti")
 
 
@@ -67,7 +90,7 @@ def append_by_name(staged: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def new_files(files: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
-    """Files whose content was not imported yet, one per content; ``force`` keeps all."""
+    """Files whose content was not imported yet; ``force`` keeps all."""
     if force:
         return files
     return files.join(ledger.select("file_sha256"), "file_sha256", "left_anti")

@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.operators import chat
-from daybook.operators.merge import insert_dedupe, new_files
+from daybook.operators.merge import collapse, insert_dedupe, new_files
 from daybook.operators.statement import normalize_statement
 from daybook.plans.warehouse import append_ledger, append_load, read_ledger, read_table
 from daybook.schemas import BankProfile, CategoryRule
@@ -24,6 +25,9 @@ from daybook.sources import exports, files
 from daybook.sources.chat_lines import chat_name, text_lines
 from daybook.sources.statements import statement_cells
 
+# Up to this many new files are read by name; more are picked out of a scan of the folder.
+MAX_LISTED_FILES = 10_000
+
 METRICS = (
     "source string, table string, rows_inserted bigint, rows_skipped bigint, "
     "files_imported bigint, files_skipped bigint"
@@ -37,11 +41,13 @@ class Job:
     source: str
     table: str
     glob: str
-    read: Callable[[SparkSession, str], DataFrame]
+    read: Callable[[SparkSession, str | list[str]], DataFrame]
     normalize: Callable[[DataFrame], DataFrame]
     order: tuple[str, ...] = ("path",)
     raw_table: str | None = None
     only: str = ""
+    # Time column that rows of equal key agree on; None if keys are not bound to a time.
+    within: str | None = "ts"
 
 
 def music_jobs() -> list[Job]:
@@ -61,12 +67,13 @@ def takeout_jobs(tz: str) -> list[Job]:
         Job("takeout", "youtube_watches", files.WATCH_GLOB, exports.read_watches,
             exports.normalize_watches, ("path", "ts"), "raw_watches"),
         Job("takeout", "daily_metrics", files.DAILY_GLOB, exports.read_dailies,
-            exports.normalize_dailies, ("path", "day"), "raw_dailies"),
+            exports.normalize_dailies, ("path", "day"), "raw_dailies", within="day"),
         Job("takeout", "activities", "*.json", exports.read_sessions,
             lambda raw: exports.normalize_sessions(raw, tz), ("path", "ts_start"), "raw_sessions",
-            "/All(?: |%20)Sessions/[^/]+$"),
+            "/All(?: |%20)Sessions/[^/]+$", within="ts_start"),
         Job("takeout", "calendar_events", files.CALENDAR_GLOB, calendar_lines,
-            lambda raw: exports.normalize_calendar(exports.calendar_blocks(raw), tz), ("path", "event_no"), "raw_calendar"),
+            lambda raw: exports.normalize_calendar(exports.calendar_blocks(raw), tz), ("path", "event_no"), "raw_calendar",
+            within=None),
     ]
 
 
@@ -99,22 +106,30 @@ def run_job(spark: SparkSession, job: Job, folder: str, warehouse: str, force: b
     load = uuid.uuid4().hex
     listing = f"{warehouse}/_runs/{load}/files"
     ledger = read_ledger(spark, warehouse)
-    fresh = new_files(found, ledger, force).withColumn("_fresh", F.lit(True))
+    fresh = new_files(found, ledger, force)
+    if not force:
+        fresh = collapse(fresh, ["path"], "file_sha256")
+    fresh = fresh.withColumn("_fresh", F.lit(True))
     found.join(fresh.select("path", "_fresh"), "path", "left").write.parquet(listing)
     listed = spark.read.parquet(listing)
     todo = listed.filter("_fresh").select("path")
 
     # Raw rows are staged as they were read and parsed from there.
     raw_path = f"{warehouse}/{job.raw_table}/load={load}"
-    if todo.isEmpty():
+    head = todo.limit(MAX_LISTED_FILES + 1).collect()
+    if not head:
         return _metrics(spark, job, listed, None, None)
-    job.read(spark, folder).join(todo, "path", "left_semi").write.parquet(raw_path)
+    if len(head) <= MAX_LISTED_FILES:
+        raw = job.read(spark, [unquote(r["path"]) for r in head])
+    else:
+        raw = job.read(spark, folder).join(todo, "path", "left_semi")
+    raw.write.parquet(raw_path)
     staged = job.normalize(spark.read.parquet(raw_path))
     batch_path = f"{warehouse}/_runs/{load}/rows"
     staged.write.parquet(batch_path)
     batch = spark.read.parquet(batch_path)
     target = read_table(spark, warehouse, job.table)
-    written = append_load(insert_dedupe(batch, target, job.order), warehouse, job.table, load)
+    written = append_load(insert_dedupe(batch, target, job.order, within=job.within), warehouse, job.table, load)
 
     per_file = written.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows_inserted"))
     entries = listed.filter("_fresh").join(per_file, "path", "left").select(

@@ -26,7 +26,7 @@ def is_chat_line(line: Column) -> Column:
     return (bracketed & (closing == "]")) | (~bracketed & closing.endswith("-"))
 
 
-def text_lines(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
+def text_lines(spark: SparkSession, root: str | list[str], glob: str = "*.txt") -> DataFrame:
     """Lines of text files with an order that survives file splits.
 
     A line is placed by (path, block, line_id, pos): ``block`` is the byte offset of the file

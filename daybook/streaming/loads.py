@@ -27,19 +27,25 @@ def _earlier(df: DataFrame, path: str, schema: StructType, batch_id: int) -> Dat
 
 
 def stream_insert_dedupe(
-    stream: DataFrame, path: str, checkpoint: str, order: Sequence[str], key: str = KEY
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: Sequence[str],
+    key: str = KEY,
+    within: str | None = None,
 ) -> StreamingQuery:
     """Append the new rows of a keyed stream to the table at ``path``, each key once.
 
     The stream checkpoint is the file ledger. A batch writes to a folder of its number and
     looks only at earlier ones, so a batch that is run again after a failure replaces itself.
-    Keys are checked against the table, not against state, hence over all history.
+    Keys are checked against the table, not against state, hence over all history, or over
+    the part of it near the batch if ``within`` is given (see ``insert_dedupe``).
     """
-    key_schema = StructType([f for f in stream.schema.fields if f.name == key])
+    key_schema = StructType([f for f in stream.schema.fields if f.name in (key, within)])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = _earlier(batch, path, key_schema, batch_id)
-        insert_dedupe(batch, known, order, key).write.mode("overwrite").parquet(
+        insert_dedupe(batch, known, order, key, within).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}"
         )
 

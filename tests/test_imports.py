@@ -39,6 +39,17 @@ def test_music(spark, music, warehouse, zoned):
     assert ledger == {"StreamingHistory_music_0.json": 0, "Streaming_History_Audio_2024_1.json": 0}
 
 
+def test_two_files_of_one_content(spark, music, warehouse, monkeypatch):
+    with open(f"{music}/StreamingHistory_music_0.json") as f:
+        same = f.read()
+    with open(f"{music}/more/StreamingHistory copy.json", "w") as f:
+        f.write(same)
+    job = imports.music_jobs()[0]
+    assert counts(imports.run_job(spark, job, music, warehouse)) == (4, 0, 1)
+    monkeypatch.setattr(imports, "MAX_LISTED_FILES", 0)
+    assert counts(imports.run_job(spark, job, music, warehouse, force=True)) == (0, 8, 0)
+
+
 def test_bank(spark, bank, warehouse):
     job = imports.bank_job([PROFILE], RULES, TZ)
     assert counts(imports.run_job(spark, job, bank, warehouse)) == (6, 0, 0)

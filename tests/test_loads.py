@@ -38,6 +38,19 @@ def test_one_key_may_fill_the_batch(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_nearby_target_gives_the_same_rows(spark, tmp_path):
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    schema = "dedupe_key string, ts timestamp, line int"
+    old = spark.createDataFrame([(f"k{n}", day(n), 0) for n in range(400)], schema)
+    old.repartitionByRange(8, "ts").write.parquet(str(tmp_path / "t"))
+    target = spark.read.parquet(str(tmp_path / "t"))
+    batch = spark.createDataFrame([(f"k{n}", day(n), n) for n in range(390, 410)] + [("k395", day(395), 1)], schema)
+    near = merge.insert_dedupe(batch, target, ("line",), within="ts")
+    assert sorted(near.collect()) == sorted(merge.insert_dedupe(batch, target, ("line",)).collect())
+    assert near.count() == 10
+    assert merge.insert_dedupe(batch.limit(0), target, ("line",), within="ts").count() == 0
+
+
 def test_latest_replaces(spark):
     target = spark.createDataFrame([("a", "f", 1, 1), ("b", "f", 1, 2)], SCHEMA)
     batch = spark.createDataFrame([("a", "f", 2, 3), ("a", "f", 3, 4)], SCHEMA)
