@@ -19,11 +19,17 @@ from pyspark.sql import functions as F
 from daybook.operators import chat
 from daybook.operators.merge import collapse, insert_dedupe, new_files
 from daybook.operators.statement import normalize_statement
-from daybook.plans.warehouse import append_ledger, append_load, read_ledger, read_table
+from daybook.plans.warehouse import (
+    append_ledger,
+    append_load,
+    append_warnings,
+    read_ledger,
+    read_table,
+)
 from daybook.schemas import BankProfile, CategoryRule
 from daybook.sources import exports, files
 from daybook.sources.chat_lines import chat_name, text_lines
-from daybook.sources.statements import statement_cells
+from daybook.sources.statements import find_headers, profile_table, statement_cells
 
 # Up to this many new files are read by name; more are picked out of a scan of the folder.
 MAX_LISTED_FILES = 10_000
@@ -48,6 +54,50 @@ class Job:
     only: str = ""
     # Time column that rows of equal key agree on; None if keys are not bound to a time.
     within: str | None = "ts"
+    # Raw rows to (path, warning) rows.
+    warn: Callable[[DataFrame], DataFrame] | None = None
+
+
+def warn_trackless(raw: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("skipped "), F.col("trackless").cast("string"), F.lit(" rows with no track name"))
+    return exports.trackless_counts(raw).select("path", text.alias("warning"))
+
+
+def warn_unknown_headers(raw: DataFrame) -> DataFrame:
+    """One warning per file and header that no metric claims."""
+    mapping, unknown = exports.fuzzy_mapping([c for c in raw.columns if c != "path"])
+    texts = [f"ignoring unknown column {c!r}" for c in unknown]
+    if "day" not in mapping:
+        texts.append("no date column recognized")
+    found = F.array(*map(F.lit, texts)) if texts else F.array().cast("array<string>")
+    return raw.select("path").distinct().select("path", F.explode(found).alias("warning"))
+
+
+def warn_unreadable(raw: DataFrame) -> DataFrame:
+    return raw.filter("_corrupt_record is not null").select("path", F.lit("unreadable session").alias("warning")).distinct()
+
+
+def warn_chat(lines: DataFrame) -> DataFrame:
+    bad = F.concat(F.col("unparseable").cast("string"), F.lit(" unparseable timestamps"))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("unrecognized"), "no message lines recognized"),
+            F.when(F.col("ambiguous_dates") & ~F.col("unrecognized"), "date order ambiguous; day first assumed"),
+            F.when(F.col("unparseable") > 0, bad),
+        )
+    )
+    return chat.chat_warnings(lines).select("path", F.explode(found).alias("warning"))
+
+
+def warn_no_header(profiles: Sequence[BankProfile]) -> Callable[[DataFrame], DataFrame]:
+    """Statements none of the profiles fits."""
+
+    def warn(lines: DataFrame) -> DataFrame:
+        known = find_headers(lines, profile_table(lines, profiles))
+        unknown = lines.select("path").distinct().join(known.select("path"), "path", "left_anti")
+        return unknown.select("path", F.lit("no profile matches the header").alias("warning"))
+
+    return warn
 
 
 def music_jobs() -> list[Job]:
@@ -55,7 +105,7 @@ def music_jobs() -> list[Job]:
         Job("spotify", "listens", files.MUSIC_ACCOUNT_GLOB, exports.read_account_listens,
             exports.normalize_account_listens, ("path", "ts"), "raw_listens_account"),
         Job("spotify", "listens", files.MUSIC_EXTENDED_GLOB, exports.read_extended_listens,
-            exports.normalize_extended_listens, ("path", "ts"), "raw_listens_extended"),
+            exports.normalize_extended_listens, ("path", "ts"), "raw_listens_extended", warn=warn_trackless),
     ]
 
 
@@ -67,10 +117,12 @@ def takeout_jobs(tz: str) -> list[Job]:
         Job("takeout", "youtube_watches", files.WATCH_GLOB, exports.read_watches,
             exports.normalize_watches, ("path", "ts"), "raw_watches"),
         Job("takeout", "daily_metrics", files.DAILY_GLOB, exports.read_dailies,
-            exports.normalize_dailies, ("path", "day"), "raw_dailies", within="day"),
+            exports.normalize_dailies, ("path", "day"), "raw_dailies", within="day",
+            warn=warn_unknown_headers),
         Job("takeout", "activities", "*.json", exports.read_sessions,
             lambda raw: exports.normalize_sessions(raw, tz), ("path", "ts_start"), "raw_sessions",
-            "/All(?: |%20)Sessions/[^/]+$", within="ts_start"),
+            "/All(?: |%20)Sessions/[^/]+$", within="ts_start",
+            warn=warn_unreadable),
         Job("takeout", "calendar_events", files.CALENDAR_GLOB, calendar_lines,
             lambda raw: exports.normalize_calendar(exports.calendar_blocks(raw), tz), ("path", "event_no"), "raw_calendar",
             within=None),
@@ -81,7 +133,7 @@ def chat_job(me: str, tz: str) -> Job:
     return Job(
         "whatsapp", "messages", "*.txt", text_lines,
         lambda lines: chat.to_messages(chat.parse_chat(lines), chat_name(F.col("path")), me, tz),
-        ("path", "message_no"), "raw_chat_lines",
+        ("path", "message_no"), "raw_chat_lines", warn=warn_chat,
     )
 
 
@@ -95,6 +147,7 @@ def bank_job(
             statement_cells(lines, profiles), profiles, rules, tz, currency, account
         ),
         ("path", "block", "line_id", "pos"), "raw_statement_lines",
+        warn=warn_no_header(profiles),
     )
 
 
@@ -124,7 +177,11 @@ def run_job(spark: SparkSession, job: Job, folder: str, warehouse: str, force: b
     else:
         raw = job.read(spark, folder).join(todo, "path", "left_semi")
     raw.write.parquet(raw_path)
-    staged = job.normalize(spark.read.parquet(raw_path))
+    raw = spark.read.parquet(raw_path)
+    if job.warn:
+        noticed = job.warn(raw).withColumn("source", F.lit(job.source))
+        append_warnings(noticed, warehouse, load)
+    staged = job.normalize(raw)
     batch_path = f"{warehouse}/_runs/{load}/rows"
     staged.write.parquet(batch_path)
     batch = spark.read.parquet(batch_path)

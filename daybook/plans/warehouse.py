@@ -11,6 +11,8 @@ from daybook.operators.merge import upsert_ledger
 from daybook.schemas import CURATED, LEDGER, conform
 
 LEDGER_TABLE = "_imports"
+WARNINGS_TABLE = "_warnings"
+WARNINGS = StructType().add("source", "string").add("path", "string").add("warning", "string")
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -27,6 +29,20 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return _read(spark, f"{root}/{table}", CURATED[table])
 
 
+def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A raw staging table over all its loads; columns a load lacks are NULL."""
+    return spark.read.option("mergeSchema", True).parquet(f"{root}/{table}")
+
+
+def read_warnings(spark: SparkSession, root: str) -> DataFrame:
+    """What import jobs noticed: (source, path, warning)."""
+    return _read(spark, f"{root}/{WARNINGS_TABLE}", WARNINGS)
+
+
+def append_warnings(warnings: DataFrame, root: str, load: str) -> None:
+    warnings.select(*WARNINGS.names).write.mode("overwrite").parquet(f"{root}/{WARNINGS_TABLE}/load={load}")
+
+
 def append_load(df: DataFrame, root: str, table: str, load: str) -> DataFrame:
     """Write one load of a table and read it back with its file of origin.
 

@@ -30,10 +30,11 @@ def build_session(app: str = "daybook", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    What is written there is not removed: let the folder expire old files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

@@ -8,7 +8,7 @@ from conftest import PROFILE, RULES, TZ
 
 from daybook.operators.spine import day_spine, flag_weeks, week_spine
 from daybook.plans import imports
-from daybook.plans.warehouse import read_ledger, read_table
+from daybook.plans.warehouse import read_ledger, read_raw, read_table, read_warnings
 from daybook.sources import files
 
 
@@ -33,8 +33,8 @@ def test_music(spark, music, warehouse, zoned):
     zoned("UTC")
     assert counts(imports.run_jobs(spark, jobs, music, warehouse)) == (0, 0, 2)
     assert counts(imports.run_jobs(spark, jobs, music, warehouse, force=True)) == (0, 7, 0)
-    raw = spark.read.parquet(f"{warehouse}/raw_listens_extended/*")
-    assert raw.count() == 8  # four rows, staged twice; the trackless one is kept
+    assert read_raw(spark, warehouse, "raw_listens_extended").count() == 8  # four rows, staged twice
+    assert {r.warning for r in read_warnings(spark, warehouse).collect()} == {"skipped 1 rows with no track name"}
     ledger = {r.path.rsplit("/", 1)[1]: r.rows_inserted for r in read_ledger(spark, warehouse).collect()}
     assert ledger == {"StreamingHistory_music_0.json": 0, "Streaming_History_Audio_2024_1.json": 0}
 
@@ -96,6 +96,8 @@ def test_takeout(spark, takeout, warehouse):
     assert events[1].ts_start == dt.datetime(2026, 2, 20, 17, 0)
     assert events[2].ts_start == dt.datetime(2026, 2, 28, 18, 30)
 
+    assert [r.warning for r in read_warnings(spark, warehouse).collect()] == ["ignoring unknown column 'Heart Points'"]
+
     facts = [(read_table(spark, warehouse, t), "ts") for t in ("transactions", "listens", "messages")]
     weeks = flag_weeks(week_spine(day_spine(facts, "2026-03-10")), read_table(spark, warehouse, "activities"))
     flagged = weeks.filter("went_to_gym").collect()
@@ -126,6 +128,19 @@ def test_broken_session_file_gives_no_row(spark, takeout, warehouse):
         f.write("{not json")
     job = imports.takeout_jobs(TZ)[3]
     assert counts(imports.run_job(spark, job, takeout, warehouse)) == (2, 0, 0)
+    (warning,) = read_warnings(spark, warehouse).collect()
+    assert warning.path.endswith("c.json") and warning.warning == "unreadable session"
+
+
+def test_unknown_statement_and_quiet_chat(spark, bank, chats, warehouse):
+    with open(f"{bank}/other.csv", "w") as f:
+        f.write("When,What\n1,2\n")
+    with open(f"{chats}/Empty_chat.txt", "w") as f:
+        f.write("nothing to see\n")
+    imports.run_job(spark, imports.bank_job([PROFILE], RULES, TZ), bank, warehouse)
+    imports.run_job(spark, imports.chat_job("Asha", TZ), chats, warehouse)
+    noticed = {(r.path.rsplit("/", 1)[1], r.warning) for r in read_warnings(spark, warehouse).collect()}
+    assert noticed == {("other.csv", "no profile matches the header"), ("Empty_chat.txt", "no message lines recognized")}
 
 
 def test_routing(spark):
