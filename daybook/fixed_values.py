@@ -117,19 +117,64 @@ DEFAULT_RULE = {
     "severity": "MEDIUM",
 }
 DEFAULT_CATEGORY = "General"
-DEFAULT_RECOMMENDATION = {
-    "pattern_sections": "Hero > Features > CTA",
-    "pattern_cta_placement": "Above fold",
-    "style_name": "Minimalism",
-    "style_type": "General",
-    "color_primary": "#2563EB",
-    "color_secondary": "#3B82F6",
-    "color_cta": "#F97316",
-    "color_background": "#F8FAFC",
-    "color_text": "#1E293B",
-    "font_heading": "Inter",
-    "font_body": "Inter",
+# Part of a recommendation: its corpus, the catalog column it comes from, its default.
+RECOMMENDATION_PARTS = {
+    "pattern_name": ("landing", "Pattern Name", None),
+    "pattern_sections": ("landing", "Section Order", "Hero > Features > CTA"),
+    "pattern_cta_placement": ("landing", "Primary CTA Placement", "Above fold"),
+    "pattern_color_strategy": ("landing", "Color Strategy", ""),
+    "pattern_conversion": ("landing", "Conversion Optimization", ""),
+    "style_name": ("style", "Style Category", "Minimalism"),
+    "style_type": ("style", "Type", "General"),
+    "style_effects": ("style", "Effects & Animation", ""),
+    "style_keywords": ("style", "Keywords", ""),
+    "style_best_for": ("style", "Best For", ""),
+    "style_performance": ("style", "Performance", ""),
+    "style_accessibility": ("style", "Accessibility", ""),
+    "color_primary": ("color", "Primary (Hex)", "#2563EB"),
+    "color_secondary": ("color", "Secondary (Hex)", "#3B82F6"),
+    "color_cta": ("color", "CTA (Hex)", "#F97316"),
+    "color_background": ("color", "Background (Hex)", "#F8FAFC"),
+    "color_text": ("color", "Text (Hex)", "#1E293B"),
+    "color_notes": ("color", "Notes", ""),
+    "font_heading": ("typography", "Heading Font", "Inter"),
+    "font_body": ("typography", "Body Font", "Inter"),
+    "font_mood": ("typography", "Mood/Style Keywords", None),
+    "font_best_for": ("typography", "Best For", ""),
+    "font_url": ("typography", "Google Fonts URL", ""),
+    "font_css": ("typography", "CSS Import", ""),
 }
+# Catalog columns of the rules, in rule order.
+RULE_COLUMNS = {
+    "label": "UI_Category",
+    "pattern": "Recommended_Pattern",
+    "style_priority": "Style_Priority",
+    "color_mood": "Color_Mood",
+    "typography_mood": "Typography_Mood",
+    "key_effects": "Key_Effects",
+    "decision_rules": "Decision_Rules",
+    "anti_patterns": "Anti_Patterns",
+    "severity": "Severity",
+}
+
+# ---- fixed values: catalog files and the columns searched, per corpus ----
+CATALOGS = {
+    "style": ("styles.csv", ["Style Category", "Keywords", "Best For", "Type", "AI Prompt Keywords"]),
+    "color": ("colors.csv", ["Product Type", "Notes"]),
+    "chart": ("charts.csv", ["Data Type", "Keywords", "Best Chart Type", "Accessibility Notes"]),
+    "landing": ("landing.csv", ["Pattern Name", "Keywords", "Conversion Optimization", "Section Order"]),
+    "product": ("products.csv", ["Product Type", "Keywords", "Primary Style Recommendation", "Key Considerations"]),
+    "ux": ("ux-guidelines.csv", ["Category", "Issue", "Description", "Platform"]),
+    "typography": ("typography.csv", ["Font Pairing Name", "Category", "Mood/Style Keywords", "Best For", "Heading Font", "Body Font"]),
+    "icons": ("icons.csv", ["Category", "Icon Name", "Keywords", "Best For"]),
+    "react": ("react-performance.csv", ["Category", "Issue", "Keywords", "Description"]),
+    "web": ("web-interface.csv", ["Category", "Issue", "Keywords", "Description"]),
+}
+STACKS = [
+    "html-tailwind", "react", "nextjs", "astro", "vue", "nuxtjs", "nuxt-ui", "svelte", "swiftui",
+    "react-native", "flutter", "shadcn", "jetpack-compose",
+]
+STACK_COLUMNS = ["Category", "Guideline", "Description", "Do", "Don't"]
 
 # ---- fixed values: page layout classes by keyword of the best style ----
 LAYOUT_CLASSES = [

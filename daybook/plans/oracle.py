@@ -411,9 +411,14 @@ ORACLE: dict[str, str] = {
         FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id AND h.corpus = 'product' LEFT JOIN dl d ON d.doc_id = h.doc_id),
       {tiers('q', 'category')}, ruled AS (SELECT q.*, r.* FROM q LEFT JOIN best ON item = lower(category) LEFT JOIN rules r ON r.rule_no = b.rule_no)
       SELECT r.query_id, upper(replace(query_text, 'ß', 'ss')) AS project_name, category, coalesce(l.source, r.n_name, 'Hero + Features + CTA') AS pattern_name,
-        coalesce('doc ' || l.doc_id, 'Hero > Features > CTA') AS pattern_sections, 'Minimalism' AS style_name, '' AS style_keywords,
-        coalesce(c.source, '#2563EB') AS color_primary, coalesce('doc ' || c.doc_id, '') AS color_notes, coalesce(t.source, 'Inter') AS font_heading,
-        coalesce(t.lang, CASE WHEN rule_no IS NULL THEN 'Clean' ELSE 'Plain' END) AS type_mood,
+        coalesce('doc ' || l.doc_id, 'Hero > Features > CTA') AS pattern_sections,
+        CASE WHEN l.doc_id IS NULL THEN 'Above fold' WHEN l.n_chars > 3000 THEN 'long ' || l.source ELSE '' END AS pattern_cta_placement,
+        coalesce(l.lang, '') AS pattern_color_strategy, '' AS pattern_conversion,
+        'Minimalism' AS style_name, 'General' AS style_type, '' AS style_effects, '' AS style_keywords, '' AS style_best_for,
+        '' AS style_performance, '' AS style_accessibility, coalesce(c.source, '#2563EB') AS color_primary, '#3B82F6' AS color_secondary,
+        '#F97316' AS color_cta, '#F8FAFC' AS color_background, '#1E293B' AS color_text, coalesce('doc ' || c.doc_id, '') AS color_notes,
+        coalesce(t.source, 'Inter') AS font_heading, 'Inter' AS font_body,
+        coalesce(t.lang, CASE WHEN rule_no IS NULL THEN 'Clean' ELSE 'Plain' END) AS font_mood, '' AS font_best_for, '' AS font_url, '' AS font_css,
         CASE WHEN rule_no IS NULL THEN 'Subtle hover transitions' ELSE 'fade' END AS key_effects, coalesce(n_name, '') AS anti_patterns,
         CASE WHEN rule_no IS NULL THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CAST(n_regionkey AS VARCHAR) AS region
       FROM ruled r LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'landing') l ON l.query_id = r.query_id

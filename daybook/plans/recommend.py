@@ -4,94 +4,96 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import (
+    CATALOGS,
     CORPUS_K,
     DEFAULT_ADVICE,
     DEFAULT_CATEGORY,
-    DEFAULT_RECOMMENDATION,
     LAYOUT_CLASSES,
     PLAIN_LAYOUT,
+    RECOMMENDATION_PARTS,
+    SEARCH_K,
+    STACKS,
     STANDARD_LAYOUT,
 )
 from daybook.functions.text import contains_any
 from daybook.operators.ranking import bm25_topk, rerank
-from daybook.operators.rules import apply_rule, page_type, tiered_lookup
+from daybook.operators.rules import apply_rule, page_type, tiered_lookup, topic
 from daybook.session import materialize
 
 
-def _top(hits: DataFrame, corpus: str, columns: Mapping[str, str]) -> DataFrame:
-    """First hit of one corpus per query, with some of its columns renamed."""
-    return hits.filter((F.col("corpus") == corpus) & (F.col("rank") == 1)).select(
-        "query_id", *[F.col(c).alias(new) for c, new in columns.items()]
-    )
+def search(queries: DataFrame, docs: DataFrame, k: int = SEARCH_K) -> DataFrame:
+    """Best documents per query, in the query's ``corpus`` or else the one its words suggest."""
+    if "corpus" not in queries.columns:
+        queries = queries.withColumn("corpus", topic(F.col("query_text")))
+    corpora = [c for c in CATALOGS] + [f"stack:{s}" for s in STACKS]
+    return with_documents(bm25_topk(docs, queries, dict.fromkeys(corpora, k)), docs)
+
+
+def _top(hits: DataFrame, corpus: str, fields: Mapping[str, str]) -> DataFrame:
+    """Fields of the first hit of one corpus per query."""
+    first = hits.filter((F.col("corpus") == corpus) & (F.col("rank") == 1))
+    return first.select("query_id", *[F.col("record")[c].alias(name) for name, c in fields.items()])
 
 
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits with the columns of their documents.
+    """Hits with the records of their documents.
 
     Written out, a few rows per query, because every part of a record reads them again.
     """
     return materialize(hits.join(docs.drop("text"), ["corpus", "doc_id"]), "hits")
 
 
+def _fields(corpus: str) -> dict[str, str]:
+    return {name: c for name, (of, c, _) in RECOMMENDATION_PARTS.items() if of == corpus}
+
+
 def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:
     """One record per query, defaults where a corpus has no hit or no rule applies.
 
-    ``queries``: query_id, query_text. ``docs``: corpus (product, style, color, landing or
-    typography), doc_id, text, name, keywords, effects, details. ``rules`` as for
-    ``apply_rule``. The style search adds the first two style priorities of the rule to
-    the query, so it runs after the others.
+    ``queries``: query_id, query_text. ``docs``: corpus, doc_id, text, record (a map of
+    catalog columns). ``rules`` as for ``apply_rule``. The style search adds the first two
+    style priorities of the rule to the query, so it runs after the others.
     """
     plain = {c: k for c, k in CORPUS_K.items() if c != "style"}
     hits = with_documents(bm25_topk(docs, queries, plain), docs)
     category = (
         queries.select("query_id", "query_text")
-        .join(_top(hits, "product", {"name": "category"}), "query_id", "left")
+        .join(_top(hits, "product", {"category": "Product Type"}), "query_id", "left")
         .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY)))
     )
     ruled = apply_rule(tiered_lookup(category, "category", rules), rules)
 
-    style_query = ruled.select(
-        "query_id",
-        F.concat_ws(" ", "query_text", F.concat_ws(" ", F.slice("style_priority", 1, 2))).alias("query_text"),
-    )
+    priority = F.concat_ws(" ", F.slice("style_priority", 1, 2))
+    style_query = ruled.select("query_id", F.concat_ws(" ", "query_text", priority).alias("query_text"))
     style_hits = with_documents(bm25_topk(docs, style_query, {"style": CORPUS_K["style"]}), docs)
-    style = rerank(
-        style_hits.withColumn("everything", F.concat_ws(" ", "name", "keywords", "effects", "details")).join(
-            ruled.select("query_id", F.col("style_priority").alias("priorities")), "query_id"
-        )
-    ).select(
-        "query_id",
-        F.col("name").alias("style_name"),
-        F.col("effects").alias("style_effects"),
-        F.col("keywords").alias("style_keywords"),
+    best = rerank(
+        style_hits.select(
+            "query_id",
+            "rank",
+            "record",
+            F.col("record")["Style Category"].alias("name"),
+            F.col("record")["Keywords"].alias("keywords"),
+            F.concat_ws(" ", F.map_keys("record"), F.map_values("record")).alias("everything"),
+        ).join(ruled.select("query_id", F.col("style_priority").alias("priorities")), "query_id")
     )
-    landing = _top(hits, "landing", {"name": "pattern_name", "details": "pattern_sections"})
-    color = _top(hits, "color", {"name": "color_primary", "details": "color_notes"})
-    typography = _top(hits, "typography", {"name": "font_heading", "keywords": "type_mood"})
-
-    def default(column: str, value: Column | str | None = None) -> Column:
-        fallback = DEFAULT_RECOMMENDATION.get(column, "") if value is None else value
-        return F.coalesce(column, F.lit(fallback) if isinstance(fallback, str) else fallback).alias(column)
+    style = best.select("query_id", *[F.col("record")[c].alias(n) for n, c in _fields("style").items()])
 
     joined = ruled
-    for part in (style, landing, color, typography):
+    for part in (style, *[_top(hits, c, _fields(c)) for c in ("landing", "color", "typography")]):
         joined = joined.join(part, "query_id", "left")
+    fallback = {"pattern_name": F.col("pattern"), "font_mood": F.col("typography_mood")}
     return joined.select(
         "query_id",
         F.upper("query_text").alias("project_name"),
         "category",
-        default("pattern_name", F.col("pattern")),
-        default("pattern_sections"),
-        default("style_name"),
-        default("style_keywords"),
-        default("color_primary"),
-        default("color_notes"),
-        default("font_heading"),
-        default("type_mood", F.col("typography_mood")),
+        *[
+            F.coalesce(name, fallback.get(name, F.lit(default))).alias(name)
+            for name, (_, _, default) in RECOMMENDATION_PARTS.items()
+        ],
         F.coalesce(F.nullif("style_effects", F.lit("")), "key_effects").alias("key_effects"),
         "anti_patterns",
         "decision_rules",
@@ -103,19 +105,24 @@ def page_overrides(pages: DataFrame, docs: DataFrame, k: Mapping[str, int] | Non
     """Layout, density and recommendations per page, from its own ranked hits.
 
     ``pages``: query_id, query_text. ``docs`` as for ``recommend``, with the corpora style,
-    ux and landing; ``effects`` and ``details`` are a ux document's do and don't texts and a
-    landing document's placement and sections, its ``keywords`` the color strategy.
+    ux and landing.
     """
     depth = dict(k or {"style": 1, "ux": 3, "landing": 1})
     hits = with_documents(bm25_topk(docs, pages, depth), docs)
-    style = _top(hits, "style", {"keywords": "style_keywords", "effects": "style_effects", "details": "best_for"})
-    landing = _top(hits, "landing", {"details": "sections", "effects": "placement", "keywords": "color_strategy"})
+    style_fields = {"style_keywords": "Keywords", "style_effects": "Effects & Animation", "best_for": "Best For"}
+    style = _top(hits, "style", style_fields).withColumn("_has_style", F.lit(True))
+    landing = _top(
+        hits,
+        "landing",
+        {"sections": "Section Order", "placement": "Primary CTA Placement", "color_strategy": "Color Strategy"},
+    )
+    said_of = lambda column: F.nullif(F.col("record")[column], F.lit(""))
     said = F.array_sort(
         F.collect_list(
             F.struct(
                 "rank",
-                F.concat(F.col("name"), F.lit(": "), F.nullif("effects", F.lit(""))).alias("do"),
-                F.concat(F.lit("Avoid: "), F.nullif("details", F.lit(""))).alias("avoid"),
+                F.concat(F.col("record")["Category"], F.lit(": "), said_of("Do")).alias("do"),
+                F.concat(F.lit("Avoid: "), said_of("Don't")).alias("avoid"),
             )
         )
     )
@@ -128,7 +135,7 @@ def page_overrides(pages: DataFrame, docs: DataFrame, k: Mapping[str, int] | Non
         width = F.when(hit, F.lit(wide)).otherwise(width)
         layout = F.when(hit, F.lit(grid)).otherwise(layout)
         density = F.when(hit, F.lit(dense)).otherwise(density)
-    has_style = F.col("style_keywords").isNotNull()
+    has_style = F.col("_has_style").isNotNull()
     sections = F.nullif("sections", F.lit(""))
     # Without a style and without sections there is no layout at all, hence a plain one.
     plain_width, plain_layout = [F.when(sections.isNull(), F.lit(v)) for v in PLAIN_LAYOUT]

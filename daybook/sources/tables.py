@@ -360,15 +360,26 @@ def corpus_documents(spark: SparkSession, folder: str, corpora: dict[str, str] |
     corpus = F.lit(None).cast("string")
     for lang, name in (corpora or LANGUAGE_CORPUS).items():
         corpus = F.when(F.col("lang") == lang, F.lit(name)).otherwise(corpus)
-    return documents(spark, folder).select(
-        corpus.alias("corpus"),
-        "doc_id",
-        "text",
-        F.col("source").alias("name"),
-        F.col("lang").alias("keywords"),
-        F.when(F.col("n_chars") > 3000, F.concat(F.lit("long "), F.col("source"))).otherwise("").alias("effects"),
-        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("details"),
-    ).filter("corpus is not null")
+    said = {
+        "Product Type": F.col("source"),
+        "Pattern Name": F.col("source"),
+        "Style Category": F.col("source"),
+        "Category": F.col("source"),
+        "Primary (Hex)": F.col("source"),
+        "Heading Font": F.col("source"),
+        "Keywords": F.col("lang"),
+        "Color Strategy": F.col("lang"),
+        "Mood/Style Keywords": F.col("lang"),
+        "Notes": F.concat(F.lit("doc "), F.col("doc_id").cast("string")),
+        "Section Order": F.concat(F.lit("doc "), F.col("doc_id").cast("string")),
+        "Don't": F.concat(F.lit("doc "), F.col("doc_id").cast("string")),
+    }
+    long = F.when(F.col("n_chars") > 3000, F.concat(F.lit("long "), F.col("source"))).otherwise("")
+    said |= {c: long for c in ("Do", "Effects & Animation", "Primary CTA Placement")}
+    record = F.create_map(*[x for name, value in said.items() for x in (F.lit(name), value)])
+    return documents(spark, folder).filter(corpus.isNotNull()).select(
+        corpus.alias("corpus"), "doc_id", "text", record.alias("record")
+    )
 
 
 def lookup_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from daybook.fixed_values import DEFAULT_ADVICE
 from daybook.operators import ranking, rules
 from daybook.plans import recommend
+from daybook.sources import catalogs
 
 
 def words(text):
@@ -139,15 +140,18 @@ def test_rule_defaults_and_bad_json(spark):
 
 
 DOCS = [
-    ("product", 1, "online shop cart", "shop", "retail", "", "p"), ("product", 2, "medical clinic", "clinic", "", "", "p"),
-    ("color", 3, "shop colours", "#111111", "", "", "warm"), ("landing", 4, "cart landing", "Long page", "", "Top", "A > B"),
-    ("style", 5, "online bold dense", "Bold", "data grid", "Pop", "dashboard"), ("style", 6, "online online Flat", "Flat", "plain", "", ""),
-    ("ux", 7, "online forms", "Forms", "", "Label them", "Hide labels"),
+    ("product", 1, "online shop cart", {"Product Type": "shop"}),
+    ("product", 2, "medical clinic", {"Product Type": "clinic"}),
+    ("color", 3, "shop colours", {"Primary (Hex)": "#111111", "Notes": ""}),
+    ("landing", 4, "cart landing", {"Pattern Name": "Long page", "Section Order": "A > B", "Primary CTA Placement": "Top"}),
+    ("style", 5, "online bold dense", {"Style Category": "Bold", "Keywords": "data grid", "Effects & Animation": "Pop", "Best For": "dashboard"}),
+    ("style", 6, "online online Flat", {"Style Category": "Flat", "Keywords": "plain", "Effects & Animation": ""}),
+    ("ux", 7, "online forms", {"Category": "Forms", "Do": "Label them", "Don't": "Hide labels"}),
 ]
 
 
 def test_recommendation_and_overrides(spark):
-    docs = spark.createDataFrame(DOCS, "corpus string, doc_id int, text string, name string, keywords string, effects string, details string")
+    docs = spark.createDataFrame(DOCS, "corpus string, doc_id int, text string, record map<string,string>")
     table = spark.createDataFrame(
         [(1, "shop", "Rule pattern", "Bold + Loud", "m", "Sans", "glow", "clutter", "{}", "HIGH")],
         "rule_no int, label string, pattern string, style_priority string, color_mood string, typography_mood string, "
@@ -156,7 +160,7 @@ def test_recommendation_and_overrides(spark):
     got = {r.query_id: r for r in recommend.recommend(queries, docs, table).collect()}
     one, two = got[1], got[2]
     assert (one.category, one.pattern_name, one.style_name, one.color_primary) == ("shop", "Long page", "Bold", "#111111")
-    assert (one.key_effects, one.type_mood, one.font_heading, one.severity) == ("Pop", "Sans", "Inter", "HIGH")
+    assert (one.key_effects, one.font_mood, one.font_heading, one.severity) == ("Pop", "Sans", "Inter", "HIGH")
     # Without a rule the style search still adds the default priorities, which "Flat" meets.
     assert (two.category, two.pattern_name, two.style_name, two.color_primary) == ("General", "Hero + Features + CTA", "Flat", "#2563EB")
     assert (two.project_name, two.key_effects, two.severity) == ("ZEBRA", "Subtle hover transitions", "MEDIUM")
@@ -168,3 +172,24 @@ def test_recommendation_and_overrides(spark):
     assert over[1].components == ["Avoid: Hide labels"] and over[1].sections == "A > B"
     assert (over[2].page_type, over[2].max_width, over[2].recommendations) == (
         "General", "1200px", DEFAULT_ADVICE)
+
+
+def test_catalog_files(spark, tmp_path):
+    (tmp_path / "stacks").mkdir()
+    (tmp_path / "charts.csv").write_text('No,Data Type,Keywords,Best Chart Type\n1,Trend,"line, ""time""",Line\n2,Share,pie,Pie\n')
+    (tmp_path / "stacks" / "vue.csv").write_text("Category,Guideline,Do\nState,Use refs,ref()\n")
+    docs = catalogs.read_catalogs(spark, str(tmp_path))
+    assert [(r.corpus, r.text) for r in docs.orderBy("corpus", "doc_id").collect()] == [
+        ("chart", 'Trend line, "time" Line'), ("chart", "Share pie Pie"), ("stack:vue", "State Use refs ref()")]
+    asked = spark.createDataFrame([(1, "pie chart"), (2, "trend line"), (3, "dark mode")], "query_id int, query_text string")
+    found = {r.query_id: r.record["Best Chart Type"] for r in recommend.search(asked, docs).collect()}
+    assert found == {1: "Pie", 2: "Line"}
+    named = spark.createDataFrame([(1, "refs", "stack:vue")], "query_id int, query_text string, corpus string")
+    assert recommend.search(named, docs, 1).first().record["Guideline"] == "Use refs"
+    (tmp_path / "rules.csv").write_text(
+        "No,UI_Category,Recommended_Pattern,Style_Priority,Color_Mood,Typography_Mood,Key_Effects,Decision_Rules,Anti_Patterns,Severity\n"
+        '1,Shop,P,A + B,m,t,k,"{""must"": ""x""}",a,HIGH\n')
+    table = catalogs.read_rules(spark, str(tmp_path / "rules.csv"))
+    items = spark.createDataFrame([("Web Shop",)], "item string")
+    (row,) = rules.apply_rule(rules.tiered_lookup(items, "item", table), table).collect()
+    assert (row.tier, row.style_priority, row.decision_rules) == (2, ["A", "B"], {"must": "x"})
