@@ -147,7 +147,7 @@ def parse_chat(
     head = F.max(F.when(F.col("_start"), F.struct(F.col("_wall"), "sender", "body", "_media")))
     tail = F.collect_list(F.when(~F.col("_start"), F.struct(*chunk, *order, "line")))
     text = F.when(~F.col("h._media"), F.col("h.body"))
-    more = F.array_join(F.transform(F.array_sort("t"), lambda x: x["line"]), "\n")
+    more = F.array_join(F.transform(F.sort_array("t"), lambda x: x["line"]), "\n")
     return (
         numbered.groupBy(*file, "message_no")
         .agg(head.alias("h"), tail.alias("t"))

@@ -491,7 +491,7 @@ def natural_keys(spark, d):
 def scalar_dates(spark, d):
     ts = F.col("o_orderdate")
     instant = ts.cast("timestamp")
-    return t.table(spark, d, "orders").select(
+    return t.spread(t.table(spark, d, "orders"), "o_orderkey").select(
         "o_orderkey",
         dates.week_start(ts).alias("week_start"),
         dates.month_start(ts).alias("month_start"),

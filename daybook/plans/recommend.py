@@ -117,7 +117,7 @@ def page_overrides(pages: DataFrame, docs: DataFrame, k: Mapping[str, int] | Non
         {"sections": "Section Order", "placement": "Primary CTA Placement", "color_strategy": "Color Strategy"},
     )
     said_of = lambda column: F.nullif(F.col("record")[column], F.lit(""))
-    said = F.array_sort(
+    said = F.sort_array(
         F.collect_list(
             F.struct(
                 "rank",

@@ -28,7 +28,7 @@ def cells(line: Column) -> Column:
 def signature(cell_array: Column) -> Column:
     """Sorted, trimmed, lowercased cell texts joined by ``|``; empty cells do not count."""
     names = F.transform(cell_array, lambda c: F.lower(F.trim(c)))
-    return F.array_join(F.array_sort(F.filter(names, lambda c: c != "")), "|")
+    return F.array_join(F.sort_array(F.filter(names, lambda c: c != "")), "|")
 
 
 def profile_table(lines: DataFrame, profiles: Sequence[BankProfile]) -> DataFrame:

@@ -228,7 +228,7 @@ def raw_sessions(spark: SparkSession, folder: str) -> DataFrame:
     metric = lambda name, value: F.struct(F.lit(name).alias("metricName"), value.alias("floatValue"))
     end = F.col("ts") + F.make_dt_interval(secs=F.floor("value").cast("decimal(18,6)"))
     timed = F.col("event_type").isin("click", "purchase")
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events"), "event_id").select(
         F.col("event_id").alias("row_no"),
         F.initcap(F.concat("event_type", F.lit(" session!"))).alias("fitnessActivity"),
         _iso(F.col("ts"), ".000+05:30").alias("startTime"),
@@ -303,17 +303,17 @@ def calendar_lines(spark: SparkSession, folder: str) -> DataFrame:
     dated = F.concat(F.lit(";VALUE=DATE:"), F.substring(stamp, 1, 8))
     uid = F.when(F.col("event_type") != "view", F.concat(F.lit("UID:e"), F.col("event_id").cast("string"), F.lit("@x")))
     text = F.concat_ws(
-            "\n",
-            F.lit("BEGIN:VCALENDAR"),
-            F.lit("BEGIN:VEVENT"),
-            F.concat(F.lit("DTSTART"), F.when(F.col("event_type") == "signup", dated).otherwise(timed)),
-            F.concat(F.lit("SUMMARY:"), F.col("event_type"), F.lit(" of\\, us")),
-            F.concat(F.lit(" er "), F.col("user_id").cast("string")),
-            uid,
-            F.lit("END:VEVENT"),
-            F.lit("END:VCALENDAR"),
-        )
-    return table(spark, folder, "events").select(
+        "\n",
+        F.lit("BEGIN:VCALENDAR"),
+        F.lit("BEGIN:VEVENT"),
+        F.concat(F.lit("DTSTART"), F.when(F.col("event_type") == "signup", dated).otherwise(timed)),
+        F.concat(F.lit("SUMMARY:"), F.col("event_type"), F.lit(" of\\, us")),
+        F.concat(F.lit(" er "), F.col("user_id").cast("string")),
+        uid,
+        F.lit("END:VEVENT"),
+        F.lit("END:VCALENDAR"),
+    )
+    return spread(table(spark, folder, "events"), "event_id").select(
         F.col("user_id").alias("path"),
         F.floor(F.col("event_id") / 1000).alias("block"),
         F.col("event_id").alias("line_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -105,3 +105,14 @@ def run_to_end(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+
+
+def stream_json_export(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
+    """Raw rows of JSON-array exports as files arrive; feed them to the export's normaliser."""
+    return (
+        spark.readStream.schema(schema)
+        .option("multiLine", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .json(folder)
+    )
