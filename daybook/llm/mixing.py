@@ -59,8 +59,9 @@ def systematic_copies(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(doc, size, source_size, target, copies) for each row; ``doc`` is the row as a struct.
+    """(doc, size, source_size, target, copies) for each row; ``doc`` is the row as a struct, or its ``keep`` columns.
 
     * size: words of the text (runs outside of ASCII white space); null and empty texts: 0.
     * Sources stand by code point, null last, as one source.
@@ -73,7 +74,7 @@ def systematic_copies(
     id_text = F.coalesce(name(id_column).cast("string"), F.lit(""))
     size = F.coalesce(F.regexp_count(name(text_column), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(
-        F.struct(*[name(c) for c in docs.columns]).alias("doc"),
+        F.struct(*[name(c) for c in keep or docs.columns]).alias("doc"),
         null_last_key(source_column).alias("skey"),
         size.alias("size"),
         F.pmod(md5_number(F.lit(str(seed)), id_text), F.lit(BUCKETS)).cast("int").alias("bucket"),
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes; see ``systematic_copies``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = systematic_copies(docs)
+    out = systematic_copies(docs, keep=["doc_id"])
     return out.select(
         F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
