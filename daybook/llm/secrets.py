@@ -1,0 +1,251 @@
+"""Find secrets, also below layers of URL, Unicode, base64 and compressed encoding.
+
+A worklist starts with the text itself. Each layer is scanned and then unwrapped: percent and
+``\\u`` escapes give a layer of the whole string with the escapes replaced, a base64 run
+gives a layer of what it decodes to, inflated if that is gzip, zlib or bz2 data. Every layer
+knows for each of its characters which span of the original text it stands for, so a find maps
+back to the text. A layer that was seen before (the same characters over the same spans) is not
+taken again; that ends rings such as archives that hold themselves. Escapes and base64 always
+shrink, and what inflates shares a budget of ``MAX_INFLATED`` characters a text; a text that
+reaches it is marked ``cut_short``, so nothing is dropped unseen.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bz2
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from daybook.llm.common import arrow_strings, map_batches, table
+
+KINDS = ("assign", "access", "hex")
+MAX_INFLATED = 64_000_000
+MASK = "[secret]"
+
+_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+# A run is taken whole from its first character, so "at least so long" drops the same runs as a
+# test of the length afterwards. That does not hold for assignments: see ``scan``.
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+_HEX = re.compile(r"[0-9a-f]{24,}")
+
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+
+
+def scan(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of one layer: leftmost, not overlapping within a kind."""
+    out = []
+    if ":" in text or "=" in text:
+        # A match whose value is too short still uses up its characters.
+        out = [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
+    out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+    return out
+
+
+class Layer:
+    """A string and, for each character, the span of the text that it stands for."""
+
+    __slots__ = ("ends", "starts", "text")
+
+    def __init__(self, text: str, starts, ends):
+        self.text, self.starts, self.ends = text, starts, ends
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return min(self.starts[start:end]), max(self.ends[start:end])
+
+
+def _plain(raw: bytes) -> str | None:
+    """Bytes as text, if they are text."""
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+
+
+def _inflate(raw: bytes, budget: list[int]) -> bytes | None:
+    """What gzip, zlib or bz2 data hold, as far as the budget goes; None if they are neither."""
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0):
+        unpack = zlib.decompressobj(47).decompress
+    elif raw[:3] == b"BZh":
+        unpack = bz2.BZ2Decompressor().decompress
+    else:
+        return None
+    try:
+        out = unpack(raw, max(1, budget[0]))
+    except (zlib.error, OSError, ValueError):
+        return None
+    budget[0] -= len(out)
+    return out
+
+
+def _unescaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The layer with the matches of ``pattern`` replaced by the characters they encode."""
+    parts, starts, ends, at, changed = [], [], [], 0, False
+    for m in pattern.finditer(layer.text):
+        found = decode(m.group())
+        if found is None:
+            continue
+        changed = True
+        parts.append(layer.text[at : m.start()])
+        starts.extend(layer.starts[at : m.start()])
+        ends.extend(layer.ends[at : m.start()])
+        for char, lo, hi in found:
+            lo, hi = layer.span(m.start() + lo, m.start() + hi)
+            parts.append(char)
+            starts.append(lo)
+            ends.append(hi)
+        at = m.end()
+    if not changed:
+        return None
+    return Layer("".join([*parts, layer.text[at:]]), [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]])
+
+
+def _percent(run: str) -> list[tuple[str, int, int]] | None:
+    raw = bytes.fromhex(run.replace("%", ""))
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+        return [(c, 3 * i, 3 * i + 3) for i, c in enumerate(text)]
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        out.append((c, 3 * at, 3 * (at + n)))
+        at += n
+    return out
+
+
+def _unicode(run: str) -> list[tuple[str, int, int]] | None:
+    if run[2] == "{":
+        code = int(run[3:-1], 16)
+        return [(chr(code), 0, len(run))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
+    out, i = [], 0
+    while i < len(units):
+        u = units[i]
+        if 0xD800 <= u < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000:
+            out.append((chr(0x10000 + ((u - 0xD800) << 10) + units[i + 1] - 0xDC00), 6 * i, 6 * i + 12))
+            i += 2
+        else:
+            out.append((chr(u) if not 0xD800 <= u < 0xE000 else "�", 6 * i, 6 * i + 6))
+            i += 1
+    return out
+
+
+def _unwrapped_runs(layer: Layer, budget: list[int]) -> Iterator[Layer]:
+    """A layer for each base64 run that holds text or compressed text."""
+    for m in _BASE64.finditer(layer.text):
+        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+        try:
+            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        inner = _inflate(raw, budget) if budget[0] > 0 else None
+        text = _plain(raw if inner is None else inner)
+        if text is None:
+            continue
+        lo, hi = layer.span(m.start(), m.end())
+        yield Layer(text, [lo] * len(text), [hi] * len(text))
+
+
+def find_secrets(text: str, max_inflated: int = MAX_INFLATED) -> tuple[list, list, bool]:
+    """(base spans, all spans, cut short) of one text; spans are (start, end, kind), sorted."""
+    base = sorted(scan(text), key=lambda s: (s[0], s[2], s[1]))
+    if not (_BASE64.search(text) or "%" in text or "\\u" in text):
+        return base, base, False
+    found, budget = set(base), [max_inflated]
+    work, seen = [Layer(text, range(len(text)), range(1, len(text) + 1))], set()
+    while work:
+        layer = work.pop()
+        if layer.text is not text:
+            key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)
+            key.update(f"{layer.starts[0]}:{layer.ends[-1]}:{len(layer.text)}".encode())
+            if key.digest() in seen:
+                continue
+            seen.add(key.digest())
+            found.update((*layer.span(s, e), k) for s, e, k in scan(layer.text))
+        if "%" in layer.text:
+            work.append(_unescaped(layer, _PERCENT, _percent))
+        if "\\u" in layer.text:
+            work.append(_unescaped(layer, _UNICODE, _unicode))
+        work = [x for x in work if x is not None and x.text]
+        work.extend(_unwrapped_runs(layer, budget))
+    return base, sorted(found, key=lambda s: (s[0], s[2], s[1])), budget[0] <= 0
+
+
+def masked(text: str, spans: list) -> str:
+    """The text with the union of the spans replaced by ``MASK``."""
+    out, at = [], 0
+    for start, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if spans else text
+
+
+def joined(spans: list) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
+
+
+def secret_spans(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
+    """The ``keep`` columns, base and all spans (arrays of start, end, kind) and ``cut_short``.
+
+    One pass over the rows as they lie, nothing shuffled. Null texts count as empty and have no
+    spans; repeated rows give repeated results; further columns are left out. Offsets are code
+    points, the end exclusive.
+    """
+    span = "array<struct<start:int,end:int,kind:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+        for b in batches:
+            found = [find_secrets(t) for t in arrow_strings(b.column(len(keep)))]
+            named = [pa.array([[(s, e, KINDS[k]) for s, e, k in f[i]] for f in found], kind) for i in (0, 1)]
+            cut = pa.array([f[2] for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *named, cut], names)
+
+    names = [*keep, "__base", "__all", "__cut"]
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_column}`").alias("__text"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+    out = map_batches(chosen, run, ", ".join([*schema, f"__base {span}", f"__all {span}", "__cut boolean"]))
+    return out.withColumnsRenamed({"__base": "base_spans", "__all": "spans", "__cut": "cut_short"})
+
+
+def mask_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The same rows and columns with every secret in the text masked, a decoded one by its run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_column)
+            texts = [t if t is None else masked(t, find_secrets(t)[1]) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return map_batches(docs, run, docs.schema)
+
+
+def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document; see ``secret_spans``."""
+    found = secret_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(text("base_spans").cast("binary"), 256).alias("base_sha256"),
+        text("spans").alias("spans"),
+        "cut_short",
+    )
