@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from daybook.llm.classifier import op10_quality_classifier
 from daybook.llm.mixing import OP5_SQL, op5_mix_sources
+from daybook.llm.packing import op4_pack_mixture
+from daybook.llm.secrets import op2_secret_scan
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op4_pack_mixture": op4_pack_mixture,
     "op5_mix_sources": op5_mix_sources,
     "op10_quality_classifier": op10_quality_classifier,
 }
