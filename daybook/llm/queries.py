@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from daybook.llm.bitslice import OP8_SQL, op8_bitsliced_topk
 from daybook.llm.classifier import op10_quality_classifier
+from daybook.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from daybook.llm.mixing import OP5_SQL, op5_mix_sources
+from daybook.llm.neighbours import op3_adaptive_neighbours
 from daybook.llm.packing import op4_pack_mixture
-from daybook.llm.secrets import op2_secret_scan
+from daybook.llm.secret_scan import op2_secret_scan
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_adaptive_neighbours": op3_adaptive_neighbours,
     "op4_pack_mixture": op4_pack_mixture,
     "op5_mix_sources": op5_mix_sources,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_bitsliced_topk": op8_bitsliced_topk,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE = {"op5_mix_sources": OP5_SQL}
+ORACLE = {"op5_mix_sources": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_bitsliced_topk": OP8_SQL}
