@@ -8,9 +8,11 @@ from daybook.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from daybook.llm.mixing import OP5_SQL, op5_mix_sources
 from daybook.llm.neighbours import op3_adaptive_neighbours
 from daybook.llm.packing import op4_pack_mixture
+from daybook.llm.pitman_yor import op1_pitman_yor
 from daybook.llm.secret_scan import op2_secret_scan
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_secret_scan": op2_secret_scan,
     "op3_adaptive_neighbours": op3_adaptive_neighbours,
     "op4_pack_mixture": op4_pack_mixture,
