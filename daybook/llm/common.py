@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -61,3 +62,9 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with the package at hand."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are over, now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

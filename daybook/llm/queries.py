@@ -10,6 +10,7 @@ from daybook.llm.neighbours import op3_adaptive_neighbours
 from daybook.llm.packing import op4_pack_mixture
 from daybook.llm.pitman_yor import op1_pitman_yor
 from daybook.llm.secret_scan import op2_secret_scan
+from daybook.llm.suffixes import op9_suffix_dedup
 
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_bitsliced_topk": op8_bitsliced_topk,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
