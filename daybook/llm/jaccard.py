@@ -34,6 +34,7 @@ WORDS = 5
 RECALL = 0.99999
 BLOCK = 256
 COLUMNS = 8192
+FOLDED = 3
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, stray: float = 0.5) -> tuple[int, int]:
@@ -153,6 +154,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _candidate_components(classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes that share a bucket with another one, directly or through others.
+
+    Members of a bucket of one of the first ``FOLDED`` bands are folded into its least label in
+    turn. Near copies share most buckets, so after that a crowd of them is a few labels, and the
+    other bands are taken once a label.
+    """
+    folded = classes.select("node", F.col("node").alias("label"), "names")
+    for band in range(FOLDED):
+        name = F.element_at("names", band + 1)
+        least = folded.groupBy(name.alias("name")).agg(F.min("label").alias("least"))
+        folded = folded.withColumn("name", name).join(least, "name").select("node", F.col("least").alias("label"), "names")
+    folded = materialize(folded, "folded")
+    labelled = folded.select("label", F.explode("names").alias("name")).distinct()
+    hubs = labelled.groupBy("name").agg(F.min("label").alias("hub"), F.max("label").alias("top")).filter("hub < top")
+    met = labelled.join(hubs.select("name", "hub"), "name").filter("label <> hub")
+    pointers = met.select(F.col("label").alias("a"), F.col("hub").alias("b"))
+    joined = components(pointers).select(F.col("node").alias("label"), F.col("label").alias("component"))
+    found = folded.select("node", "label").join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    crowded = found.groupBy("component").count().filter("count > 1").select("component")
+    return materialize(found.join(crowded, "component", "left_semi").select("node", "component"), "candidates")
+
+
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the given sets, pair by pair."""
     out = np.zeros(len(left), dtype=np.int64)
@@ -267,10 +291,7 @@ def ngram_jaccard(
         F.min("row").alias("node"), F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("size"), F.min(least).alias("least"), F.first("names").alias("names")
     )
     classes = materialize(classes, "classes")
-    named = classes.select("node", F.explode("names").alias("name"))
-    hubs = named.groupBy("name").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
-    pointers = named.join(hubs.select("name", "hub"), "name").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    found = components(pointers).withColumnRenamed("label", "component")
+    found = _candidate_components(classes)
     blocks = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     found = found.join(blocks, "component").join(classes, "node")
     members = materialize(found, "members")
