@@ -11,6 +11,7 @@ from daybook.llm.packing import op4_pack_mixture
 from daybook.llm.pitman_yor import op1_pitman_yor
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.suffixes import op9_suffix_dedup
+from daybook.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_pack_mixture": op4_pack_mixture,
     "op5_mix_sources": op5_mix_sources,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_token_files": op7_token_files,
     "op8_bitsliced_topk": op8_bitsliced_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
