@@ -173,9 +173,15 @@ def _candidates(texts: Texts, flagged: np.ndarray, length: int) -> np.ndarray:
     return near & (left >= length)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", same_again: bool = False, with_kept: bool = True
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` is the remaining bytes.
 
+    Blocks of rows are read twice. ``same_again`` says that ``docs`` gives the same rows in the
+    same partitions each time, as a scan of files does; else they are written first. A block that
+    does come back otherwise raises. Without ``with_kept`` that column is left out.
+
     * Texts are their UTF-8 bytes; null texts are empty. Earlier is a smaller doc_id (null first),
       or the same one in the order in which Spark reads rows of one id, or an earlier start.
     * Strings are judged on the input: what is removed still counts as an earlier place.
@@ -186,6 +192,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     buckets = partitions(spark)
     row = F.monotonically_increasing_id()
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), row.alias("row"), F.col(f"`{text_column}`").cast("binary").alias("text"))
+    if not same_again:
+        rows = materialize(rows, "numbered")
     # Partitions of a scan are numbered in the high bits, so a block lies in one of them.
     rows = rows.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -211,7 +219,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
         at, keys = _samples(joined, length, buckets)
         known, place = np.unique(keys, return_inverse=True)
         flags = _flags(told)
-        if len(flags) != len(known):
+        sizes = dict(zip(told.column("bucket").to_pylist(), told.column("n").to_pylist(), strict=True))
+        if {b: hi - lo for b, lo, hi in _runs((known >> np.uint64(32)).astype(np.int64))} != sizes:
             raise ValueError("a block was read in another way the second time")
         near = _candidates(joined, at[flags[place]], length)
         starts, ends = _ranges(near)
@@ -227,14 +236,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
                 "text": pa.array([t if x else None for t, x in zip(own, lists, strict=True)], pa.binary()),
                 "ranges": pa.array([np.array(x, dtype="<u4").tobytes() for x in lists], pa.binary()),
                 "n_bytes": pa.array([len(t) for t in own], pa.int64()),
-                "whole": pa.array([None if x else t for t, x in zip(own, lists, strict=True)], pa.binary()),
+                "kept_sha256": pa.array([None if x else hashlib.sha256(t).hexdigest() for t, x in zip(own, lists, strict=True)], pa.string()),
+                "whole": pa.array([None if x or not with_kept else t for t, x in zip(own, lists, strict=True)], pa.binary()),
             }
         )
 
-    schema = f"doc_id {kind}, row bigint, text binary, ranges binary, n_bytes bigint, whole binary"
+    schema = f"doc_id {kind}, row bigint, text binary, ranges binary, n_bytes bigint, kept_sha256 string, whole binary"
     parted = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(split, schema)
-    parted = parted.withColumn("kept_sha256", F.when(F.col("whole").isNotNull(), F.sha2("whole", 256)))
-    return _finish(spark, parted, kind, length, buckets)
+    out = _finish(spark, parted, kind, length, buckets, with_kept)
+    return out if with_kept else out.drop("kept")
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -254,7 +264,7 @@ def _suffixes(size_list: list[int], raw: bytes, ranges: list[bytes], length: int
     return texts, at, texts.names(at, length)
 
 
-def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int) -> DataFrame:
+def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int, with_kept: bool) -> DataFrame:
     parted = materialize(parted, "parted")
     release(spark)
     ordered = parted.filter("text is not null").select("doc_id", "row", "text", "ranges")
@@ -311,7 +321,7 @@ def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int) -> D
         for i, a, b in zip(r["ids"], texts.start[:-1].tolist(), texts.start[1:].tolist(), strict=True):
             own = gone[a:b]
             kept = texts.raw[a:b][~own].tobytes()
-            out.append((i, b - a, int(own.sum()), len(_ranges(own)[0]), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((i, b - a, int(own.sum()), len(_ranges(own)[0]), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
         types = [block.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -324,4 +334,4 @@ def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int) -> D
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 100 bytes that start earlier; see ``remove_repeats``."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), same_again=True, with_kept=False)
