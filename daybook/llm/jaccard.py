@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import map_batches, partitions, ship, table
+from daybook.llm.common import map_batches, partitions, release, ship, table
 from daybook.llm.words import chunks, hash_words, mix64
 from daybook.session import materialize
 
@@ -295,6 +295,7 @@ def ngram_jaccard(
     blocks = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     found = found.join(blocks, "component").join(classes, "node")
     members = materialize(found, "members")
+    release(spark)
 
     # The full sets, of the candidates alone: their texts are read and hashed once more.
     wanted = members.select(F.col("copy_id").alias("__wanted")).distinct()
@@ -323,6 +324,7 @@ def ngram_jaccard(
     ship(spark)
     verified = tiled.withColumn("tile", group).groupBy("tile").applyInArrow(lambda t: _tile(t, limit), "node bigint, links bigint, a bigint")
     verified = materialize(verified, "links")
+    release(spark)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     clusters = components(verified.select("a", F.col("node").alias("b")))
     joined = classes.join(links, "node", "left").join(clusters, "node", "left")
@@ -334,11 +336,21 @@ def ngram_jaccard(
     return full.unionByName(empty)
 
 
-def first_of_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, whole, that stand for their class: one of each group of near copies."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    kept = ngram_jaccard(numbered, row_column="__row", **options).filter("first").select(F.col("row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def first_of_class(docs: DataFrame, id_column: str = "doc_id", same_again: bool = False, **options) -> DataFrame:
+    """The rows of ``docs``, whole, that stand for their class: one of each group of near copies.
+
+    Rows are numbered and read more than once. ``same_again`` says that ``docs`` gives the same rows
+    in the same partitions each time, as a scan of files does; else they are written first.
+    Others than the first of a class are fewer than the rows that stay, so it is they that are joined.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    if not same_again:
+        numbered = materialize(numbered, "numbered")
+    found = ngram_jaccard(numbered, row_column="__row", id_column=id_column, **options)
+    others = materialize(found.filter(~F.col("first")).select(F.col("row").alias("__other"), F.col("id").alias("__id")), "others")
+    release(docs.sparkSession)
+    same = (F.col("__row") == F.col("__other")) & F.col(f"`{id_column}`").eqNullSafe(F.col("__id"))
+    return numbered.join(others, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -81,7 +81,8 @@ def systematic_copies(
         id_text.alias("id_text"),
     )
     rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * CLASSES_PER_DOUBLING).cast("int"))
-    rows = materialize(rows, "mix")  # words are counted once, then read three times
+    if keep:
+        rows = materialize(rows, "sizes")  # words are counted once; with whole rows, twice
     cell = ["skey", "class", "bucket"]
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("skey").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
