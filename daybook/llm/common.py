@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -66,5 +67,7 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that are over, now and not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees in Python holds objects that only the second can drop
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -31,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import map_batches, partitions, ship, table
+from daybook.llm.common import map_batches, partitions, release, ship, table
 from daybook.llm.words import chunks, hash_words
 from daybook.session import materialize
 
 SHARE = 1e-4
-BLOCK_BYTES = 8_000_000
+SHARDS_A_PARTITION = 3
+BLOCK_BYTES = 6_000_000
 BLOCK_TEXTS = 60_000
 ROUNDS = 2
 BURN_IN = 3
@@ -199,19 +200,19 @@ _BLOBS = ("words", "rows", "contexts", "learn", "occurs", "docs")
 def _merge(group: pa.Table, parents: np.ndarray) -> dict:
     """One shard: its dishes over all blocks, and for each block which dishes occur in which documents."""
     get = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in group.column(c).to_pylist()]
-    words, rows, contexts, learn = get("words", "<u8"), get("rows", "<u4"), get("contexts", "<u2"), get("learn", "<u4")
-    names, at = np.unique(np.concatenate(words), return_inverse=True)
-    word = np.repeat(at, np.concatenate(rows))
-    context = np.concatenate(contexts).astype(np.int64)
+    contexts = get("contexts", "<u2")
+    sizes = [len(x) for x in contexts]
+    names, at = np.unique(np.concatenate(get("words", "<u8")), return_inverse=True)
     kinds = len(parents)
-    key = word * kinds + context
+    key = np.repeat(at, np.concatenate(get("rows", "<u4"))) * kinds + np.concatenate(contexts)
+    del contexts, at
     # Each dish is also one of the context's parent, which may not have been seen by itself.
-    above = word * kinds + parents[context]
-    plain = np.arange(len(names)) * kinds
-    dishes = np.unique(np.concatenate([key, above, plain]))
+    dishes = np.unique(key)
+    above = dishes - dishes % kinds + parents[dishes % kinds]
+    dishes = np.unique(np.concatenate([dishes, above, np.arange(len(names)) * kinds]))
     place = np.searchsorted(dishes, key)
-    count = np.bincount(place, np.concatenate(learn), len(dishes)).astype(np.int64)
-    sizes = [len(x) for x in contexts]
+    del key, above
+    count = np.bincount(place, np.concatenate(get("learn", "<u4")), len(dishes)).astype(np.int64)
     docs = group.column("docs").to_pylist()
     return {
         "word": (dishes // kinds).astype("<u4").tobytes(),
@@ -369,7 +370,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     chosen = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
     contexts = find_contexts(chosen, share)
-    parents, shards = contexts.parents, partitions(spark)
+    parents, shards = contexts.parents, SHARDS_A_PARTITION * partitions(spark)
     kinds = len(parents)
     sent_schema = f"shard bigint, block bigint, {', '.join(f'{c} binary' for c in _BLOBS)}, ids array<{kind}>, n_tokens array<bigint>, held_out array<boolean>"
     merged_schema = _MERGED.format(id=kind)
@@ -390,6 +391,8 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     sent_types, merged_types = _arrow(spark, sent_schema), _arrow(spark, merged_schema)
     sent = map_batches(chosen, send, sent_schema)
     everything = materialize(sent.groupBy("shard").applyInArrow(merge, merged_schema), "shards")
+    del sent
+    release(spark)
     merged = everything.filter("shard >= 0")
 
     def stats(batches):

@@ -35,7 +35,7 @@ from daybook.session import materialize
 
 LENGTH = 100
 BLOCK_ROWS = 500
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 # Perfect difference sets, all differences modulo v exactly once.
 COVERS = {
     1: (0,),
@@ -121,7 +121,7 @@ def _earlier(group: pa.Table) -> pa.Table:
     """One bucket of suffix names: for each block, which of them occur in an earlier block."""
     order = np.argsort(group.column("block").to_numpy(), kind="stable")
     group = group.take(pa.array(order))
-    names = [np.frombuffer(x, dtype="<u8") for x in group.column("keys").to_pylist()]
+    names = [_unsqueezed(x) for x in group.column("keys").to_pylist()]
     sizes = [len(k) for k in names]
     flat = np.concatenate(names)
     order = np.argsort(flat, kind="stable")
@@ -146,6 +146,22 @@ def _flags(told: pa.Table) -> np.ndarray:
     return _bits(told.column("flags").to_pylist(), told.column("n").to_pylist())
 
 
+def _squeezed(names: np.ndarray) -> bytes:
+    """Sorted names: the first, then steps in as many bytes as the largest needs."""
+    steps = np.diff(names)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + names[:1].tobytes() + steps.view("u1").reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    steps = np.frombuffer(raw, dtype="u1", offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), dtype="u1")
+    out[1:, :width] = steps
+    out[0] = np.frombuffer(raw, dtype="u1", count=8, offset=1)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
@@ -210,6 +226,7 @@ def remove_repeats(
     ship(spark)
     sent = map_batches(rows.select("block", "text"), send_samples, "block bigint, bucket int, keys binary, again binary")
     told = materialize(sent.groupBy("bucket").applyInArrow(_namesakes, _TOLD), "namesakes")
+    del sent
     release(spark)
 
     def split(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -300,10 +317,11 @@ def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int, with
                 order = np.argsort(bucket, kind="stable")
                 names, bucket = names[order], bucket[order]
                 for k, lo, hi in _runs(bucket):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([k], pa.int32()), "keys": [names[lo:hi].tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([k], pa.int32()), "keys": [_squeezed(names[lo:hi])]})
 
     sent = map_batches(blocks, send, "block bigint, bucket int, keys binary")
     told = materialize(sent.groupBy("bucket").applyInArrow(_earlier, _TOLD), "earlier")
+    del sent
     release(spark)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
