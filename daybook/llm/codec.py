@@ -19,6 +19,8 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
+SHORT_BLOCK = 512
+LANES = 512
 ORDER2 = 8192
 ORDER1 = 4096
 MAGIC = b"DAYIDS01"
@@ -243,12 +245,15 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], digits: int) -> lis
     return [grid[:n, k].astype("<u4") for k, n in enumerate(lengths)]
 
 
-def pack_file(part: int, ids: list[int | None], counts: list[int], tokens: np.ndarray, block: int = BLOCK) -> bytes:
+def pack_file(part: int, ids: list[int | None], counts: list[int], tokens: np.ndarray, block: int | None = None) -> bytes:
     """A file: header, documents (id or none, number of tokens), block table, payloads.
 
+    Blocks have ``BLOCK`` ids, or fewer in a small file, so that enough of them are coded in step.
+
     Header: magic, the file's place, digits of an id, documents, blocks; all little-endian. A
     block's entry: its number of ids, bytes of payload, and crc32 of the ids as unsigned 32-bit numbers.
     """
+    block = block or min(BLOCK, max(SHORT_BLOCK, len(tokens) // LANES))
     digits = max(1, -(-int(tokens.max(initial=1)).bit_length() // 4))
     parts = [tokens[i : i + block] for i in range(0, len(tokens), block)]
     payloads = encode_blocks(parts, digits)  # only the last can be shorter

@@ -13,7 +13,7 @@ import os
 import numpy as np
 
 # Pieces kept by a worker; beyond it the store starts anew. It bounds memory, not results.
-KEPT = 1_000_000
+KEPT = 400_000
 JOINED = 50
 
 
