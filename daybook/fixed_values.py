@@ -10,19 +10,6 @@ MERCHANT_PATTERNS = [
     r"(?:NEFT|IMPS|RTGS)[-/ ][A-Z0-9]*[-/ ]?([A-Za-z0-9 .&_]+)",
 ]
 
-# ---- fixed values: starter category rules, first match wins ----
-CATEGORY_RULES = [
-    ("swiggy|zomato|eatsure", "food_delivery"),
-    ("uber|ola|rapido|namma", "transport"),
-    ("bigbasket|blinkit|zepto|dmart|instamart", "groceries"),
-    ("amazon|flipkart|myntra", "shopping"),
-    ("netflix|spotify|hotstar|prime|youtube", "subscriptions"),
-    ("cult|gym|fitness", "fitness"),
-    ("irctc|makemytrip|indigo|goibibo|redbus", "travel"),
-    ("jio|airtel|bescom|broadband", "utilities"),
-    ("atm|cash wdl", "cash"),
-]
-
 # ---- fixed values: strptime formats tried when a profile's own format fails ----
 FALLBACK_DATE_FORMATS = [
     "%d/%m/%Y",

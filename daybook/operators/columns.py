@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Inputs up to this size are spread over the cores.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
 
 def computed_once(df: DataFrame) -> DataFrame:
     """The same rows, with computed columns that later filters read instead of repeat.
@@ -17,15 +14,3 @@ def computed_once(df: DataFrame) -> DataFrame:
     Filters on plain columns belong before this.
     """
     return df.select(F.inline_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a small input over all cores; a large one stays as its files split.
-
-    A table of one row group is read by one task, however costly the work per row is. The
-    planner's own size estimate decides, so nothing large is ever shuffled for this.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

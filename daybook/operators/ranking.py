@@ -7,17 +7,13 @@ document add up in the task that holds it and only the best few per query and ta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import BM25_B, BM25_K1, RERANK_WEIGHTS, SEARCH_K
 from daybook.functions.text import token_count, tokens, with_term_counts
-from daybook.session import materialize
-
-# Query terms are copied to every task up to this many; more are joined by shuffle.
-MAX_BROADCAST_TERMS = 200_000
 
 ONE_CORPUS = "all"
 
@@ -66,34 +62,19 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
     )
 
 
-def query_postings(
-    docs: DataFrame,
-    wanted: DataFrame,
-    corpora: list[str],
-    doc: str,
-    text: str,
-    bounded: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Written postings of the query terms: (corpus, _doc, doc_len, term, tf).
+def query_postings(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """Postings of the query terms: (corpus, _doc, doc_len, term, tf), dealt out by document.
 
-    Every document also has one posting of the empty term, which carries its length into
-    the corpus statistics. Texts are read and tokenised once, here, without a shuffle.
+    Texts are tokenised inside their rows. The exchange is by document, so a frequent word is
+    spread like any other, and what is counted and what is scored both read it.
     """
-    spark = docs.sparkSession
-    marks = spark.createDataFrame([(c, "") for c in corpora], "corpus string, term string")
-    keep = wanted.select("corpus", "term").distinct().unionByName(marks)
-    counted = with_term_counts(docs, text).select(
-        "corpus",
-        F.col(doc).alias("_doc"),
-        F.aggregate("term_counts", F.lit(0), lambda n, x: n + x["tf"]).alias("doc_len"),
-        F.concat(
-            "term_counts", F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
-        ).alias("_t"),
-    )
-    found = counted.select("corpus", "_doc", "doc_len", F.inline_outer("_t")).join(
-        bounded(keep), ["corpus", "term"], "left_semi"
+    length = F.aggregate("term_counts", F.lit(0), lambda n, x: n + x["tf"])
+    counted = with_term_counts(docs.select("corpus", F.col(doc).alias("_doc"), F.col(text).alias("_text")), "_text").select(
+        "corpus", "_doc", length.alias("doc_len"), F.col("term_counts").alias("_t")
     )
-    return materialize(found, "postings")
+    # The outer form: for a plain ``inline`` Spark adds a filter that counts all terms once more.
+    found = counted.select("corpus", "_doc", "doc_len", F.inline_outer("_t")).join(wanted.select("corpus", "term").distinct(), ["corpus", "term"], "left_semi")
+    return found.select("corpus", "_doc", "doc_len", "term", "tf").repartition("corpus", "_doc")
 
 
 def bm25_topk(
@@ -111,8 +92,12 @@ def bm25_topk(
 
     With a mapping for ``k``, ``docs`` has a ``corpus`` column, every corpus is ranked on
     its own with its own ``k``, and a query goes to the corpus in its ``corpus`` column, or to
-    each of them if there is none. A corpus without documents yields no rows. Ties go to the
-    lower document id.
+    each of them if there is none. A corpus without documents yields no rows.
+
+    One plan for all sizes, run when the result is used. Scores are not rounded: the weight of a
+    word that every document has falls with their number, and still counts. Documents are ordered
+    by their score as a decimal of 18 digits, in which the order of adding does not matter; ties
+    go to the lower document id.
     """
     per_corpus = k if isinstance(k, Mapping) else {ONE_CORPUS: k}
     if isinstance(k, Mapping):
@@ -124,45 +109,26 @@ def bm25_topk(
         docs, queries = docs.withColumn("corpus", F.lit(ONE_CORPUS)), queries.withColumn("corpus", F.lit(ONE_CORPUS))
 
     wanted = query_terms(queries, query, query_text)
-    small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    bounded = F.broadcast if small else (lambda df: df)
-
-    postings = query_postings(docs, wanted, list(per_corpus), doc, text, bounded)
-    # One row per corpus named in ``per_corpus``.
-    stats = F.broadcast(
-        postings.filter(F.col("term") == "")
-        .groupBy("corpus")
-        .agg(
-            F.count(F.lit(1)).alias("n_docs"),
-            (F.sum("doc_len") / F.count(F.lit(1))).alias("avgdl"),
-        )
-    )
-    postings = postings.filter(F.col("term") != "")
+    postings = query_postings(docs, wanted, doc, text)
+    stats = corpus_stats(docs, text, "corpus")
+    counted = F.col("_doc").isNotNull() | (F.col("doc_len") + F.col("tf") > 0)
     weights = (
         postings.groupBy("corpus", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count_if(counted).alias("df"))
         .join(stats, "corpus")
-        .join(bounded(wanted), ["corpus", "term"])
-        .select(
-            "corpus",
-            "term",
-            query,
-            "avgdl",
-            (F.col("mult") * idf(F.col("n_docs"), F.col("df"))).alias("_w"),
-        )
+        .join(wanted, ["corpus", "term"])
+        .select("corpus", "term", query, "avgdl", (F.col("mult") * idf(F.col("n_docs"), F.col("df"))).alias("_w"))
     )
-    if small:
-        # With the weights copied to every task, scores add up where a document's postings are.
-        postings = postings.repartition("_doc")
     length_norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
     gain = F.col("_w") * F.col("tf") * (k1 + 1) / (F.col("tf") + length_norm)
     scored = (
-        postings.join(bounded(weights), ["corpus", "term"])
+        postings.join(weights, ["corpus", "term"])
+        .withColumn("_gain", gain)
         .groupBy("corpus", query, "_doc")
-        .agg(F.round(F.sum(gain), 6).alias("score"))
+        .agg(F.sum("_gain").alias("score"), F.sum(F.col("_gain").cast("decimal(28,18)")).alias("_order"))
         .filter("score > 0")
     )
-    best = Window.partitionBy("corpus", query).orderBy(F.col("score").desc(), "_doc")
+    best = Window.partitionBy("corpus", query).orderBy(F.col("_order").desc(), "_doc")
     limit = F.lit(0)
     for name, n in per_corpus.items():
         limit = F.when(F.col("corpus") == name, F.lit(n)).otherwise(limit)

@@ -425,13 +425,13 @@ def _product_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def categorize_rule_table(spark, d):
-    rows = enrich.enrich_by_table(t.transactions(spark, d), _product_rules(spark, d))
+    rows = enrich.enrich(t.transactions(spark, d), enrich.listed_rules(_product_rules(spark, d)))
     return rows.select("dedupe_key", "ts", "amount", "merchant", "category")
 
 
 @query
 def categorize_rule_join(spark, d):
-    rows = enrich.enrich_by_table(t.transactions(spark, d), _product_rules(spark, d), max_inline=0)
+    rows = enrich.enrich_by_table(t.transactions(spark, d), _product_rules(spark, d))
     return rows.select("dedupe_key", "ts", "amount", "merchant", "category")
 
 
@@ -491,7 +491,7 @@ def natural_keys(spark, d):
 def scalar_dates(spark, d):
     ts = F.col("o_orderdate")
     instant = ts.cast("timestamp")
-    return t.spread(t.table(spark, d, "orders"), "o_orderkey").select(
+    return t.table(spark, d, "orders").select(
         "o_orderkey",
         dates.week_start(ts).alias("week_start"),
         dates.month_start(ts).alias("month_start"),
@@ -596,13 +596,14 @@ def bm25_idf(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return ranking.bm25_topk(t.documents(spark, d), t.search_queries(spark, d)).drop("corpus")
+    return ranking.bm25_topk(t.documents(spark, d), t.search_queries(spark, d)).drop("corpus").withColumn("score", F.round("score", 6))
 
 
 @query
 def multi_corpus_topk(spark, d):
     docs = t.documents(spark, d).withColumn("corpus", F.col("lang"))
-    return ranking.bm25_topk(docs, t.search_queries(spark, d), {"en": 3, "fr": 2, "es": 2, "de": 1})
+    hits = ranking.bm25_topk(docs, t.search_queries(spark, d), {"en": 3, "fr": 2, "es": 2, "de": 1})
+    return hits.withColumn("score", F.round("score", 6))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from daybook.fixed_values import MERCHANT_PATTERNS, PAGE_TYPES, TOPIC_KEYWORDS
+from daybook.fixed_values import PAGE_TYPES, TOPIC_KEYWORDS
 
 NARRATION = """CASE l_linenumber % 5
   WHEN 0 THEN 'UPI/DR/' || l_orderkey || '/' || upper(p_name) || '/UTIB/x@axis'
@@ -21,23 +21,29 @@ TX = f"""tx AS (SELECT l_shipdate AS ts,
   sha256('bank|' || l_orderkey || '|' || l_linenumber) AS dedupe_key FROM {SALES})"""
 
 
-def merchant(narration: str = "narration") -> str:
-    tries = [f"nullif(upper(trim(regexp_extract({narration}, '{p}', 1))), '')" for p in MERCHANT_PATTERNS]
-    return f"coalesce({', '.join(tries)})"
+# Four ways to find a merchant in a narration: what stands after the reference of a UPI transfer,
+# between the marks of another UPI transfer, after a card terminal, after a bank transfer.
+MERCHANT = """list_filter([upper(trim(m)) FOR m IN [
+  regexp_extract(narration, 'UPI/(?:DR|CR)/\\d+/([A-Za-z0-9 .&_]+?)/', 1),
+  regexp_extract(narration, 'UPI[-/]([A-Za-z0-9 .&_]+?)[-/]', 1),
+  regexp_extract(narration, 'POS[ /]\\d*[ /]?([A-Za-z0-9 .&*_]+)', 1),
+  regexp_extract(narration, '(?:NEFT|IMPS|RTGS)[-/ ][A-Z0-9]*[-/ ]?([A-Za-z0-9 .&_]+)', 1)]], lambda m: m <> '')[1]"""
 
 
-def category(rules: list[tuple[str, str]]) -> str:
-    whens = " ".join(
-        f"WHEN regexp_matches(lower(coalesce(merchant, narration, '')), '{p}') THEN '{c}'" for p, c in rules
+def first_label(rules: list[tuple[str, str]]) -> str:
+    """The label of the first rule one of whose words occurs in the merchant or else the narration."""
+    text = "lower(coalesce(merchant, narration, ''))"
+    found = ", ".join(
+        f"if({' OR '.join(f'contains({text}, {w!r})' for w in words.split('|'))}, {label!r}, NULL)" for words, label in rules
     )
-    return f"CASE {whens} END"
+    return f"list_filter([{found}], lambda label: label IS NOT NULL)[1]"
 
 
 RULES = [("bolt|rod", "hardware"), ("ring", "jewellery"), ("widget|gizmo", "gadgets"), ("atm|cash wdl", "cash")]
 OLD_RULES = [("bolt|rod", "hardware"), ("ring|gear", "parts"), ("atm|cash wdl", "cash")]
 
-ENRICHED = f"""{TX}, with_merchant AS (SELECT *, {merchant()} AS merchant FROM tx),
-enriched AS (SELECT *, {category(RULES)} AS category FROM with_merchant)"""
+ENRICHED = f"""{TX}, with_merchant AS (SELECT *, {MERCHANT} AS merchant FROM tx),
+enriched AS (SELECT *, {first_label(RULES)} AS category FROM with_merchant)"""
 
 ACTIVITIES = """activities AS (SELECT user_id, event_type AS activity_type, value AS duration_min,
   CAST(DATE '1997-01-06' + CAST(7 * CASE WHEN event_type = 'signup' THEN (user_id % 50) * 2
@@ -95,7 +101,7 @@ STATEMENT = f"""rows AS (SELECT l_orderkey, l_linenumber,
   CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN 'Closing Balance'
        WHEN l_linenumber = 5 AND l_returnflag = 'A' THEN '' ELSE {NARRATION} END AS narration,
   CASE WHEN l_returnflag = 'R' THEN {PRICE} ELSE -{PRICE} END AS amount FROM {SALES}),
-kept AS (SELECT *, {merchant()} AS merchant FROM rows
+kept AS (SELECT *, {MERCHANT} AS merchant FROM rows
   WHERE day IS NOT NULL AND narration <> '' AND narration <> 'Closing Balance')"""
 
 FILE_PATH = """CASE WHEN contains(url, '?utm_source') THEN '/in/Streaming_History_Audio_' || page_id || '.json'
@@ -121,12 +127,14 @@ def bm25(corpus: str, k: str, queries: str = QT, where: str = "true") -> str:
   stats AS (SELECT corpus, count(*) AS n, sum(dl) / count(*) AS avgdl FROM docs GROUP BY corpus),
   post AS (SELECT docs.corpus, docs.doc_id, dl, term, tf FROM tf JOIN docs USING (doc_id)),
   dfs AS (SELECT corpus, term, count(*) AS df FROM post GROUP BY corpus, term),
-  scores AS (SELECT corpus, query_id, doc_id, round(sum(mult * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5
-      / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-    FROM post JOIN dfs USING (corpus, term) JOIN qt USING (term) JOIN stats USING (corpus) GROUP BY 1, 2, 3),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus, query_id ORDER BY score DESC, doc_id) AS rank
+  gains AS (SELECT corpus, query_id, doc_id, mult * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5
+      / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS gain
+    FROM post JOIN dfs USING (corpus, term) JOIN qt USING (term) JOIN stats USING (corpus)),
+  scores AS (SELECT corpus, query_id, doc_id, sum(gain) AS score, sum(CAST(gain AS DECIMAL(28,12))) AS fine
+    FROM gains GROUP BY 1, 2, 3),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus, query_id ORDER BY fine DESC, doc_id) AS rank
     FROM scores WHERE score > 0),
-  hits AS (SELECT corpus, query_id, rank, doc_id, score FROM ranked WHERE rank <= {k})"""
+  hits AS (SELECT corpus, query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= {k})"""
 
 
 def topic() -> str:
@@ -216,7 +224,7 @@ PRODUCT_RULES = """names AS (SELECT p_name, min(p_brand) AS category, min(p_part
 rules AS (SELECT first AS rule_no, p_name || '|' || reverse(p_name) AS match, category FROM names
   UNION ALL SELECT max(first) + 1000000, split_part(p_name, ' ', 2), max(category) FROM names GROUP BY split_part(p_name, ' ', 2))"""
 
-BY_TABLE = f"""WITH {TX}, {PRODUCT_RULES}, m AS (SELECT *, {merchant()} AS merchant FROM tx),
+BY_TABLE = f"""WITH {TX}, {PRODUCT_RULES}, m AS (SELECT *, {MERCHANT} AS merchant FROM tx),
   texts AS (SELECT DISTINCT lower(coalesce(merchant, narration, '')) AS t FROM m),
   found AS (SELECT t, arg_min(category, rule_no) AS category FROM texts JOIN rules ON regexp_matches(t, match) GROUP BY t)
   SELECT dedupe_key, ts, amount, merchant, category FROM m LEFT JOIN found ON t = lower(coalesce(merchant, narration, ''))"""
@@ -336,11 +344,11 @@ ORACLE: dict[str, str] = {
     "header_signature_match": f"""WITH {FILE_LINES} SELECT path, profile, CAST(s_suppkey % 4 AS INTEGER) AS header_row FROM owned WHERE profile IS NOT NULL""",
     "statement_file_load": f"""WITH {FILE_LINES}, rows AS (SELECT path, l_shipdate AS ts, CAST(CASE WHEN l_returnflag = 'R' THEN {PRICE} ELSE -{PRICE} END AS DECIMAL(12,2)) AS amount,
         {NARRATION} AS narration, profile AS account FROM {SALES} JOIN owned ON l_suppkey = s_suppkey WHERE profile IS NOT NULL),
-      m AS (SELECT *, {merchant()} AS merchant FROM rows)
-      SELECT *, {category(RULES)} AS category,
+      m AS (SELECT *, {MERCHANT} AS merchant FROM rows)
+      SELECT *, {first_label(RULES)} AS category,
         sha256('bank|' || account || '|' || CAST(ts AS DATE) || '|' || amount || '|' || narration) AS dedupe_key FROM m""",
     "statement_normalize": f"""WITH {STATEMENT} SELECT CAST(day AS TIMESTAMP) AS ts, amount, narration, account, merchant,
-        {category(RULES)} AS category, sha256('bank|' || account || '|' || day || '|' || amount || '|' || narration) AS dedupe_key FROM kept""",
+        {first_label(RULES)} AS category, sha256('bank|' || account || '|' || day || '|' || amount || '|' || narration) AS dedupe_key FROM kept""",
     "amount_normalize": f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN {PRICE} ELSE -{PRICE} END AS single,
         CASE WHEN l_returnflag = 'R' THEN {PRICE} ELSE -{PRICE} END AS pair, CAST(NULL AS DECIMAL(12,2)) AS dotted,
         CASE WHEN l_returnflag <> 'R' THEN -{PRICE} END AS strict FROM {SALES}""",
@@ -355,13 +363,13 @@ ORACLE: dict[str, str] = {
     "message_enrich": f"""WITH {MESSAGES} SELECT ts, chat, ' ' || upper(sender[1]) || sender[2:] AS sender, sender = 'user' AS is_me, text,
         CAST(len([w FOR w IN string_split_regex(text, '\\s+') IF w <> '']) AS INTEGER) AS word_count,
         sha256('whatsapp|' || chat || '|' || {STAMP} || '| ' || upper(sender[1]) || sender[2:] || '|' || text) AS dedupe_key FROM messages""",
-    "merchant_extract": f"WITH {TX} SELECT dedupe_key, narration, {merchant()} AS merchant FROM tx",
+    "merchant_extract": f"WITH {TX} SELECT dedupe_key, narration, {MERCHANT} AS merchant FROM tx",
     "categorize": f"WITH {ENRICHED} SELECT dedupe_key, ts, amount, merchant, category FROM enriched",
     "categorize_rule_table": BY_TABLE,
     "categorize_rule_join": BY_TABLE,
     "recategorize": f"WITH {ENRICHED} SELECT ts, amount, narration, account, dedupe_key, merchant, category FROM enriched",
     "recategorize_delta": f"""WITH {ENRICHED} SELECT ts, amount, narration, account, dedupe_key, merchant, category FROM enriched
-      WHERE category IS DISTINCT FROM {category(OLD_RULES)}""",
+      WHERE category IS DISTINCT FROM {first_label(OLD_RULES)}""",
     "natural_keys": KEY_OF_EVENTS.format(s=STAMP, ms=MS),
     "scalar_dates": """SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
         CAST(date_trunc('year', o_orderdate) AS DATE) AS year_start, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS utc_text,

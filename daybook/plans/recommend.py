@@ -22,7 +22,6 @@ from daybook.fixed_values import (
 from daybook.functions.text import contains_any
 from daybook.operators.ranking import bm25_topk, rerank
 from daybook.operators.rules import apply_rule, page_type, tiered_lookup, topic
-from daybook.session import materialize
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = SEARCH_K) -> DataFrame:
@@ -40,11 +39,17 @@ def _top(hits: DataFrame, corpus: str, fields: Mapping[str, str]) -> DataFrame:
 
 
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits with the records of their documents.
+    """Hits, a few rows per query, with the records of their documents."""
+    return hits.join(docs.drop("text"), ["corpus", "doc_id"])
 
-    Written out, a few rows per query, because every part of a record reads them again.
-    """
-    return materialize(hits.join(docs.drop("text"), ["corpus", "doc_id"]), "hits")
+
+def _tops(hits: DataFrame, corpora: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """One row per query: fields of the first hit of each corpus, hits read once."""
+    firsts = {c: F.max(F.when((F.col("corpus") == c) & (F.col("rank") == 1), F.to_json("record"))) for c in corpora}
+    rows = hits.groupBy("query_id").agg(*[e.alias(f"_{c}") for c, e in firsts.items()])
+    records = rows.select("query_id", *[F.from_json(f"_{c}", "map<string,string>").alias(f"_{c}") for c in corpora])
+    fields = [F.col(f"_{c}")[column].alias(name) for c, of in corpora.items() for name, column in of.items()]
+    return records.select("query_id", *fields)
 
 
 def _fields(corpus: str) -> dict[str, str]:
@@ -60,9 +65,11 @@ def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFram
     """
     plain = {c: k for c, k in CORPUS_K.items() if c != "style"}
     hits = with_documents(bm25_topk(docs, queries, plain), docs)
+    parts = {"product": {"category": "Product Type"}, **{c: _fields(c) for c in ("landing", "color", "typography")}}
+    # One row per query, which the rule lookup and the result both read.
     category = (
         queries.select("query_id", "query_text")
-        .join(_top(hits, "product", {"category": "Product Type"}), "query_id", "left")
+        .join(_tops(hits, parts), "query_id", "left")
         .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY)))
     )
     ruled = apply_rule(tiered_lookup(category, "category", rules), rules)
@@ -82,9 +89,7 @@ def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFram
     )
     style = best.select("query_id", *[F.col("record")[c].alias(n) for n, c in _fields("style").items()])
 
-    joined = ruled
-    for part in (style, *[_top(hits, c, _fields(c)) for c in ("landing", "color", "typography")]):
-        joined = joined.join(part, "query_id", "left")
+    joined = ruled.join(style, "query_id", "left")
     fallback = {"pattern_name": F.col("pattern"), "font_mood": F.col("typography_mood")}
     return joined.select(
         "query_id",

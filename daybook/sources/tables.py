@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.keys import row_key
-from daybook.operators.columns import computed_once, spread
+from daybook.operators.columns import computed_once
 from daybook.schemas import BankProfile, CategoryRule
 
 RULES = [
@@ -37,8 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents for work that is costly per text."""
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def narration() -> Column:
@@ -57,7 +56,7 @@ def narration() -> Column:
 def sales(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the name of their part."""
     part = table(spark, folder, "part").select("p_partkey", "p_name")
-    items = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    items = table(spark, folder, "lineitem")
     return items.join(part, items["l_partkey"] == part["p_partkey"])
 
 
@@ -228,7 +227,7 @@ def raw_sessions(spark: SparkSession, folder: str) -> DataFrame:
     metric = lambda name, value: F.struct(F.lit(name).alias("metricName"), value.alias("floatValue"))
     end = F.col("ts") + F.make_dt_interval(secs=F.floor("value").cast("decimal(18,6)"))
     timed = F.col("event_type").isin("click", "purchase")
-    return spread(table(spark, folder, "events"), "event_id").select(
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("row_no"),
         F.initcap(F.concat("event_type", F.lit(" session!"))).alias("fitnessActivity"),
         _iso(F.col("ts"), ".000+05:30").alias("startTime"),
@@ -313,7 +312,7 @@ def calendar_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("END:VEVENT"),
         F.lit("END:VCALENDAR"),
     )
-    return spread(table(spark, folder, "events"), "event_id").select(
+    return table(spark, folder, "events").select(
         F.col("user_id").alias("path"),
         F.floor(F.col("event_id") / 1000).alias("block"),
         F.col("event_id").alias("line_id"),

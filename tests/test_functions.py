@@ -113,18 +113,19 @@ def test_merchant_and_category(spark):
 
 def test_rules_table_in_both_forms(spark):
     rules = spark.createDataFrame(
-        [(1, r"pay\s+ind", "a"), (2, "amazon|zomato", "b"), (3, "o", "c"), (4, "^upi", "d")],
+        [(0, None, "z"), (1, r"pay\s+ind", "a"), (1, "upi", None), (1, "", "z"), (2, "amazon|zomato", "b"), (3, "o", "c"), (4, "^upi", "d")],
         "rule_no int, match string, category string")
     rows = ["POS 1 AMAZON PAY INDIA", "UPI-ZOMATO-z-1", "POS 2 AMAZON", "UPI only", "NEFT-B1-POLO", "zzz"]
     df = spark.createDataFrame([(r,) for r in rows], "narration string")
-    inline = {r.narration: r.category for r in enrich.enrich_by_table(df, rules).collect()}
-    joined = {r.narration: r.category for r in enrich.enrich_by_table(df, rules, max_inline=0).collect()}
+    inline = {r.narration: r.category for r in enrich.enrich(df, enrich.listed_rules(rules)).collect()}
+    joined = {r.narration: r.category for r in enrich.enrich_by_table(df, rules).collect()}
     assert inline == joined == dict(zip(rows, ["a", "b", "b", "c", "c", None]))
 
 
-def test_incomplete_rules_are_ignored():
-    entries = [{"match": "a", "category": "b"}, {"match": "a"}, {"category": "b"}, "x", {"match": "", "category": "c"}]
-    assert enrich.load_rules(entries) == [CategoryRule("a", "b")]
+def test_unusable_rules_are_left_out(spark):
+    rows = [(3, "k", "late"), (1, "tea", "drink"), (2, None, "gone"), (4, "x", ""), (5, "", "gone"), (6, "y", None)]
+    table = spark.createDataFrame(rows, "rule_no int, match string, category string")
+    assert enrich.listed_rules(table) == [CategoryRule("tea", "drink"), CategoryRule("k", "late")]
 
 
 def test_recategorize(spark):

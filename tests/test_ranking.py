@@ -45,10 +45,10 @@ def corpus():
     return docs, queries
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_bm25_equals_brute_force(spark, corpus, bound, monkeypatch):
-    monkeypatch.setattr(ranking, "MAX_BROADCAST_TERMS", bound)
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_bm25_equals_brute_force(spark, corpus, broadcast):
     docs, queries = corpus
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     got = ranking.bm25_topk(
         spark.createDataFrame(docs, "doc_id int, text string"),
         spark.createDataFrame(queries, "query_id int, query_text string"), 5).collect()
@@ -57,6 +57,25 @@ def test_bm25_equals_brute_force(spark, corpus, bound, monkeypatch):
         want = brute_bm25(docs, text, 5)
         assert [i for i, _ in mine] == [i for i, _ in want]
         assert [s for _, s in mine] == pytest.approx([s for _, s in want], abs=2e-6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+
+
+def test_a_word_that_all_documents_have_still_counts(spark):
+    docs = spark.range(2_000_000).select(F.col("id").alias("doc_id"), F.lit("common word").alias("text"))
+    queries = spark.createDataFrame([(1, "common")], "query_id int, query_text string")
+    got = ranking.bm25_topk(docs, queries, 3).collect()
+    assert [(r.doc_id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1), (1, 2), (2, 3)]
+    assert all(0 < r.score < 1e-6 for r in got)
+
+
+def test_building_starts_no_job(spark, corpus):
+    docs, queries = corpus
+    docs = spark.createDataFrame(docs, "doc_id int, text string")
+    queries = spark.createDataFrame(queries, "query_id int, query_text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "")
+    ranking.bm25_topk(docs, queries)
+    assert list(tracker.getJobIdsForGroup("build")) == []
 
 
 def test_each_corpus_on_its_own(spark, corpus):
