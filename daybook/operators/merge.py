@@ -34,12 +34,13 @@ def near(target: DataFrame, batch: DataFrame, ts: str, margin_days: int = 2) ->
     """Target rows dated within the span of the batch, give or take some days.
 
     The bounds are scalar subqueries, whose values Spark hands to the Parquet scan, so a load
-    of one month does not read the keys of all years. An empty batch keeps nothing.
+    of one month does not read the keys of all years. Rows without a time may equal any batch
+    row without one, so they stay. An empty batch keeps nothing else.
     """
     day = F.col(ts).cast("date")
     first = batch.agg(F.date_sub(F.min(day), margin_days).alias("d")).scalar()
     last = batch.agg(F.date_add(F.max(day), margin_days + 1).alias("d")).scalar()
-    return target.filter((F.col(ts) >= first) & (F.col(ts) < last))
+    return target.filter(F.col(ts).isNull() | (F.col(ts) >= first) & (F.col(ts) < last))
 
 
 def insert_dedupe(

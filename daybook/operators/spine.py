@@ -81,7 +81,3 @@ def flag_weeks(
 def gaps(spine: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Spine rows without a fact. ``facts`` is reduced to its distinct keys first."""
     return spine.join(facts.select(*on).distinct(), list(on), "left_anti")
-
-
-def between(day: Column, first: Column, last: Column) -> Column:
-    return (day >= first) & (day <= last)

@@ -20,19 +20,24 @@ from daybook.operators import chat
 from daybook.operators.merge import collapse, insert_dedupe, new_files
 from daybook.operators.statement import normalize_statement
 from daybook.plans.warehouse import (
+    WARNINGS_TABLE,
     append_ledger,
     append_load,
     append_warnings,
     read_ledger,
     read_table,
 )
-from daybook.schemas import BankProfile, CategoryRule
+from daybook.schemas import BankProfile, CategoryRule, required
 from daybook.sources import exports, files
 from daybook.sources.chat_lines import chat_name, text_lines
 from daybook.sources.statements import find_headers, profile_table, statement_cells
 
-# Up to this many new files are read by name; more are picked out of a scan of the folder.
-MAX_LISTED_FILES = 10_000
+UNREADABLE = "unreadable file"
+NO_DATE = "no date column recognized"
+NO_MESSAGES = "no message lines recognized"
+NO_PROFILE = "no profile matches the header"
+# A file with one of these warnings gave nothing; it is not booked as imported.
+NOT_IMPORTED = (UNREADABLE, NO_DATE, NO_MESSAGES, NO_PROFILE)
 
 METRICS = (
     "source string, table string, rows_inserted bigint, rows_skipped bigint, "
@@ -58,30 +63,33 @@ class Job:
     warn: Callable[[DataFrame], DataFrame] | None = None
 
 
-def warn_trackless(raw: DataFrame) -> DataFrame:
+def warn_unreadable(raw: DataFrame) -> DataFrame:
+    """Files that could not be read; they are not booked, so the next run tries them again."""
+    if exports.CORRUPT not in raw.columns:
+        return raw.select("path", F.lit("").alias("warning")).limit(0)
+    return raw.filter(F.col(exports.CORRUPT).isNotNull()).select("path", F.lit(UNREADABLE).alias("warning")).distinct()
+
+
+def warn_music(raw: DataFrame) -> DataFrame:
     text = F.concat(F.lit("skipped "), F.col("trackless").cast("string"), F.lit(" rows with no track name"))
-    return exports.trackless_counts(raw).select("path", text.alias("warning"))
+    return exports.trackless_counts(raw).select("path", text.alias("warning")).unionByName(warn_unreadable(raw))
 
 
 def warn_unknown_headers(raw: DataFrame) -> DataFrame:
     """One warning per file and header that no metric claims."""
-    mapping, unknown = exports.fuzzy_mapping([c for c in raw.columns if c != "path"])
-    texts = [f"ignoring unknown column {c!r}" for c in unknown]
-    if "day" not in mapping:
-        texts.append("no date column recognized")
-    found = F.array(*map(F.lit, texts)) if texts else F.array().cast("array<string>")
-    return raw.select("path").distinct().select("path", F.explode(found).alias("warning"))
-
-
-def warn_unreadable(raw: DataFrame) -> DataFrame:
-    return raw.filter("_corrupt_record is not null").select("path", F.lit("unreadable session").alias("warning")).distinct()
+    heads = raw.groupBy("path").agg(F.first("header").alias("header"))
+    targets = heads.withColumn("_t", exports.header_targets(F.col("header")))
+    unknown = F.filter(F.arrays_zip("header", F.col("_t").alias("t")), lambda x: x["t"] == "")
+    texts = F.transform(unknown, lambda x: F.concat(F.lit("ignoring unknown column '"), x["header"], F.lit("'")))
+    no_day = F.when(F.array_contains("_t", "day"), F.array().cast("array<string>")).otherwise(F.array(F.lit(NO_DATE)))
+    return targets.select("path", F.explode(F.concat(texts, no_day)).alias("warning"))
 
 
 def warn_chat(lines: DataFrame) -> DataFrame:
     bad = F.concat(F.col("unparseable").cast("string"), F.lit(" unparseable timestamps"))
     found = F.array_compact(
         F.array(
-            F.when(F.col("unrecognized"), "no message lines recognized"),
+            F.when(F.col("unrecognized"), NO_MESSAGES),
             F.when(F.col("ambiguous_dates") & ~F.col("unrecognized"), "date order ambiguous; day first assumed"),
             F.when(F.col("unparseable") > 0, bad),
         )
@@ -95,7 +103,7 @@ def warn_no_header(profiles: Sequence[BankProfile]) -> Callable[[DataFrame], Dat
     def warn(lines: DataFrame) -> DataFrame:
         known = find_headers(lines, profile_table(lines, profiles))
         unknown = lines.select("path").distinct().join(known.select("path"), "path", "left_anti")
-        return unknown.select("path", F.lit("no profile matches the header").alias("warning"))
+        return unknown.select("path", F.lit(NO_PROFILE).alias("warning"))
 
     return warn
 
@@ -103,9 +111,9 @@ def warn_no_header(profiles: Sequence[BankProfile]) -> Callable[[DataFrame], Dat
 def music_jobs() -> list[Job]:
     return [
         Job("spotify", "listens", files.MUSIC_ACCOUNT_GLOB, exports.read_account_listens,
-            exports.normalize_account_listens, ("path", "ts"), "raw_listens_account"),
+            exports.normalize_account_listens, ("path", "ts", "track", "album"), "raw_listens_account", warn=warn_unreadable),
         Job("spotify", "listens", files.MUSIC_EXTENDED_GLOB, exports.read_extended_listens,
-            exports.normalize_extended_listens, ("path", "ts"), "raw_listens_extended", warn=warn_trackless),
+            exports.normalize_extended_listens, ("path", "ts", "album", "skipped"), "raw_listens_extended", warn=warn_music),
     ]
 
 
@@ -113,11 +121,13 @@ def takeout_jobs(tz: str) -> list[Job]:
     calendar_lines = lambda spark, root: text_lines(spark, root, files.CALENDAR_GLOB)
     return [
         Job("takeout", "searches", files.SEARCH_GLOB, exports.read_searches,
-            exports.normalize_searches, ("path", "ts"), "raw_searches"),
+            exports.normalize_searches, ("path", "ts"), "raw_searches", files.path_pattern("Search history"),
+            warn=warn_unreadable),
         Job("takeout", "youtube_watches", files.WATCH_GLOB, exports.read_watches,
-            exports.normalize_watches, ("path", "ts"), "raw_watches"),
+            exports.normalize_watches, ("path", "ts", "channel"), "raw_watches", files.path_pattern("YouTube history"),
+            warn=warn_unreadable),
         Job("takeout", "daily_metrics", files.DAILY_GLOB, exports.read_dailies,
-            exports.normalize_dailies, ("path", "day"), "raw_dailies", within="day",
+            exports.normalize_dailies, ("path", "day", "row_no"), "raw_dailies", r"/Daily(?: |%20)activity(?: |%20)metrics/[^/]+$", within="day",
             warn=warn_unknown_headers),
         Job("takeout", "activities", "*.json", exports.read_sessions,
             lambda raw: exports.normalize_sessions(raw, tz), ("path", "ts_start"), "raw_sessions",
@@ -125,7 +135,7 @@ def takeout_jobs(tz: str) -> list[Job]:
             warn=warn_unreadable),
         Job("takeout", "calendar_events", files.CALENDAR_GLOB, calendar_lines,
             lambda raw: exports.normalize_calendar(exports.calendar_blocks(raw), tz), ("path", "event_no"), "raw_calendar",
-            within=None),
+            files.path_pattern("Calendar"), within=None),
     ]
 
 
@@ -156,40 +166,48 @@ def run_job(spark: SparkSession, job: Job, folder: str, warehouse: str, force: b
     found = files.fingerprint_files(spark, folder, job.glob)
     if job.only:
         found = found.filter(F.col("path").rlike(job.only))
-    load = uuid.uuid4().hex
-    listing = f"{warehouse}/_runs/{load}/files"
     ledger = read_ledger(spark, warehouse)
     fresh = new_files(found, ledger, force)
     if not force:
         fresh = collapse(fresh, ["path"], "file_sha256")
     fresh = fresh.withColumn("_fresh", F.lit(True))
-    found.join(fresh.select("path", "_fresh"), "path", "left").write.parquet(listing)
+    # The load is named by what it reads, so a retry after a failure writes the same folders again.
+    marked = found.join(fresh.select("path", "_fresh"), "path", "left")
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("path", "file_sha256"))), "|"), 256)
+    name = marked.filter("_fresh").agg(F.count(F.lit(1)).alias("n"), digest.alias("d")).first()
+    load = f"{job.raw_table}-{name['d'][:32]}" + (f"-{uuid.uuid4().hex[:8]}" if force else "")
+    listing = f"{warehouse}/_runs/{load}/files"
+    marked.write.mode("overwrite").parquet(listing)
     listed = spark.read.parquet(listing)
     todo = listed.filter("_fresh").select("path")
 
     # Raw rows are staged as they were read and parsed from there.
     raw_path = f"{warehouse}/{job.raw_table}/load={load}"
-    head = todo.limit(MAX_LISTED_FILES + 1).collect()
-    if not head:
+    # Names of the new files alone; Spark's own listing holds those of all files.
+    names = [unquote(r["path"]) for r in todo.collect()]
+    if not names:
         return _metrics(spark, job, listed, None, None)
-    if len(head) <= MAX_LISTED_FILES:
-        raw = job.read(spark, [unquote(r["path"]) for r in head])
-    else:
-        raw = job.read(spark, folder).join(todo, "path", "left_semi")
-    raw.write.parquet(raw_path)
+    job.read(spark, names).write.mode("overwrite").parquet(raw_path)
     raw = spark.read.parquet(raw_path)
-    if job.warn:
-        noticed = job.warn(raw).withColumn("source", F.lit(job.source))
-        append_warnings(noticed, warehouse, load)
     staged = job.normalize(raw)
     batch_path = f"{warehouse}/_runs/{load}/rows"
-    staged.write.parquet(batch_path)
-    batch = spark.read.parquet(batch_path)
+    staged.write.mode("overwrite").parquet(batch_path)
+    everything = spark.read.parquet(batch_path)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required(job.table) if c in everything.columns])
+    lacking = everything.filter(~whole).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.lit("dropped "), F.col("n").cast("string"), F.lit(" rows without a required value"))
+    noticed = lacking.select("path", text.alias("warning"))
+    if job.warn:
+        noticed = noticed.unionByName(job.warn(raw))
+    append_warnings(noticed.withColumn("source", F.lit(job.source)), warehouse, load)
+    warned = spark.read.parquet(f"{warehouse}/{WARNINGS_TABLE}/load={load}")
+    batch = everything.filter(whole)
     target = read_table(spark, warehouse, job.table)
     written = append_load(insert_dedupe(batch, target, job.order, within=job.within), warehouse, job.table, load)
 
     per_file = written.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows_inserted"))
-    entries = listed.filter("_fresh").join(per_file, "path", "left").select(
+    lost = warned.filter(F.col("warning").isin(*NOT_IMPORTED)).select("path").distinct()
+    entries = listed.filter("_fresh").join(lost, "path", "left_anti").join(per_file, "path", "left").select(
         "file_sha256",
         "path",
         F.lit(job.source).alias("source"),

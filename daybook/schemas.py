@@ -117,3 +117,8 @@ def conform(df: DataFrame, table: str, extra: Sequence[str] = ()) -> DataFrame:
         for f in CURATED[table].fields
     ]
     return df.select(*fields, *extra)
+
+
+def required(table: str) -> list[str]:
+    """Columns of a curated table that must have a value."""
+    return [f.name for f in CURATED[table].fields if not f.nullable]

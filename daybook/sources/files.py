@@ -25,6 +25,11 @@ TAKEOUT_PRODUCTS = {
 }
 
 
+def path_pattern(product: str) -> str:
+    """The paths of a takeout product, as readers write them: a space may be ``%20``."""
+    return TAKEOUT_PRODUCTS[product].replace(" ", "(?: |%20)")
+
+
 def find_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Files below ``root`` (or the file itself) with their metadata, contents left unread."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)

@@ -52,17 +52,19 @@ def find_headers(
     profiles: DataFrame,
     file: str = "path",
     order: Sequence[str] = ("block", "line_id", "pos"),
-    scan_lines: int = HEADER_SCAN_LINES,
+    scan_lines: int | None = HEADER_SCAN_LINES,
 ) -> DataFrame:
     """Per file the first of its top lines that is a known header: (file, header_at, header, profile...).
 
+    ``scan_lines`` says how far down a header is looked for; None looks at all lines.
+
     Only the first lines of a file are ranked; the rank filter runs below the shuffle.
     """
     at = F.struct(*order)
     top = Window.partitionBy(file).orderBy(*order)
     heads = (
         lines.withColumn("_n", F.row_number().over(top))
-        .filter(F.col("_n") <= scan_lines)
+        .filter(F.col("_n") <= scan_lines if scan_lines is not None else F.lit(True))
         .withColumn("header", cells(F.col("line")))
         .withColumn("signature", signature(F.col("header")))
         .filter("signature <> ''")
@@ -82,13 +84,14 @@ def statement_cells(
     profiles: Sequence[BankProfile],
     file: str = "path",
     order: Sequence[str] = ("block", "line_id", "pos"),
+    scan_lines: int | None = HEADER_SCAN_LINES,
 ) -> DataFrame:
     """Data lines of every statement as texts by role, files of all banks in one job.
 
     Columns sit where the file's own header puts them. Files without a known header give no
     rows. A quoted line break inside a cell is not supported.
     """
-    headers = find_headers(lines, profile_table(lines, profiles), file, order)
+    headers = find_headers(lines, profile_table(lines, profiles), file, order, scan_lines)
     rows = lines.join(headers, file).filter(F.struct(*order) > F.col("header_at"))
     rows = rows.withColumn("_c", cells(F.col("line")))
     names = F.transform("header", lambda h: F.trim(h))
