@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from daybook.session import materialize
 LENGTH = 100
 BLOCK_ROWS = 500
 BLOCK_BYTES = 8_000_000
+# Suffix buckets are sorted in so many turns, one after the other, which bounds what lies on disk.
+TURNS = 2
 # Perfect difference sets, all differences modulo v exactly once.
 COVERS = {
     1: (0,),
@@ -271,6 +274,11 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(values[lo]), lo, hi
 
 
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of names, so names in order are buckets in order."""
+    return (((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def _suffixes(size_list: list[int], raw: bytes, ranges: list[bytes], length: int) -> tuple[Texts, np.ndarray, np.ndarray]:
     """(texts, candidate positions, their names) of a block."""
     cut = np.concatenate([[0], np.cumsum(size_list)]).astype(np.int64)
@@ -308,31 +316,29 @@ def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int, with
     blocks = materialize(map_batches(ordered, gather, f"block bigint, ids array<{kind}>, sizes array<bigint>, raw binary, ranges array<binary>"), "blocks")
     release(spark)
 
-    def send(batches):
+    def send(batches, turn):
         for b in batches:
             for r in b.to_pylist():
                 _, _, names = _suffixes(r["sizes"], r["raw"], r["ranges"], length)
-                names = np.unique(names)
-                bucket = ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                names, bucket = names[order], bucket[order]
-                for k, lo, hi in _runs(bucket):
+                bucket = _bucket(names, buckets)
+                names = np.unique(names[bucket * TURNS // buckets == turn])
+                for k, lo, hi in _runs(_bucket(names, buckets)):
                     yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([k], pa.int32()), "keys": [_squeezed(names[lo:hi])]})
 
-    sent = map_batches(blocks, send, "block bigint, bucket int, keys binary")
-    told = materialize(sent.groupBy("bucket").applyInArrow(_earlier, _TOLD), "earlier")
-    del sent
-    release(spark)
+    turns = []
+    for turn in range(TURNS):
+        sent = map_batches(blocks, lambda batches, turn=turn: send(batches, turn), "block bigint, bucket int, keys binary")
+        turns.append(materialize(sent.groupBy("bucket").applyInArrow(_earlier, _TOLD), "earlier"))
+        del sent
+        release(spark)
+    told = reduce(DataFrame.unionByName, turns)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def remove(block: pa.Table, told: pa.Table) -> pa.Table:
         r = block.to_pylist()[0]
         texts, at, suffix = _suffixes(r["sizes"], r["raw"], r["ranges"], length)
         known, first, place = np.unique(suffix, return_index=True, return_inverse=True)
-        bucket = ((known >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        earlier = np.zeros(len(known), dtype=bool)
-        earlier[np.argsort(bucket, kind="stable")] = _flags(told)
-        repeat = earlier[place]
+        repeat = _flags(told)[place]
         repeat |= first[place] != np.arange(len(at))
         gone = _covered(len(texts.raw), at[repeat], at[repeat] + length)
         out = []
