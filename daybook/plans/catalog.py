@@ -664,7 +664,7 @@ def recommend_batch(spark, d):
 
 @query
 def page_overrides(spark, d):
-    corpora = {"en": "style", "fr": "ux", "es": "landing"}
+    corpora = {"en": "style", "fr": "ux", "es": "landing", "de": "ux"}
     found = recommend.page_overrides(t.search_queries(spark, d), t.corpus_documents(spark, d, corpora))
     return found.withColumns({c: F.array_join(c, "|") for c in ("recommendations", "components")})
 

@@ -432,7 +432,7 @@ ORACLE: dict[str, str] = {
       FROM ruled r LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'landing') l ON l.query_id = r.query_id
       LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'color') c ON c.query_id = r.query_id
       LEFT JOIN (SELECT h.query_id, d.* FROM hits h JOIN dl d USING (doc_id) WHERE corpus = 'typography') t ON t.query_id = r.query_id""",
-    "page_overrides": f"""WITH {bm25("CASE lang WHEN 'en' THEN 'style' WHEN 'fr' THEN 'ux' WHEN 'es' THEN 'landing' END", "CASE corpus WHEN 'ux' THEN 3 ELSE 1 END")},
+    "page_overrides": f"""WITH {bm25("CASE lang WHEN 'en' THEN 'style' WHEN 'es' THEN 'landing' ELSE 'ux' END", "CASE corpus WHEN 'ux' THEN 3 ELSE 1 END")},
       found AS (SELECT h.query_id, h.corpus, h.rank, d.source, d.doc_id,
         CASE WHEN n_chars > 3000 THEN 'long ' || d.source END AS effects FROM hits h JOIN dl d USING (doc_id)),
       ux AS (SELECT query_id, string_agg(CASE WHEN effects IS NOT NULL THEN source || ': ' || effects END, '|' ORDER BY rank) AS dos,
