@@ -36,7 +36,7 @@ from daybook.llm.words import chunks, hash_words
 from daybook.session import materialize
 
 SHARE = 1e-4
-SHARDS_A_PARTITION = 3
+SHARDS_A_PARTITION = 1
 BLOCK_BYTES = 6_000_000
 BLOCK_TEXTS = 60_000
 ROUNDS = 2
