@@ -5,9 +5,10 @@ it that makes up at least ``SHARE`` of the training tokens. Restaurants of (a, b
 parent b, those of single words share the restaurant without context, and below that every word
 and one unknown word are alike. A customer that opens a table sits down in the parent, too.
 
-Seating is kept as customers and tables of each dish in each restaurant. A Gibbs step takes a
-customer away, which closes a table with the probability that the customer sat there alone, and
-seats it anew; both depend on customers and tables alone, table sizes being summed out. Words
+Seating is kept as customers and tables of each dish in each restaurant. Taking a customer away
+closes a table with the probability that the customer sat there alone; seating it anew may open
+one. Both depend on customers and tables alone, table sizes being summed out, and their balance
+gives the law of a dish's tables; a Gibbs step draws from it, which reseats all of its customers. Words
 are dealt to shards by hash, with all their restaurants, so a shard samples whole chains; what
 shards share is each restaurant's customers and tables in total. A round samples given
 the totals of the round before and adds up new ones. The last round's samples are taken again,
@@ -42,7 +43,7 @@ BLOCK_TEXTS = 60_000
 ROUNDS = 2
 BURN_IN = 3
 SAMPLES = 3
-STEPS = 4
+WINDOW = 64
 STRENGTH = (1.0, 1.0, 1.0)
 SEED = 20240229
 END = np.uint64(0x454E44)  # no word has this hash but by a chance of 2**-64
@@ -270,29 +271,62 @@ class Seating:
             out[rows] = (own + (s + dd * tables) * self.parent_chance(d, out, base)) / (s + house)
         return out
 
+    def _ratio(self, d: int, c: np.ndarray, t: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Logarithm of how much likelier t + 1 tables are than t: where leaving and sitting down again balance."""
+        lonely = lambda t: (t - 1) / (c - 1) * np.interp(np.log(c / t), *self.alone[d])
+        return np.log1p(-lonely(t)) + np.log(a) - np.log(lonely(t + 1)) - np.log(c - 1 - self.discount[d] * t)
+
+    def _balance(self, d: int, c: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Between 1 and c - 1, the place at which a table more is as likely as not, by bisection."""
+        lo, hi = np.ones(len(c)), c - 1.0
+        for _ in range(int(np.log2(c.max(initial=2))) + 8):
+            mid = (lo + hi) / 2
+            more = self._ratio(d, c, mid, a) > 0
+            lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+        return (lo + hi) / 2
+
     def _full(self, d: int, customers: np.ndarray, opening: np.ndarray) -> np.ndarray:
-        """About the number of tables at which openings and closings balance: where a chain starts."""
-        tables = np.where(customers > 0, np.maximum(1.0, customers ** self.discount[d]), 0.0)
-        many = customers > 1
-        c, a = customers[many].astype(float), opening[many]
-        t = np.clip(tables[many], 1, c)
-        for _ in range(6):
-            single = np.interp(np.log(c / t), *self.alone[d])
-            t = np.clip(0.5 * t + 0.5 * (1 + (c - 1) / single * a / (a + c - 1 - self.discount[d] * t)), 1, c)
-        tables[many] = np.round(t)
-        return tables.astype(np.int64)
+        """About the number of tables at which openings and closings balance."""
+        tables = np.minimum(customers, 1).astype(np.int64)
+        many = np.flatnonzero(customers > 1)
+        tables[many] = np.round(self._balance(d, customers[many].astype(float), opening[many]) + 0.5)
+        return np.minimum(tables, customers)
 
     def _step(self, d: int, customers: np.ndarray, tables: np.ndarray, opening: np.ndarray, rng) -> np.ndarray:
-        """One customer of each dish leaves and sits down again."""
-        many = np.flatnonzero(customers > 1)
-        c, t, a = customers[many], tables[many], opening[many]
-        lonely = (t - 1) / (c - 1) * np.interp(np.log(c / t), *self.alone[d])
-        t = t - (rng.random(len(many)) < lonely)
-        t = t + (rng.random(len(many)) * (a + c - 1 - self.discount[d] * t) < a)
-        tables[many] = np.clip(t, 1, c)
+        """All customers of each dish leave and sit down again: tables drawn from their law given the customers.
+
+        The law is listed for every number of tables, or about its peak where it is wide; beyond
+        a deviation of ``WINDOW`` / 8 tables it is a normal law to within rounding.
+        """
+        tables = np.minimum(customers, 1).astype(np.int64)
+        for width, low, high in ((4, 1, 4), (16, 4, 16), (WINDOW, 16, np.inf)):
+            rows = np.flatnonzero((customers > low) & (customers <= high))
+            for at in np.array_split(rows, max(1, len(rows) * width // 1_000_000)):
+                c, a = customers[at].astype(float), opening[at]
+                if high < np.inf:
+                    first, wide = np.ones(len(at)), np.zeros(len(at), dtype=bool)
+                else:
+                    peak = self._balance(d, c, a)
+                    at_peak = np.clip(peak, 1, c - 2)
+                    slope = self._ratio(d, c, at_peak + 1, a) - self._ratio(d, c, at_peak, a)
+                    spread = 1 / np.sqrt(np.maximum(-slope, 1e-18))
+                    wide = (spread > width / 8) & (c > width)
+                    tables[at[wide]] = np.clip(np.round(peak + 0.5 + spread * rng.standard_normal(len(at)))[wide], 1, c[wide])
+                    first = np.maximum(1, np.minimum(np.floor(peak) - width // 2 + 1, c - width + 1))
+                    at, c, a, first = at[~wide], c[~wide], a[~wide], first[~wide]
+                if not len(at):
+                    continue
+                t = first[:, None] + np.arange(width - 1)
+                inside = t < c[:, None]
+                step = self._ratio(d, c[:, None], np.minimum(t, c[:, None] - 1), a[:, None])
+                law = np.concatenate([np.zeros((len(at), 1)), np.cumsum(np.where(inside, step, 0.0), axis=1)], axis=1)
+                law = np.exp(law - law.max(axis=1, keepdims=True))
+                law[:, 1:][~inside] = 0
+                law = np.cumsum(law, axis=1)
+                tables[at] = first.astype(np.int64) + (law < rng.random((len(at), 1)) * law[:, -1:]).sum(1)
         return tables
 
-    def sweep(self, totals: np.ndarray, base: float, rng, start: bool = False) -> None:
+    def sweep(self, totals: np.ndarray, base: float, rng) -> None:
         """All restaurants from the longest contexts up, so that new tables are customers above."""
         chance = self.chances(totals, base)
         for d in (2, 1, 0):
@@ -304,18 +338,11 @@ class Seating:
             house = totals[self.context[rows]]
             opening = (self.strength[d] + self.discount[d] * house[:, 1]) * self.parent_chance(d, chance, base)
             customers = self.customers[rows]
-            if start:
-                tables = self._full(d, customers, opening)
-            else:
-                tables = np.where(customers > 0, np.clip(self.tables[rows], 1, customers), 0)
-            for _ in range(STEPS):
-                tables = self._step(d, customers, tables, opening, rng)
-            self.tables[rows] = tables
+            self.tables[rows] = self._step(d, customers, self.tables[rows], opening, rng)
 
     def samples(self, totals: np.ndarray, base: float, seed) -> Iterator[int]:
         rng = np.random.default_rng(seed)
-        self.sweep(totals, base, rng, start=True)
-        for _ in range(BURN_IN - 1):
+        for _ in range(BURN_IN):
             self.sweep(totals, base, rng)
         for k in range(SAMPLES):
             self.sweep(totals, base, rng)

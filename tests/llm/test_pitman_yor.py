@@ -154,3 +154,20 @@ def test_contexts_are_frequent_words_and_pairs(spark):
     of, the = (hash_words([w], True)[0][0] for w in (b"of", b"the"))
     assert set(found.words.tolist()) == {of, the}
     assert len(found.pairs) == 1 and found.pairs[0] == 65536 * found.singles(np.array([of]))[0] + found.singles(np.array([the]))[0]
+
+
+@pytest.mark.parametrize("opening", [0.1, 10.0])
+def test_tables_of_thousands_of_customers_follow_the_exact_law(opening):
+    d, n = 0.8, 3000
+    weight = np.full(n + 2, -np.inf)  # logarithms of the weights, by number of tables
+    weight[1] = math.log(opening)
+    t = np.arange(n + 2)
+    for k in range(1, n):
+        stay = weight + np.log(np.maximum(k - d * t, 1e-300))
+        weight = np.logaddexp(np.where(t <= k, stay, -np.inf), np.append(-np.inf, weight[:-1]) + math.log(opening))
+    law = np.exp(weight - weight.max())
+    mean = (t * law).sum() / law.sum()
+    seat = H.Seating(*(np.zeros(1, dtype=np.int64),) * 3, np.zeros(2, dtype=np.int64), (d, d, d))
+    tables = seat._step(0, np.full(4000, n), np.full(4000, n // 2), np.full(4000, opening), np.random.default_rng(0))
+    assert tables.mean() == pytest.approx(mean, rel=0.1)
+    assert seat._full(0, np.array([1_000_000]), np.array([0.1]))[0] <= 3
