@@ -1,23 +1,27 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling, over all documents.
 
-A word is predicted in the restaurant of its context: the longest run of up to two words before
-it that makes up at least ``SHARE`` of the training tokens. Restaurants of (a, b) share the
-parent b, those of single words share the restaurant without context, and below that every word
-and one unknown word are alike. A customer that opens a table sits down in the parent, too.
+A word is predicted in the restaurant of the two words before it; after a text's first word in
+that of this word, and before it in that of the start. Every word and every pair seen is a
+context, so restaurants grow with the input; a ``share`` keeps those that make up so much of the
+training tokens. Restaurants of (a, b) share the parent b, those of single words share the
+restaurant without context, and below that every word and one unknown word are alike. A
+customer that opens a table sits down in the parent, too.
 
 Seating is kept as customers and tables of each dish in each restaurant. Taking a customer away
 closes a table with the probability that the customer sat there alone; seating it anew may open
 one. Both depend on customers and tables alone, table sizes being summed out, and their balance
-gives the law of a dish's tables; a Gibbs step draws from it, which reseats all of its customers. Words
-are dealt to shards by hash, with all their restaurants, so a shard samples whole chains; what
-shards share is each restaurant's customers and tables in total. A round samples given
-the totals of the round before and adds up new ones. The last round's samples are taken again,
-from the same seeds, to score: a text's probability averages over the samples, token by token.
-
-1. Blocks of texts list their frequent words, then frequent pairs: the contexts, at most 1 / SHARE of each.
-2. Blocks send each shard its words: once per word and context, with the documents they occur in.
-3. Rounds read the shards' dishes; totals by restaurant are added up in a shuffle.
-4. Shards send back sums per document, which are added up by block.
+gives the law of a dish's tables; a Gibbs step draws from it, which reseats all of its customers.
+Words are dealt to shards with the word before them, so a shard holds a dish below (b, w) whole
+and no word is the load of one shard. What shards share is added up by hash in homes: customers
+and tables of each context, and the customers of each word in the restaurant without context,
+which its home seats. A round samples given the sums of the round before and adds up new ones.
+The last round's samples are taken again, from the same seeds, to score: a text's probability
+averages over the samples, token by token.
+
+1. Blocks of texts send each shard their words once per context, with the training count. Where
+   these occur stays with the block.
+2. Rounds read the shards' dishes; homes add up and answer every shard for its own contexts.
+3. Shards send back a chance for each word and context of a block, which adds them up by document.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ from daybook.llm.common import map_batches, partitions, release, ship, table
 from daybook.llm.words import chunks, hash_words
 from daybook.session import materialize
 
-SHARE = 1e-4
 SHARDS_A_PARTITION = 1
 BLOCK_BYTES = 6_000_000
 BLOCK_TEXTS = 60_000
@@ -101,6 +104,26 @@ class Contexts:
         return np.where(self.pairs[at] == key, at + 2 + len(self.words), one), key
 
 
+def _mix(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """One 64-bit fingerprint of two, which depends on their order."""
+    x = (two * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) ^ (one + np.uint64(0x632BE59BD9B4E019))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _words_before(tokens: np.ndarray, first: np.ndarray, contexts: Contexts | None) -> tuple[np.ndarray, np.ndarray]:
+    """(word before each token, word before that): of the longest context, 0 for none and 1 for a text's start."""
+    if contexts is None:
+        one = np.where(first, START, np.append(np.uint64(START), tokens[:-1])).astype(np.uint64)
+        two = np.append(np.uint64(0), one[:-1])
+        return one, np.where(first | (two == START), 0, two).astype(np.uint64)
+    last = np.concatenate([np.array([ROOT, START], dtype=np.uint64), contexts.words, contexts.words[(contexts.pairs & 0xFFFF) - 2]])
+    before = np.concatenate([np.zeros(2 + len(contexts.words), dtype=np.uint64), contexts.words[(contexts.pairs >> 16) - 2]])
+    at = contexts.before(tokens, first)[0]
+    return last[at], before[at]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts of about ``BLOCK_BYTES``, across batches."""
     ids, texts, size = [], [], 0
@@ -123,7 +146,7 @@ def _training(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.nd
         yield _tokens(kept[lo:hi])
 
 
-def find_contexts(docs: DataFrame, share: float = SHARE) -> Contexts:
+def find_contexts(docs: DataFrame, share: float) -> Contexts:
     """Words that make up ``share`` of the training tokens, counted in blocks where they are at
     least half as frequent, then pairs of such words likewise. At most 1 / share of either, and
     a block sends at most 2 / share: these lists come to the driver whatever the input's size."""
@@ -154,81 +177,69 @@ def find_contexts(docs: DataFrame, share: float = SHARE) -> Contexts:
     return Contexts(alone.words, pairs[: 65_000 - len(alone.words)])
 
 
-def _send(ids: list, texts: list[bytes], contexts: Contexts, shards: int, block: int) -> Iterator[dict]:
-    """The block's words by shard: words, contexts of each, places in the block's documents."""
+def _send(ids: list, texts: list[bytes], contexts: Contexts | None, shards: int, block: int) -> Iterator[dict]:
+    """The block's words and contexts by shard, then where they occur, in the same order."""
     parts = []
     base = 0
     for lo, hi in chunks(texts):
         tokens, doc, first = _tokens(texts[lo:hi])
-        parts.append((tokens, contexts.before(tokens, first)[0].astype(np.uint64), doc + base))
+        parts.append((tokens, *_words_before(tokens, first, contexts), doc + base))
         base += hi - lo
-    tokens, context, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    tokens, one, two, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     out = held_out(ids)
     n_tokens = np.bincount(doc, minlength=len(ids))
-    shard = (tokens >> np.uint64(40)) % np.uint64(shards)
-    order = np.lexsort((doc, context, tokens, shard))
-    tokens, context, doc, shard = tokens[order], context[order], doc[order], shard[order]
-    new_word = np.ones(len(tokens), dtype=bool)
-    new_word[1:] = tokens[1:] != tokens[:-1]
-    new_row = new_word.copy()
-    new_row[1:] |= context[1:] != context[:-1]
-    row_at = np.flatnonzero(new_row)
-    learn = np.add.reduceat((~out)[doc].astype(np.int64), row_at)
-    occurs = np.diff(np.append(row_at, len(tokens)))
-    word_at = np.flatnonzero(new_word[row_at])
-    row_shard = shard[row_at]
-    for s in np.unique(row_shard).tolist():
-        a, b = np.searchsorted(row_shard, [s, s + 1])
-        words = np.flatnonzero((word_at >= a) & (word_at < b))
-        mine = word_at[words]
-        end = row_at[b] if b < len(row_at) else len(tokens)
-        yield {
-            "shard": s,
-            "block": block,
-            "words": tokens[row_at[mine]].tobytes(),
-            "rows": np.diff(np.append(mine, b)).astype("<u4").tobytes(),
-            "contexts": context[row_at[a:b]].astype("<u2").tobytes(),
-            "learn": learn[a:b].astype("<u4").tobytes(),
-            "occurs": occurs[a:b].astype("<u4").tobytes(),
-            "docs": doc[row_at[a] : end].astype("<u2").tobytes(),
-        }
-    yield {"shard": -1 - block, "block": block, "ids": ids, "n_tokens": n_tokens.tolist(), "held_out": out.tolist()}
-
-
-_BLOBS = ("words", "rows", "contexts", "learn", "occurs", "docs")
-
-
-def _merge(group: pa.Table, parents: np.ndarray) -> dict:
-    """One shard: its dishes over all blocks, and for each block which dishes occur in which documents."""
+    shard = (_mix(one, tokens) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((two, one, tokens, shard))
+    tokens, one, two, doc, shard = tokens[order], one[order], two[order], doc[order], shard[order]
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    at = np.flatnonzero(new)
+    learn = np.add.reduceat((~out)[doc].astype(np.int64), at).astype("<u4")
+    occurs = np.diff(np.append(at, len(tokens))).astype("<u4")
+    tokens, one, two, shard = tokens[at], one[at], two[at], shard[at]
+    for s in np.unique(shard).tolist():
+        a, b = np.searchsorted(shard, [s, s + 1])
+        yield {"shard": s, "block": block, "words": tokens[a:b].tobytes(), "one": one[a:b].tobytes(), "two": two[a:b].tobytes(), "learn": learn[a:b].tobytes()}
+    yield {"shard": -1 - block, "block": block, "ids": ids, "n_tokens": n_tokens.tolist(), "held_out": out.tolist(), "occurs": occurs.tobytes(), "docs": doc.astype("<u2").tobytes()}
+
+
+_BLOBS = ("words", "one", "two", "learn", "occurs", "docs")
+
+
+def _merge(group: pa.Table) -> Iterator[dict]:
+    """One shard: its dishes over all blocks, then a row a block with the dishes of its words."""
     get = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in group.column(c).to_pylist()]
-    contexts = get("contexts", "<u2")
-    sizes = [len(x) for x in contexts]
-    names, at = np.unique(np.concatenate(get("words", "<u8")), return_inverse=True)
-    kinds = len(parents)
-    key = np.repeat(at, np.concatenate(get("rows", "<u4"))) * kinds + np.concatenate(contexts)
-    del contexts, at
+    words = get("words", "<u8")
+    sizes = [len(x) for x in words]
+    names, word = np.unique(np.concatenate(words), return_inverse=True)
+    one, two = np.concatenate(get("one", "<u8")), np.concatenate(get("two", "<u8"))
+    own = np.where(two == 0, one, _mix(two, one))
+    keys, at = np.unique(np.concatenate([np.zeros(1, dtype=np.uint64), one, own]), return_inverse=True)
+    single, context = at[1 : 1 + len(one)], at[1 + len(one) :]
+    parents = np.zeros(len(keys), dtype=np.int64)
+    parents[context[two != 0]] = single[two != 0]
+    del words, one, two, own, at
     # Each dish is also one of the context's parent, which may not have been seen by itself.
-    dishes = np.unique(key)
-    above = dishes - dishes % kinds + parents[dishes % kinds]
-    dishes = np.unique(np.concatenate([dishes, above, np.arange(len(names)) * kinds]))
+    kinds = len(keys)
+    key = word * kinds + context
+    dishes = np.unique(np.concatenate([key, word * kinds + single, np.arange(len(names)) * kinds]))
     place = np.searchsorted(dishes, key)
-    del key, above
-    count = np.bincount(place, np.concatenate(get("learn", "<u4")), len(dishes)).astype(np.int64)
-    docs = group.column("docs").to_pylist()
-    return {
+    count = np.bincount(place, np.concatenate(get("learn", "<u4")), len(dishes))
+    yield {
+        "block": -1,
+        "names": names.tobytes(),
+        "keys": keys.tobytes(),
+        "parents": parents.astype("<u4").tobytes(),
         "word": (dishes // kinds).astype("<u4").tobytes(),
-        "context": (dishes % kinds).astype("<u2").tobytes(),
+        "context": (dishes % kinds).astype("<u4").tobytes(),
         "count": count.astype("<u4").tobytes(),
-        "blocks": group.column("block").to_pylist(),
-        "sizes": sizes,
-        "place": place.astype("<u4").tobytes(),
-        "occurs": b"".join(group.column("occurs").to_pylist()),
-        "doc_sizes": [len(x) // 2 for x in docs],
-        "docs": b"".join(docs),
     }
+    for block, part in zip(group.column("block").to_pylist(), np.split(place.astype("<u4"), np.cumsum(sizes)[:-1]), strict=True):
+        yield {"block": block, "place": part.tobytes()}
 
 
-_MERGED = "shard bigint, word binary, context binary, count binary, blocks array<bigint>, sizes array<bigint>, place binary, occurs binary, doc_sizes array<bigint>, docs binary, ids array<{id}>, n_tokens array<bigint>, held_out array<boolean>"
+_DISHES = {"names": "<u8", "keys": "<u8", "parents": "<u4", "word": "<u4", "context": "<u4", "count": "<u4"}
+_MERGED = f"shard bigint, block bigint, {', '.join(f'{c} binary' for c in _DISHES)}, place binary, ids array<{{id}}>, n_tokens array<bigint>, held_out array<boolean>, occurs binary, docs binary"
 
 
 def _alone(discount: float) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +267,7 @@ class Seating:
         self.discount, self.strength = discounts, strength
         self.alone = [_alone(d) for d in discounts]
         self.customers, self.tables = self.count.copy(), np.zeros_like(self.count)
+        self.root = None  # the chance of each word without context, if it is seated elsewhere
 
     def parent_chance(self, d: int, chance: np.ndarray, base: float) -> np.ndarray:
         return np.full(len(self.at[d]), base) if d == 0 else chance[self.above[self.at[d]]]
@@ -265,6 +277,9 @@ class Seating:
         out = np.zeros(len(self.word))
         for d in range(3):
             rows = self.at[d]
+            if d == 0 and self.root is not None:
+                out[rows] = self.root
+                continue
             house, tables = totals[self.context[rows]].T
             dd, s = self.discount[d], self.strength[d]
             own = np.maximum(self.customers[rows] - dd * self.tables[rows], 0.0)
@@ -335,6 +350,8 @@ class Seating:
                 below = self.at[d + 1]
                 self.customers[rows] = self.count[rows]
                 np.add.at(self.customers, self.above[below], self.tables[below])
+            if d == 0 and self.root is not None:
+                continue
             house = totals[self.context[rows]]
             opening = (self.strength[d] + self.discount[d] * house[:, 1]) * self.parent_chance(d, chance, base)
             customers = self.customers[rows]
@@ -352,43 +369,104 @@ class Seating:
         return np.stack([np.bincount(self.context, self.customers, kinds), np.bincount(self.context, self.tables, kinds)], axis=1)
 
 
-def _seating(shard: dict, parents, discounts) -> Seating:
-    return Seating(*(np.frombuffer(shard[c], dtype=k) for c, k in (("word", "<u4"), ("context", "<u2"), ("count", "<u4"))), parents, discounts)
-
-
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for k in range(b.num_rows):
             yield {c: b.column(i)[k].as_py() for i, c in enumerate(b.schema.names)}
 
 
-def _totals(merged: DataFrame, parents: np.ndarray, discounts, totals, base: float) -> np.ndarray:
-    """(sample, context, [customers, tables]) after a round, added up over the shards."""
-    kinds = len(parents)
-
-    def run(batches):
-        for shard in _shards(batches):
-            seat = _seating(shard, parents, discounts)
-            found = []
-            for k in seat.samples(totals, base, [SEED, shard["shard"]]):
-                sums = seat.sums(kinds).astype(np.int64)
-                at = np.flatnonzero(sums.any(1))
-                found.append((np.full(len(at), k), at, sums[at, 0], sums[at, 1]))
-            sample, context, customers, tables = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sample, context, customers, tables)], ["sample", "context", "customers", "tables"])
-
-    found = map_batches(merged.select("shard", "word", "context", "count"), run, "sample bigint, context bigint, customers bigint, tables bigint")
-    rows = found.groupBy("sample", "context").agg(F.sum("customers"), F.sum("tables")).collect()  # a row a context
-    out = np.zeros((SAMPLES, kinds, 2))
-    for sample, context, customers, tables in rows:
-        out[sample, context] = customers, tables
-    return out
-
-
-def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+class Homes:
+    """What shards and homes tell each other: sums by context, and by word at homes that come after."""
+
+    def __init__(self, homes: int, base: float, discounts, house: np.ndarray | None):
+        self.homes, self.base, self.discounts, self.house = homes, base, discounts, house  # house: customers and tables without context
+
+    def letters(self, shard: int, dishes: dict, contexts: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        """A row a home: the keys of this shard that are at home there, with a column of sums for each."""
+        rows = []
+        for first, keys, sums in ((0, dishes["keys"], contexts), (self.homes, dishes["names"], words)):
+            order, bounds = self.order(keys)
+            for h in np.flatnonzero(np.diff(bounds)).tolist():
+                mine = order[bounds[h] : bounds[h + 1]]
+                rows.append((first + h, shard, keys[mine].tobytes(), np.ascontiguousarray(sums[mine].T).astype("<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["home", "shard", "keys", "sums"])
+
+    def order(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        home = (keys % np.uint64(self.homes)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        return order, np.searchsorted(home[order], np.arange(self.homes + 1))
+
+    def answer(self, group: pa.Table, columns: int, types: pa.Schema) -> pa.Table:
+        """Sums of a home for each shard's keys; a row of shard -1 tells what goes to the driver."""
+        home, shards = group.column("home")[0].as_py(), group.column("shard").to_pylist()
+        keys = [np.frombuffer(x, dtype="<u8") for x in group.column("keys").to_pylist()]
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, len(k)) for x, k in zip(group.column("sums").to_pylist(), keys, strict=True)], axis=1)
+        sums = np.stack([np.bincount(at, x, len(own)) for x in sums])
+        told = np.zeros((columns, 2))
+        if home >= self.homes:
+            sums, told = self.words(home, sums)
+        rows = [{"shard": -1, "home": home, "sums": told.astype("<f8").tobytes()}]
+        for s, part in zip(shards, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            rows.append({"shard": s, "home": home, "sums": np.ascontiguousarray(sums[:, part]).astype("<f8").tobytes()})
+        return pa.Table.from_pylist(rows, types)
+
+    def words(self, home: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Seen, then customers and tables of each word without context; and their totals after what the vocabulary needs."""
+        seen, customers = sums[0], sums[1:].astype(np.int64)
+        if self.house is None:
+            tables = np.minimum(1, customers)
+        else:
+            seat = Seating(*(np.zeros(1, dtype=np.int64),) * 3, np.zeros(1, dtype=np.int64), self.discounts)
+            rng = np.random.default_rng([SEED, home])
+            opening = np.full(len(seen), (seat.strength[0] + self.discounts[0] * self.house[1]) * self.base)
+            tables = np.stack([seat._step(0, c, c, opening, rng) for c in customers])
+        both = np.stack([customers, tables], axis=1)
+        told = [[seen.sum(), (seen > 0).sum()], [(customers[0] == n).sum() for n in (1, 2)], *both.sum(2)]
+        return np.concatenate([seen[None], both.reshape(-1, len(seen))]), np.array(told, dtype=float)
+
+
+class Given:
+    """A home's answers as one shard reads them: totals of its contexts and chances of its words, by sample."""
+
+    def __init__(self, letters: list[tuple[int, bytes]], dishes: dict, homes: Homes, house: np.ndarray, base: float, discount: float, strength: float):
+        found = {h: np.frombuffer(x, dtype="<f8") for h, x in letters}
+        out = []
+        for first, keys in ((0, dishes["keys"]), (homes.homes, dishes["names"])):
+            order, bounds = homes.order(keys)
+            parts = [found[first + h].reshape(-1, n) for h, n in enumerate(np.diff(bounds).tolist()) if n]
+            sums = np.empty((len(parts[0]), len(keys)))
+            sums[:, order] = np.concatenate(parts, axis=1)
+            out.append(sums)
+        self.totals = out[0].reshape(-1, 2, len(dishes["keys"])).transpose(0, 2, 1)
+        self.seen, words = out[1][0], out[1][1:].reshape(-1, 2, len(dishes["names"]))
+        chance = lambda c, t, h: (np.maximum(c - discount * t, 0.0) + (strength + discount * h[1]) * base) / (strength + h[0])
+        self.roots = [chance(*w, h) for w, h in zip(words, house, strict=True)]
+        self.mean, self.mean_root = self.totals.mean(0), chance(*words.mean(0), house.mean(0))
+
+
+def _dishes(row: dict) -> dict:
+    return {c: np.frombuffer(row[c], dtype=k) for c, k in _DISHES.items()}
+
+
+def _seating(dishes: dict, discounts) -> Seating:
+    return Seating(dishes["word"], dishes["context"], dishes["count"], dishes["parents"].astype(np.int64), discounts)
+
+
+def _sums(dishes: dict, seat: Seating) -> tuple[np.ndarray, np.ndarray]:
+    """(customers and tables of each context, customers of each word without context)."""
+    return seat.sums(len(dishes["keys"])).astype(np.int64), seat.customers[seat.at[0]][:, None]
+
+
+def _seen(dishes: dict) -> np.ndarray:
+    return np.bincount(dishes["word"], dishes["count"], len(dishes["names"])).astype(np.int64)[:, None]
+
+
+def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     * Learns from rows whose crc32 of the id as text is not 1 modulo 5 (a null id is the empty text).
+    * Every word and every pair of words is a context; with ``share``, those of ``find_contexts``.
     * Null and empty texts are one end. Repeated rows are separate texts and score alike.
     * A word never seen in training has the probability of the one unknown word.
     * An empty table gives an empty result; other columns are left out.
@@ -396,11 +474,11 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = docs.sparkSession
     chosen = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    contexts = find_contexts(chosen, share)
-    parents, shards = contexts.parents, SHARDS_A_PARTITION * partitions(spark)
-    kinds = len(parents)
+    contexts = None if share is None else find_contexts(chosen, share)
+    shards = SHARDS_A_PARTITION * partitions(spark)
     sent_schema = f"shard bigint, block bigint, {', '.join(f'{c} binary' for c in _BLOBS)}, ids array<{kind}>, n_tokens array<bigint>, held_out array<boolean>"
     merged_schema = _MERGED.format(id=kind)
+    whole = ("shard", "block", "ids", "n_tokens", "held_out", "occurs", "docs")
 
     def send(batches):
         block = TaskContext.get().partitionId() << 24
@@ -412,73 +490,117 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def merge(group):
         first = group.column("shard")[0].as_py()
         if first >= 0:
-            return pa.Table.from_pylist([{"shard": first, **_merge(group, parents)}], merged_types)
-        return pa.Table.from_pylist([{k: v for k, v in r.items() if k in ("shard", "ids", "n_tokens", "held_out")} for r in group.to_pylist()], merged_types)
+            return pa.Table.from_pylist([{"shard": first, **row} for row in _merge(group)], merged_types)
+        return pa.Table.from_pylist([{k: v for k, v in r.items() if k in whole} for r in group.to_pylist()], merged_types)
 
     sent_types, merged_types = _arrow(spark, sent_schema), _arrow(spark, merged_schema)
     sent = map_batches(chosen, send, sent_schema)
     everything = materialize(sent.groupBy("shard").applyInArrow(merge, merged_schema), "shards")
     del sent
     release(spark)
-    merged = everything.filter("shard >= 0")
-
-    def stats(batches):
-        for shard in _shards(batches):
-            seat = _seating(shard, parents, (0.5, 0.5, 0.5))
-            # One table a dish, as in Kneser-Ney smoothing: totals to begin with, and counts of counts.
+    dishes_of = everything.filter("shard >= 0 and block = -1").select("shard", *_DISHES)
+    letter, answer_schema = "home bigint, shard bigint, keys binary, sums binary", "shard bigint, home bigint, sums binary"
+    answer_types = _arrow(spark, answer_schema)
+
+    def ask(letters: DataFrame, homes: Homes, samples: int, label: str) -> tuple[DataFrame, np.ndarray]:
+        """The homes' answers, and what all of them tell the driver."""
+        found = letters.groupBy("home").applyInArrow(lambda g: homes.answer(g, 2 + samples, answer_types), answer_schema)
+        found = materialize(found, label)
+        told = np.zeros((2 + samples, 2))
+        for (row,) in found.filter("shard = -1").select("sums").collect():  # a row a home
+            told += np.frombuffer(row, dtype="<f8").reshape(-1, 2)
+        release(spark)
+        return found.filter("shard >= 0"), told
+
+    def begin(batches):
+        for row in _shards(batches):
+            dishes = _dishes(row)
+            seat = _seating(dishes, (0.5, 0.5, 0.5))
+            # One table a dish, as in Kneser-Ney smoothing: sums to begin with, and counts of counts.
             for d in (2, 1, 0):
                 rows = seat.at[d]
                 if d < 2:
                     np.add.at(seat.customers, seat.above[seat.at[d + 1]], seat.tables[seat.at[d + 1]])
                 seat.tables[rows] = np.minimum(1, seat.customers[rows])
-            sums = seat.sums(kinds).astype(np.int64)
-            at = np.flatnonzero(sums.any(1))
-            once = [[int((seat.customers[seat.at[d]] == n).sum()) for n in (1, 2)] for d in range(3)]
-            known = np.bincount(seat.word, seat.count) > 0
-            extra = [(-1, int(seat.count.sum()), int(known.sum())), *[(-2 - d, *once[d]) for d in range(3)]]
-            rows = np.concatenate([np.column_stack([at, sums[at]]), np.array(extra, dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], ["context", "x", "y"])
-
-    rows = map_batches(merged.select("shard", "word", "context", "count"), stats, "context bigint, x bigint, y bigint").groupBy("context").agg(F.sum("x"), F.sum("y")).collect()
-    known = {r[0]: (r[1], r[2]) for r in rows}
-    train_tokens, vocabulary = known.get(-1, (0, 0))
+            by_context, by_word = _sums(dishes, seat)
+            yield homes.letters(row["shard"], dishes, by_context, np.concatenate([_seen(dishes), by_word], axis=1))
+            once = [int((seat.customers[seat.at[d]] == n).sum()) for d in (1, 2) for n in (1, 2)]
+            yield pa.RecordBatch.from_pylist([{"home": -1, "shard": row["shard"], "keys": b"", "sums": np.array(once, dtype="<i8").tobytes()}], letter_types)
+
+    letter_types = _arrow(spark, letter)
+    homes = Homes(shards, 0.0, None, None)
+    letters = materialize(map_batches(dishes_of, begin, letter), "letters")
+    once = np.zeros(4)
+    for (row,) in letters.filter("home = -1").select("sums").collect():  # a row a shard
+        once += np.frombuffer(row, dtype="<i8")
+    after, told = ask(letters.filter("home >= 0"), homes, 1, "totals")
+    train_tokens, vocabulary = int(told[0, 0]), int(told[0, 1])
     base = 1.0 / (vocabulary + 1)
-    discounts = tuple(min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))) for n1, n2 in (known.get(-2 - d, (1, 1)) for d in range(3)))
-    totals = np.array([known.get(c, (0, 0)) for c in range(kinds)], dtype=float)
+    counts = [told[1], once[:2], once[2:]]
+    discounts = tuple(min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))) if n1 + n2 else 1 / 3 for n1, n2 in counts)
+    house = told[2:]
+
+    def read(left: pa.Table, right: pa.Table, houses: list[np.ndarray]) -> tuple[dict, list[Given]]:
+        dishes = _dishes(next(r for r in left.select(list(_DISHES)).to_pylist() if r["names"] is not None))
+        rows = right.to_pylist()
+        return dishes, [Given([(r["home"], r["sums"]) for r in rows if r["turn"] == k], dishes, homes, h, base, discounts[0], STRENGTH[0]) for k, h in enumerate(houses)]
+
+    def sampled(house):
+        def run(left, right):
+            shard = left.column("shard")[0].as_py()
+            dishes, (given,) = read(left, right, [house])
+            seat = _seating(dishes, discounts)
+            seat.root = given.mean_root
+            sums = [_sums(dishes, seat) for _ in seat.samples(given.mean, base, [SEED, shard])]
+            found = homes.letters(shard, dishes, np.concatenate([x[0] for x in sums], axis=1), np.concatenate([_seen(dishes), *[x[1] for x in sums]], axis=1))
+            return pa.Table.from_batches([found])
+
+        return run
+
+    turn = lambda df, k: df.withColumn("turn", F.lit(k))
     for _ in range(rounds):
-        given = totals
-        after = _totals(merged, parents, discounts, given, base)
-        totals = after.mean(0)
-
-    def score(batches):
-        for shard in _shards(batches):
-            seat = _seating(shard, parents, discounts)
-            chance = np.zeros(len(seat.word))
-            for k in seat.samples(given, base, [SEED, shard["shard"]]):
-                chance += seat.chances(after[k], base) / SAMPLES
-            seen = np.bincount(seat.word, seat.count)[seat.word]
-            plain = np.log10((seen + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
-            chance = np.log10(chance)
-            place, occurs, docs = (np.frombuffer(shard[c], dtype=t) for c, t in (("place", "<u4"), ("occurs", "<u4"), ("docs", "<u2")))
-            a = b = 0
-            for block, size, n in zip(shard["blocks"], shard["sizes"], shard["doc_sizes"], strict=True):
-                dish = np.repeat(place[a : a + size], occurs[a : a + size])
-                doc = docs[b : b + n].astype(np.int64)
-                a, b = a + size, b + n
-                sums = [np.bincount(doc, v[dish]) for v in (seen > 0, plain, chance)]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in sums]], ["block", "known", "base", "score"])
-
-    part = map_batches(merged.select("shard", "word", "context", "count", "blocks", "sizes", "place", "occurs", "doc_sizes", "docs"), score, "block bigint, known array<double>, base array<double>, score array<double>")
-    meta = everything.filter("shard < 0").select((-F.col("shard") - 1).alias("block"), "ids", "n_tokens", "held_out")
+        before, house_before = after, house
+        asked = dishes_of.groupBy("shard").cogroup(turn(before, 0).groupBy("shard")).applyInArrow(sampled(house_before), letter)
+        after, told = ask(asked, Homes(shards, base, discounts, house_before.mean(0)), SAMPLES, "totals")
+        house = told[2:]
+
+    def score(left, right):
+        shard = left.column("shard")[0].as_py()
+        dishes, (given, drawn) = read(left, right, [house_before, house])
+        seat = _seating(dishes, discounts)
+        seat.root = given.mean_root
+        chance = np.zeros(len(seat.word))
+        for k in seat.samples(given.mean, base, [SEED, shard]):
+            seat.root = drawn.roots[k]
+            chance += seat.chances(drawn.totals[k], base) / SAMPLES
+            seat.root = given.mean_root
+        chance, seen = np.log10(chance).astype("<f4"), drawn.seen[seat.word].astype("<f8")
+        rows = []
+        for block, place in zip(left.column("block").to_pylist(), left.column("place").to_pylist(), strict=True):
+            if block >= 0:
+                at = np.frombuffer(place, dtype="<u4")
+                rows.append({"block": block, "shard": shard, "seen": seen[at].tobytes(), "score": chance[at].tobytes()})
+        return pa.Table.from_pylist(rows, part_types)
+
+    part_schema = "block bigint, shard bigint, seen binary, score binary"
+    part_types = _arrow(spark, part_schema)
+    answers = turn(before, 0).unionByName(turn(after, 1))
+    part = everything.filter("shard >= 0").select("shard", "block", *_DISHES, "place").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, part_schema)
+    meta = everything.filter("shard < 0").select("block", "ids", "n_tokens", "held_out", "occurs", "docs")
     ship(spark)
 
     def add(left, right):
-        known, plain, score = (_sum(right.column(c)) for c in ("known", "base", "score"))
-        n = len(left.column("ids")[0].as_py())
-        pad = lambda x: np.concatenate([x, np.zeros(n - len(x))])
+        own = left.to_pylist()[0]
+        rows = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        occurs, doc = np.frombuffer(own["occurs"], dtype="<u4"), np.frombuffer(own["docs"], dtype="<u2").astype(np.int64)
+        seen = np.repeat(np.concatenate([np.frombuffer(r["seen"], dtype="<f8") for r in rows]), occurs)
+        chance = np.repeat(np.concatenate([np.frombuffer(r["score"], dtype="<f4") for r in rows]), occurs)
+        plain = np.log10((seen + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
+        n = len(own["ids"])
+        known, plain, scored = (np.bincount(doc, v, n) for v in (seen > 0, plain, chance))
         return pa.table(
-            [pa.array(left.column("ids")[0].as_py(), final.field(0).type), pa.array(left.column("held_out")[0].as_py()), pa.array(left.column("n_tokens")[0].as_py(), pa.int64()),
-             pa.array(np.round(pad(known)).astype(np.int64)), pa.array([int(train_tokens)] * n, pa.int64()), pa.array(pad(plain)), pa.array(pad(score))],
+            [pa.array(own["ids"], final.field(0).type), pa.array(own["held_out"]), pa.array(own["n_tokens"], pa.int64()),
+             pa.array(np.round(known).astype(np.int64)), pa.array([train_tokens] * n, pa.int64()), pa.array(plain), pa.array(scored)],
             final,
         )
 
@@ -487,15 +609,6 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return meta.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(add, final_schema)
 
 
-def _sum(lists) -> np.ndarray:
-    """Sums of lists place by place; shorter ones end in zeros."""
-    parts = [np.array(x, dtype=float) for x in lists.to_pylist()]
-    out = np.zeros(max((len(p) for p in parts), default=0))
-    for p in parts:
-        out[: len(p)] += p
-    return out
-
-
 def _arrow(spark, schema: str) -> pa.Schema:
     """The Arrow form of a DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

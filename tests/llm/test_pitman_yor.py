@@ -171,3 +171,13 @@ def test_tables_of_thousands_of_customers_follow_the_exact_law(opening):
     tables = seat._step(0, np.full(4000, n), np.full(4000, n // 2), np.full(4000, opening), np.random.default_rng(0))
     assert tables.mean() == pytest.approx(mean, rel=0.1)
     assert seat._full(0, np.array([1_000_000]), np.array([0.1]))[0] <= 3
+
+
+def test_rare_words_and_pairs_are_contexts(spark):
+    """Each of 12,000 words is 1 / 36,000 of the tokens and tells the next one for certain."""
+    rows = [(i, " ".join(f"a{j} b{j}" for j in range(i * 40, i * 40 + 40))) for i in range(300)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = H.score_texts(df).filter("not held_out").collect()
+    chance = 10 ** (sum(r.score for r in out) / sum(r.n_tokens for r in out))
+    plain = 10 ** (sum(r.base_score for r in out) / sum(r.n_tokens for r in out))
+    assert chance > 50 * plain
