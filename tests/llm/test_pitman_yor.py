@@ -181,3 +181,12 @@ def test_rare_words_and_pairs_are_contexts(spark):
     chance = 10 ** (sum(r.score for r in out) / sum(r.n_tokens for r in out))
     plain = 10 ** (sum(r.base_score for r in out) / sum(r.n_tokens for r in out))
     assert chance > 50 * plain
+
+
+def test_a_hot_word_is_dealt_to_many_shards():
+    text = b" ".join(b"hot w%d" % i for i in range(3000))
+    rows = [r for r in H._send([0], [text], None, 8, 0) if r["shard"] >= 0]
+    hot = hash_words([b"hot"], True)[0][0]
+    held = [int((np.frombuffer(r["words"], dtype="<u8") == hot).sum()) for r in rows]
+    assert len(held) == 8 and max(held) < 2 * sum(held) / 8
+    assert all("docs" not in r for r in rows)
