@@ -105,3 +105,48 @@ def test_query(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
         assert [r.n_assign, r.n_access, r.n_hex] == [want.count(k + ":") for k in S.KINDS]
+
+
+def utf16(s):
+    return s.encode("utf-16")
+
+
+BYTES = {
+    "gzip_twice": lambda s: b64(gzip.compress(gzip.compress(s.encode()))),
+    "gzip_of_bz2": lambda s: b64(gzip.compress(bz2.compress(s.encode()))),
+    "zlib_of_gzip": lambda s: b64(zlib.compress(gzip.compress(s.encode()))),
+    "percent_of_gzip": lambda s: urllib.parse.quote(gzip.compress(s.encode()), safe=""),
+    "second_member": lambda s: b64(gzip.compress(b"nothing here") + gzip.compress(s.encode())),
+    "second_stream": lambda s: b64(bz2.compress(b"nothing here") + bz2.compress(s.encode())),
+    "over_two_members": lambda s: b64(gzip.compress(s[:14].encode()) + gzip.compress(s[14:].encode())),
+    "control": lambda s: b64("\x01 " + s),
+    "latin1": lambda s: b64(b"caf\xe9 " + s.encode()),
+    "nul": lambda s: b64(b"\0" + s.encode() + b"\0"),
+    "utf16": lambda s: b64(utf16(s)),
+    "gzip_of_utf16": lambda s: b64(gzip.compress(utf16(s))),
+}
+
+
+def check(inner):
+    text = f"ünï before {inner} after"
+    base, found, cut = S.find_secrets(text)
+    lo = text.index(inner)
+    new = [s for s in found if s not in base]
+    assert new and not cut and all(lo <= a < b <= lo + len(inner) for a, b, _ in new)
+    hidden = S.masked(text, found)
+    assert hidden.startswith("ünï before ") and hidden.endswith(" after")
+    assert S.find_secrets(hidden)[1] == []
+
+
+@pytest.mark.parametrize("layer", BYTES)
+def test_layers_of_bytes_are_unwrapped(layer):
+    check(BYTES[layer](SECRET))
+
+
+def test_data_beyond_the_budget_are_masked():
+    bomb = b64(gzip.compress(b"z " * 500_000 + SECRET.encode()))
+    text = f"x {bomb} y"
+    assert S.find_secrets(text, 100_000) == ([], [], True)
+    assert S.masked(text, S.unsafe_spans(text, 100_000)).replace(S.MASK, "") in ("x  y", "x == y", "x = y")
+    other = b64(gzip.compress(SECRET.encode()))
+    assert other not in S.masked(f"{text} {other}", S.unsafe_spans(f"{text} {other}", 100_000))
