@@ -150,3 +150,27 @@ def test_data_beyond_the_budget_are_masked():
     assert S.masked(text, S.unsafe_spans(text, 100_000)).replace(S.MASK, "") in ("x  y", "x == y", "x = y")
     other = b64(gzip.compress(SECRET.encode()))
     assert other not in S.masked(f"{text} {other}", S.unsafe_spans(f"{text} {other}", 100_000))
+
+
+def wrapped(raw, width, end="\n"):
+    return end.join(re.findall(f".{{1,{width}}}", b64(raw)))
+
+
+NOISE = "lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed di "
+RUNS = {
+    "mime": lambda s: base64.encodebytes((NOISE + s).encode()).decode().rstrip("\n"),
+    "pem": lambda s: wrapped((NOISE[:40] + s).encode(), 64, "\r\n"),
+    "json": lambda s: wrapped((NOISE[:40] + s).encode(), 64, "\\n"),
+    "indented": lambda s: wrapped((NOISE[:40] + s).encode(), 64, "\n    "),
+    "wrapped_gzip": lambda s: wrapped(gzip.compress("".join(chr(33 + i * i * 7 % 90) for i in range(300)).encode() + b" " + s.encode()), 76),
+    "wrapped_bz2": lambda s: wrapped(bz2.compress(s.encode()), 64),
+    **{f"path_{n}": lambda s, n=n: "c" * n + "/" + b64(s) for n in range(1, 5)},
+    "dash": lambda s: "prefix-" + base64.urlsafe_b64encode(s.encode()).decode(),
+    "glued_gzip": lambda s: "cb/" + b64(gzip.compress(s.encode())),
+    "one_too_many": lambda s: b64(s + " " * (-len(s) % 3)) + "A",
+}
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_runs_over_lines_and_out_of_phase(run):
+    check(RUNS[run](SECRET))
