@@ -336,16 +336,14 @@ def ngram_jaccard(
     return full.unionByName(empty)
 
 
-def first_of_class(docs: DataFrame, id_column: str = "doc_id", same_again: bool = False, **options) -> DataFrame:
+def first_of_class(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, whole, that stand for their class: one of each group of near copies.
 
-    Rows are numbered and read more than once. ``same_again`` says that ``docs`` gives the same rows
-    in the same partitions each time, as a scan of files does; else they are written first.
+    Rows are read more than once, so they are written with their numbers: a second scan of the same
+    files can cut them into other partitions and number the rows anew.
     Others than the first of a class are fewer than the rows that stay, so it is they that are joined.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    if not same_again:
-        numbered = materialize(numbered, "numbered")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = ngram_jaccard(numbered, row_column="__row", id_column=id_column, **options)
     others = materialize(found.filter(~F.col("first")).select(F.col("row").alias("__other"), F.col("id").alias("__id")), "others")
     release(docs.sparkSession)

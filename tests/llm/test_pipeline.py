@@ -74,3 +74,19 @@ def test_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_near_copies_go_when_the_files_are_cut_anew(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [clean(rng) for _ in range(40)]
+    rows = [(2 * i + k, t) for i, t in enumerate(texts) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    settings = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(0, 80, 2))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
