@@ -5,6 +5,7 @@ from __future__ import annotations
 from daybook.llm.bitslice import OP8_SQL, op8_bitsliced_topk
 from daybook.llm.classifier import op10_quality_classifier
 from daybook.llm.jaccard import OP6_SQL, op6_ngram_jaccard
+from daybook.llm.line_dedup import OP11_SQL, op11_line_dedup
 from daybook.llm.mixing import OP5_SQL, op5_mix_sources
 from daybook.llm.neighbours import op3_adaptive_neighbours
 from daybook.llm.packing import op4_pack_mixture
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bitsliced_topk": op8_bitsliced_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_line_dedup": op11_line_dedup,
 }
 
-ORACLE = {"op5_mix_sources": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_bitsliced_topk": OP8_SQL}
+ORACLE = {"op5_mix_sources": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_bitsliced_topk": OP8_SQL, "op11_line_dedup": OP11_SQL}

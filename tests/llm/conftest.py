@@ -70,9 +70,3 @@ def odd_documents(spark):
 def no_documents(spark):
     return spark.createDataFrame([], DOCS)
 
-
-def pytest_configure():
-    import os
-    import sys
-
-    sys.path.insert(0, os.path.dirname(__file__))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from llm_prose import clean, junk
+from tests.llm.llm_prose import clean, junk
 
 from daybook.llm import classifier as C
 

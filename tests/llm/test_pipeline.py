@@ -7,7 +7,7 @@ import random
 
 import duckdb
 import pytest
-from llm_prose import clean, junk
+from tests.llm.llm_prose import clean, junk
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
