@@ -11,12 +11,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from daybook.schemas import BankProfile, CategoryRule  # noqa: E402
 from daybook.session import build_session  # noqa: E402
 
-TZ = "Asia/Kolkata"
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -99,23 +95,6 @@ def chats(tmp_path):
     return str(root)
 
 
-PROFILE = BankProfile(
-    name="river_current",
-    header_signature=("Booked", "Details", "Out", "In"),
-    date_col="Booked",
-    narration_col="Details",
-    amount_style="debit_credit",
-    debit_col="Out",
-    credit_col="In",
-    date_format="%d-%m-%Y",
-)
-RULES = [
-    CategoryRule("mill|bakery", "bread"),
-    CategoryRule("ferry", "travel"),
-    CategoryRule("atm", "cash"),
-]
-
-
 @pytest.fixture()
 def bank(tmp_path):
     root = tmp_path / "bank"

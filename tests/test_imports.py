@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from conftest import PROFILE, RULES, TZ
+from tests.samples import PROFILE, RULES, TZ
 
 from daybook.operators.spine import day_spine, flag_weeks, week_spine
 from daybook.plans import imports

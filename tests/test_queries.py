@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
+from tests.samples import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
