@@ -13,6 +13,7 @@ from daybook.llm.pitman_yor import op1_pitman_yor
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.suffixes import op9_suffix_dedup
 from daybook.llm.token_files import op7_token_files
+from daybook.llm.zone_clusters import OP12_SQL, op12_centroid_clusters
 
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
@@ -26,6 +27,13 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_line_dedup": op11_line_dedup,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
-ORACLE = {"op5_mix_sources": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_bitsliced_topk": OP8_SQL, "op11_line_dedup": OP11_SQL}
+ORACLE = {
+    "op5_mix_sources": OP5_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
+    "op8_bitsliced_topk": OP8_SQL,
+    "op11_line_dedup": OP11_SQL,
+    "op12_centroid_clusters": OP12_SQL,
+}
