@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "16m"
 # The white space that separates words; other white space is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,8 +61,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with the package at hand."""
+    """``mapInArrow`` with the package at hand; a batch of long rows ends early."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from daybook.llm.bitslice import OP8_SQL, op8_bitsliced_topk
 from daybook.llm.classifier import op10_quality_classifier
+from daybook.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from daybook.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from daybook.llm.line_dedup import OP11_SQL, op11_line_dedup
 from daybook.llm.mixing import OP5_SQL, op5_mix_sources
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_line_dedup": op11_line_dedup,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
@@ -36,4 +38,5 @@ ORACLE = {
     "op8_bitsliced_topk": OP8_SQL,
     "op11_line_dedup": OP11_SQL,
     "op12_centroid_clusters": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
