@@ -3,7 +3,7 @@
 Both tokenizers cut a text at white space before they merge anything, so a text that is cut
 where a single space or line feed stands between two other characters has the ids of its pieces
 one after the other. Pieces repeat, their ids are kept. Where white space stands in any other
-way the text is encoded whole.
+way, or a text holds the string of one of the tokenizer's added tokens, it is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import os
 
 import numpy as np
 
-# Pieces kept by a worker; beyond it the store starts anew. It bounds memory, not results.
+# Pieces kept by a worker, in two generations: when the younger one has half of them the older one
+# goes, and pieces in use have moved on by then. It bounds memory, not results.
 KEPT = 400_000
 JOINED = 50
 
@@ -25,8 +26,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.feed = self._whole("\n")
         # Bytes that an id stands for; a tokenizer that drops white space has none for it.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -68,21 +70,26 @@ class WordIds:
                 for p in group:
                     self.store[p] = self._whole(" " + p)
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """The parts of a text that can be encoded apart; None if it has to be encoded whole."""
+        # Words joined by single spaces are the text again only if no other white space is in it.
+        if "\0" in text or " ".join(text.split()) != text.replace("\n", " ") or any(t in text for t in self.added):
+            return None
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\0" + pieces[0]
+        return pieces
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [b""] * len(texts)
-        for k, text in enumerate(texts):
-            if text and "  " not in text and "\0" not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
-                pieces = text.replace("\n", " \n").split(" ")
-                pieces[0] = "\0" + pieces[0]
-                out[k] = pieces
-            elif text:
-                out[k] = self._whole(text)
-        if len(self.store) > KEPT:
-            self.store = {}
-        cut = [x for x in out if type(x) is list]
-        self._learn(list(set().union(*cut).difference(self.store)))
+        if len(self.store) > KEPT // 2:
+            self.store, self.older = {}, self.store
+        cut = [self._pieces(text) if text else [] for text in texts]
+        new = set().union(*[x for x in cut if x]).difference(self.store)
+        known = new.intersection(self.older)
+        for piece in known:
+            self.store[piece] = self.older[piece]
+        self._learn(list(new - known))
         ids = self.store.__getitem__
-        return [b"".join(map(ids, x)) if type(x) is list else x for x in out]
+        return [self._whole(text) if x is None else b"".join(map(ids, x)) for text, x in zip(texts, cut, strict=True)]
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from daybook.llm import tokens
 from daybook.llm.packing import Schedule, pack
 from daybook.llm.tokens import WordIds
 
@@ -66,16 +68,34 @@ def test_word_ids_equal_whole_encodings(name, document_rows):
            "12345 a1b2 \U0001f600 x", "a ́ b", "ﬁ b", "\x1c b", "\x00 a", "ᄀ ᅡ ᆨ y", "Σ ΑΣ ΟΔΟΣ x", "a b"]
     texts = odd + [a + " " + b for a in odd for b in odd] + [r[1] for r in document_rows if r[1]]
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     words = WordIds(public_tokenizers.path(name))
     for _ in range(2):  # the second time from the store
         got = words.encode(texts)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_any_white_space(name):
+    """All texts of up to six of these characters; white space that only seems to balance."""
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    words = WordIds(public_tokenizers.path(name))
+    texts = ["a\tb ", "a\tb \nc", "a\xa0b ", "x\ty\tz \n", "x <|endoftext|> y", "a <|startoftext|>b\nc"]
+    texts += ["".join(c) for n in range(1, 7) for c in itertools.product("a \t\n\xa0\x85", repeat=n)]
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in words.encode(texts)] == want
+
+
+def test_a_full_store_changes_nothing(monkeypatch, document_rows):
+    monkeypatch.setattr(tokens, "KEPT", 40)
+    words, texts = WordIds(public_tokenizers.path(NAMES[0])), [r[1] for r in document_rows if r[1]]
+    whole = Tokenizer.from_file(public_tokenizers.path(NAMES[0]))
+    for k in range(0, len(texts), 5):
+        got = words.encode(texts[k : k + 5])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts[k : k + 5]]
+
+
 def ids_of(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(NAMES[0]))
-    tokenizer.encode_special_tokens = True
     return [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for t in texts]
 
 

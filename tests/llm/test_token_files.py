@@ -65,7 +65,6 @@ def test_damage_is_found():
 
 def expected(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(K.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     return [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes() for t in texts]
 
 
