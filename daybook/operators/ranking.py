@@ -1,19 +1,16 @@
-"""BM25 ranking of many queries over one or several corpora in one job.
-
-Documents stay whole in their row: term counts are made there, without a shuffle. Only the
-postings of query terms leave the row, partitioned by document, so that the scores of a
-document add up in the task that holds it and only the best few per query and task move on.
-"""
+"""Term statistics, BM25 ranking of many queries over one or several corpora, and reranking."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import BM25_B, BM25_K1, RERANK_WEIGHTS, SEARCH_K
 from daybook.functions.text import token_count, tokens, with_term_counts
+from daybook.operators.postings import PostingIndex, Search, idf, query_terms
+from daybook.session import materialize
 
 ONE_CORPUS = "all"
 
@@ -36,10 +33,6 @@ def corpus_stats(docs: DataFrame, text: str = "text", corpus: str | None = None)
     )
 
 
-def idf(n_docs: Column, df: Column) -> Column:
-    return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
-
-
 def term_idf(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, idf) over one corpus."""
     terms = docs.select(F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("term"))
@@ -52,31 +45,6 @@ def term_idf(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_text") -> DataFrame:
-    """(corpus, query, term, mult): a term repeated in the query counts again."""
-    return (
-        queries.select("corpus", query, F.explode_outer(tokens(F.col(text))).alias("term"))
-        .filter("term is not null")
-        .groupBy("corpus", query, "term")
-        .agg(F.count(F.lit(1)).alias("mult"))
-    )
-
-
-def query_postings(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
-    """Postings of the query terms: (corpus, _doc, doc_len, term, tf), dealt out by document.
-
-    Texts are tokenised inside their rows. The exchange is by document, so a frequent word is
-    spread like any other, and what is counted and what is scored both read it.
-    """
-    length = F.aggregate("term_counts", F.lit(0), lambda n, x: n + x["tf"])
-    counted = with_term_counts(docs.select("corpus", F.col(doc).alias("_doc"), F.col(text).alias("_text")), "_text").select(
-        "corpus", "_doc", length.alias("doc_len"), F.col("term_counts").alias("_t")
-    )
-    # The outer form: for a plain ``inline`` Spark adds a filter that counts all terms once more.
-    found = counted.select("corpus", "_doc", "doc_len", F.inline_outer("_t")).join(wanted.select("corpus", "term").distinct(), ["corpus", "term"], "left_semi")
-    return found.select("corpus", "_doc", "doc_len", "term", "tf").repartition("corpus", "_doc")
-
-
 def bm25_topk(
     docs: DataFrame,
     queries: DataFrame,
@@ -94,50 +62,37 @@ def bm25_topk(
     its own with its own ``k``, and a query goes to the corpus in its ``corpus`` column, or to
     each of them if there is none. A corpus without documents yields no rows.
 
-    One plan for all sizes, run when the result is used. Scores are not rounded: the weight of a
-    word that every document has falls with their number, and still counts. Documents are ordered
-    by their score as a decimal of 18 digits, in which the order of adding does not matter; ties
-    go to the lower document id.
+    The documents are indexed first, see ``postings``; to search them more than once build a
+    ``PostingIndex`` and give it to ``search_topk``. Scores are not rounded: the weight of a word that
+    every document has falls with their number, and still counts. Ties go to the lower document id.
     """
-    per_corpus = k if isinstance(k, Mapping) else {ONE_CORPUS: k}
     if isinstance(k, Mapping):
-        docs = docs.filter(F.col("corpus").isin(list(per_corpus)))
-        if "corpus" not in queries.columns:
-            names = F.array(*[F.lit(c) for c in per_corpus])
-            queries = queries.withColumn("corpus", F.explode(names))
+        docs = docs.filter(F.col("corpus").isin(list(k)))
     else:
-        docs, queries = docs.withColumn("corpus", F.lit(ONE_CORPUS)), queries.withColumn("corpus", F.lit(ONE_CORPUS))
-
-    wanted = query_terms(queries, query, query_text)
-    postings = query_postings(docs, wanted, doc, text)
-    stats = corpus_stats(docs, text, "corpus")
-    counted = F.col("_doc").isNotNull() | (F.col("doc_len") + F.col("tf") > 0)
-    weights = (
-        postings.groupBy("corpus", "term")
-        .agg(F.count_if(counted).alias("df"))
-        .join(stats, "corpus")
-        .join(wanted, ["corpus", "term"])
-        .select("corpus", "term", query, "avgdl", (F.col("mult") * idf(F.col("n_docs"), F.col("df"))).alias("_w"))
-    )
-    length_norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
-    gain = F.col("_w") * F.col("tf") * (k1 + 1) / (F.col("tf") + length_norm)
-    scored = (
-        postings.join(weights, ["corpus", "term"])
-        .withColumn("_gain", gain)
-        .groupBy("corpus", query, "_doc")
-        .agg(F.sum("_gain").alias("score"), F.sum(F.col("_gain").cast("decimal(28,18)")).alias("_order"))
-        .filter("score > 0")
-    )
-    best = Window.partitionBy("corpus", query).orderBy(F.col("_order").desc(), "_doc")
-    limit = F.lit(0)
-    for name, n in per_corpus.items():
-        limit = F.when(F.col("corpus") == name, F.lit(n)).otherwise(limit)
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= max(per_corpus.values()))
-        .filter(F.col("rank") <= limit)
-        .select("corpus", query, "rank", F.col("_doc").alias(doc), "score")
-    )
+        docs = docs.withColumn("corpus", F.lit(ONE_CORPUS))
+    terms = materialize(query_terms(_addressed(queries, k), query, query_text), "query-terms")
+    return _shown(Search(PostingIndex.build(docs, doc, text, k1, b, terms), terms, k), doc, query)
+
+
+def _addressed(queries: DataFrame, k: int | Mapping[str, int]) -> DataFrame:
+    """Queries with the corpus that they go to."""
+    if not isinstance(k, Mapping):
+        return queries.withColumn("corpus", F.lit(ONE_CORPUS))
+    if "corpus" not in queries.columns:
+        return queries.withColumn("corpus", F.explode(F.array(*[F.lit(c) for c in k])))
+    return queries.filter(F.col("corpus").isin(list(k)))
+
+
+def search_topk(
+    index: PostingIndex, queries: DataFrame, k: int | Mapping[str, int] = SEARCH_K, doc: str = "doc_id", query: str = "query_id", query_text: str = "query_text"
+) -> DataFrame:
+    """As ``bm25_topk``, over documents that are indexed already; corpora without a ``k`` are left out."""
+    terms = materialize(query_terms(_addressed(queries, k), query, query_text), "query-terms")
+    return _shown(Search(index, terms, k), doc, query)
+
+
+def _shown(search: Search, doc: str, query: str) -> DataFrame:
+    return search.top().select("corpus", F.col("query").alias(query), "rank", F.col("doc").alias(doc), "score")
 
 
 def rerank(

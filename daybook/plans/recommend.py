@@ -20,8 +20,10 @@ from daybook.fixed_values import (
     STANDARD_LAYOUT,
 )
 from daybook.functions.text import contains_any
-from daybook.operators.ranking import bm25_topk, rerank
+from daybook.operators.postings import PostingIndex
+from daybook.operators.ranking import bm25_topk, rerank, search_topk
 from daybook.operators.rules import apply_rule, page_type, tiered_lookup, topic
+from daybook.session import materialize
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = SEARCH_K) -> DataFrame:
@@ -64,7 +66,8 @@ def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFram
     style priorities of the rule to the query, so it runs after the others.
     """
     plain = {c: k for c, k in CORPUS_K.items() if c != "style"}
-    hits = with_documents(bm25_topk(docs, queries, plain), docs)
+    index = PostingIndex.build(docs.filter(F.col("corpus").isin(list(CORPUS_K))))
+    hits = with_documents(search_topk(index, queries, plain), docs)
     parts = {"product": {"category": "Product Type"}, **{c: _fields(c) for c in ("landing", "color", "typography")}}
     # One row per query, which the rule lookup and the result both read.
     category = (
@@ -72,11 +75,12 @@ def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFram
         .join(_tops(hits, parts), "query_id", "left")
         .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY)))
     )
-    ruled = apply_rule(tiered_lookup(category, "category", rules), rules)
+    # Written once: the style search and both of its joins read it.
+    ruled = materialize(apply_rule(tiered_lookup(category, "category", rules), rules), "ruled")
 
     priority = F.concat_ws(" ", F.slice("style_priority", 1, 2))
     style_query = ruled.select("query_id", F.concat_ws(" ", "query_text", priority).alias("query_text"))
-    style_hits = with_documents(bm25_topk(docs, style_query, {"style": CORPUS_K["style"]}), docs)
+    style_hits = with_documents(search_topk(index, style_query, {"style": CORPUS_K["style"]}), docs)
     best = rerank(
         style_hits.select(
             "query_id",

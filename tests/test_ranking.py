@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import DEFAULT_ADVICE
-from daybook.operators import ranking, rules
+from daybook import session
+from daybook.operators import postings, ranking, rules
 from daybook.plans import recommend
 from daybook.sources import catalogs
 
@@ -68,14 +69,49 @@ def test_a_word_that_all_documents_have_still_counts(spark):
     assert all(0 < r.score < 1e-6 for r in got)
 
 
-def test_building_starts_no_job(spark, corpus):
+def test_searching_reads_the_index_alone(spark, corpus):
+    """An index outlives its documents and serves any number of searches."""
     docs, queries = corpus
-    docs = spark.createDataFrame(docs, "doc_id int, text string")
-    queries = spark.createDataFrame(queries, "query_id int, query_text string")
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("build", "")
-    ranking.bm25_topk(docs, queries)
-    assert list(tracker.getJobIdsForGroup("build")) == []
+    index = postings.PostingIndex.build(spark.createDataFrame([("all", *r) for r in docs], "corpus string, doc_id int, text string"))
+    for some in (queries[:5], queries[5:]):
+        got = ranking.search_topk(index, spark.createDataFrame(some, "query_id int, query_text string"), 4).collect()
+        for q, text in some:
+            mine = [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+            assert mine == [i for i, _ in brute_bm25(docs, text, 4)]
+
+
+def search_of(spark, docs, queries, k):
+    index = postings.PostingIndex.build(docs.withColumn("corpus", F.lit("all")))
+    terms = postings.query_terms(queries.withColumn("corpus", F.lit("all")))
+    return postings.Search(index, session.materialize(terms, "terms"), k)
+
+
+def test_pruned_search_equals_the_whole_one_and_reads_less(spark):
+    """One word in all documents, one in every fifth, and words of a few documents each."""
+    n = F.xxhash64("id")
+    words = F.concat_ws(" ", F.lit("common"), F.when(n % 5 == 0, "fifth"), F.concat(F.lit("rare"), F.pmod(n, F.lit(3_000)).cast("string")))
+    filler = F.array_join(F.transform(F.sequence(F.lit(1), F.pmod(n, F.lit(7)).cast("int") + 1), lambda i: F.lit("filling")), " ")
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words, filler).alias("text"))
+    queries = spark.createDataFrame([(i, f"common fifth rare{7 * i} common") for i in range(8)] + [(90, "fifth common"), (91, "unknown"), (92, "")], "query_id int, query_text string")
+    search = search_of(spark, docs, queries, 3)
+    got, want = (sorted((r["query"], r["rank"], r.doc, round(r.score, 12)) for r in search.top(x).collect()) for x in (True, False))
+    assert got == want and len(got) == 27
+    chosen = search.reachable().filter("query < 90").cache()
+    looked = search._gains(chosen.filter("essential")).count()
+    assert looked * 10 <= search._gains(search.everything().filter("query < 90")).count()
+
+
+@pytest.mark.parametrize("block_bits", [0, 3])
+def test_bounds_are_reached_and_nobody_is_lost(spark, corpus, monkeypatch, block_bits):
+    monkeypatch.setattr(postings, "BLOCK_BITS", block_bits)
+    docs, queries = corpus
+    docs = docs + [(7, docs[3][1]), (None, docs[4][1]), (80, ""), (81, None)]  # a repeated id, no id, no text
+    search = search_of(spark, spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(queries, "query_id int, query_text string"), 4)
+    got, want = (sorted(((r["query"], r["rank"], r.doc, round(r.score, 10)) for r in search.top(x).collect()), key=str) for x in (True, False))
+    assert got == want
+    last = {r["query"]: r.score for r in search.top(False).filter("rank = 4").collect()}
+    for r in search.bounds().collect():
+        assert r.bound <= last[r["query"]] * (1 + 1e-9)
 
 
 def test_each_corpus_on_its_own(spark, corpus):
