@@ -14,7 +14,7 @@ import numpy as np
 
 # Pieces kept by a worker, in two generations: when the younger one has half of them the older one
 # goes, and pieces in use have moved on by then. It bounds memory, not results.
-KEPT = 400_000
+KEPT = 800_000
 JOINED = 50
 
 
