@@ -300,7 +300,8 @@ def ngram_jaccard(
     # The full sets, of the candidates alone: their texts are read and hashed once more.
     wanted = members.select(F.col("copy_id").alias("__wanted")).distinct()
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("__wanted")), "left_semi").select("text")
+    # How texts move is the same at all sizes: what a small table would copy to every task grows.
+    texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("__wanted")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,7 +349,7 @@ def first_of_class(docs: DataFrame, id_column: str = "doc_id", **options) -> Dat
     others = materialize(found.filter(~F.col("first")).select(F.col("row").alias("__other"), F.col("id").alias("__id")), "others")
     release(docs.sparkSession)
     same = (F.col("__row") == F.col("__other")) & F.col(f"`{id_column}`").eqNullSafe(F.col("__id"))
-    return numbered.join(others, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(others.hint("merge"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
