@@ -16,6 +16,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.fixed_values import HEADER_SCAN_LINES
 from daybook.operators import chat
 from daybook.operators.merge import collapse, insert_dedupe, new_files
 from daybook.operators.statement import normalize_statement
@@ -30,7 +31,7 @@ from daybook.plans.warehouse import (
 from daybook.schemas import BankProfile, CategoryRule, required
 from daybook.sources import exports, files
 from daybook.sources.chat_lines import chat_name, text_lines
-from daybook.sources.statements import find_headers, profile_table, statement_cells
+from daybook.sources.statements import find_headers, profile_table, statement_cells, whole_rows
 
 UNREADABLE = "unreadable file"
 NO_DATE = "no date column recognized"
@@ -97,11 +98,11 @@ def warn_chat(lines: DataFrame) -> DataFrame:
     return chat.chat_warnings(lines).select("path", F.explode(found).alias("warning"))
 
 
-def warn_no_header(profiles: Sequence[BankProfile]) -> Callable[[DataFrame], DataFrame]:
-    """Statements none of the profiles fits."""
+def warn_no_header(profiles: Sequence[BankProfile], scan_lines: int | None = HEADER_SCAN_LINES) -> Callable[[DataFrame], DataFrame]:
+    """Statements none of the profiles fits in their first ``scan_lines`` rows."""
 
     def warn(lines: DataFrame) -> DataFrame:
-        known = find_headers(lines, profile_table(lines, profiles))
+        known = find_headers(whole_rows(lines), profile_table(lines, profiles), scan_lines=scan_lines)
         unknown = lines.select("path").distinct().join(known.select("path"), "path", "left_anti")
         return unknown.select("path", F.lit(NO_PROFILE).alias("warning"))
 
@@ -149,15 +150,16 @@ def chat_job(me: str, tz: str) -> Job:
 
 def bank_job(
     profiles: Sequence[BankProfile], rules: Sequence[CategoryRule], tz: str,
-    currency: str = "INR", account: str | None = None,
+    currency: str = "INR", account: str | None = None, scan_lines: int | None = HEADER_SCAN_LINES,
 ) -> Job:
+    """Statements of the banks of ``profiles``; a header is looked for in the first ``scan_lines`` rows (None: in all)."""
     return Job(
         "bank", "transactions", "*.csv", lambda spark, root: text_lines(spark, root, "*.csv"),
         lambda lines: normalize_statement(
-            statement_cells(lines, profiles), profiles, rules, tz, currency, account
+            statement_cells(lines, profiles, scan_lines=scan_lines), profiles, rules, tz, currency, account
         ),
         ("path", "block", "line_id", "pos"), "raw_statement_lines",
-        warn=warn_no_header(profiles),
+        warn=warn_no_header(profiles, scan_lines),
     )
 
 

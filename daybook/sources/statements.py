@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import HEADER_SCAN_LINES
+from daybook.operators.runs import running_sum
 from daybook.schemas import BankProfile
 
 # One cell behind its comma: quoted, with doubled quotes inside, or plain.
@@ -15,7 +16,7 @@ CELL = r',("(?:[^"]|"")*"|[^,]*)'
 
 
 def cells(line: Column) -> Column:
-    """Cells of one CSV line, quotes honoured."""
+    """Cells of one CSV row, quotes honoured; a quoted cell may hold line breaks."""
     found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
     return F.transform(
         found,
@@ -31,6 +32,32 @@ def signature(cell_array: Column) -> Column:
     return F.array_join(F.sort_array(F.filter(names, lambda c: c != "")), "|")
 
 
+def whole_rows(lines: DataFrame, file: str = "path", order: Sequence[str] = ("block", "line_id", "pos")) -> DataFrame:
+    """Rows of CSV files from their lines: a line break inside quotes does not end a row.
+
+    A line ends inside quotes if the quotes of its file up to there are odd in number; doubled
+    quotes count twice. The sum is taken per split (the first column of ``order``) and then
+    over splits. A row of one line stays where it is; lines of longer rows are brought together by
+    row, stand at their first line, and have ``\\n`` between them. A file with an odd
+    number of quotes in all does not quote by this rule: its lines stay as they are.
+    """
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
+    counted = lines.withColumn("_quotes", F.coalesce(quotes, F.lit(0)))
+    odd = counted.groupBy(file).agg((F.sum("_quotes") % 2).alias("_odd")).filter("_odd = 1").select(file)
+    at = running_sum(counted, F.col("_quotes"), [file], order[:1], order[1:], "_so_far")
+    starts = (F.col("_so_far") - F.col("_quotes")) % 2 == 0
+    at = running_sum(at.withColumn("_starts", starts), F.col("_starts").cast("int"), [file], order[:1], order[1:], "_row")
+    alone = F.col("_starts") & (F.col("_quotes") % 2 == 0)
+    columns = [file, *order, "line"]
+    placed = at.join(odd, file, "left_anti")
+    lone = placed.filter(alone).select(columns)
+    parts = F.sort_array(F.collect_list(F.struct(*order, "line")))
+    joined = placed.filter(~alone).groupBy(file, "_row").agg(parts.alias("_p"))
+    text = F.array_join(F.transform("_p", lambda x: x["line"]), "\n")
+    joined = joined.select(file, *[F.col("_p")[0][c].alias(c) for c in order], text.alias("line"))
+    return lone.unionByName(joined).unionByName(lines.join(odd, file, "left_semi").select(columns))
+
+
 def profile_table(lines: DataFrame, profiles: Sequence[BankProfile]) -> DataFrame:
     """The profiles as rows, first one kept per signature."""
     seen: dict[str, BankProfile] = {}
@@ -89,8 +116,9 @@ def statement_cells(
     """Data lines of every statement as texts by role, files of all banks in one job.
 
     Columns sit where the file's own header puts them. Files without a known header give no
-    rows. A quoted line break inside a cell is not supported.
+    rows. Quoted cells may hold line breaks, see ``whole_rows``.
     """
+    lines = whole_rows(lines, file, order)
     headers = find_headers(lines, profile_table(lines, profiles), file, order, scan_lines)
     rows = lines.join(headers, file).filter(F.struct(*order) > F.col("header_at"))
     rows = rows.withColumn("_c", cells(F.col("line")))
