@@ -113,21 +113,25 @@ def spend_by_week_inner(spark, d):
 @query
 def user_weeks_flag(spark, d):
     users = t.table(spark, d, "events").select("user_id").distinct()
-    weeks = spine.calendar_weeks(users, "1997-01-06", "1998-12-28")
-    return spine.flag_weeks(weeks, t.activities(spark, d), FLAG_TYPES, ["user_id"])
+    activities = t.activities(spark, d)
+    weeks = spine.calendar_weeks(users, *spine.first_and_last(activities, "ts_start"))
+    return spine.flag_weeks(weeks, activities, FLAG_TYPES, ["user_id"])
 
 
 @query
 def user_days_without_event(spark, d):
-    events = t.table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("day"))
-    spine_rows = spine.calendar_days(events.select("user_id").distinct(), "2024-01-01", "2024-01-31")
-    return spine.gaps(spine_rows, events, ["user_id", "day"])
+    return spine.gap_days(t.table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("day")), ["user_id"])
+
+
+@query
+def user_gap_intervals(spark, d):
+    return spine.gap_intervals(t.table(spark, d, "events"), ["user_id"], "ts").filter("days > 1")
 
 
 @query
 def user_spine_days(spark, d):
-    facts = [(t.table(spark, d, "events").select("user_id", "ts"), "ts")]
-    return spine.day_spine(facts, "2024-01-31", ["user_id"], lookback_days=0)
+    events = t.table(spark, d, "events").select("user_id", "ts")
+    return spine.day_spine([(events, "ts")], spine.first_and_last(events, "ts")[1], ["user_id"], lookback_days=0)
 
 
 @query

@@ -50,6 +50,11 @@ ACTIVITIES = """activities AS (SELECT user_id, event_type AS activity_type, valu
     ELSE user_id % 104 END AS INTEGER) AS TIMESTAMP) + (ts - date_trunc('day', ts)) AS ts_start
   FROM events)"""
 
+GAP_DAYS = """gap_days AS (
+  SELECT user_id, CAST(d AS DATE) AS day FROM (SELECT DISTINCT user_id FROM events),
+    (SELECT unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, max(ts), INTERVAL 1 DAY)) AS d FROM events)
+  EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events)"""
+
 MS = "CAST(floor(value * 1000) AS INTEGER)"
 
 LISTENS = f"""listens AS (SELECT ts, event_type AS track, 'user_' || user_id AS artist,
@@ -253,15 +258,17 @@ ORACLE: dict[str, str] = {
     "weekly_spend": f"WITH {TX}, {WEEKLY} SELECT * FROM weekly",
     "spend_by_week_inner": f"WITH {TX}, {WEEKLY}, {WEEKS} SELECT week_start, went_to_gym, spend FROM weeks JOIN weekly USING (week_start)",
     "user_weeks_flag": f"""WITH {ACTIVITIES}, cal AS (SELECT user_id, CAST(w AS DATE) AS week_start FROM (SELECT DISTINCT user_id FROM events),
-        generate_series(TIMESTAMP '1997-01-06', TIMESTAMP '1998-12-28', INTERVAL 7 DAY) s(w))
+        (SELECT unnest(generate_series(date_trunc('week', min(ts_start))::TIMESTAMP, max(ts_start), INTERVAL 7 DAY)) AS w FROM activities))
       SELECT user_id, week_start, (user_id, week_start) IN (SELECT (user_id, CAST(date_trunc('week', ts_start) AS DATE))
         FROM activities WHERE activity_type = 'signup') AS went_to_gym FROM cal""",
-    "user_days_without_event": """SELECT user_id, CAST(d AS DATE) AS day FROM (SELECT DISTINCT user_id FROM events),
-      generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(d)
-      EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events""",
+    "user_days_without_event": f"WITH {GAP_DAYS} SELECT user_id, day FROM gap_days",
+    "user_gap_intervals": f"""WITH {GAP_DAYS}, runs AS (
+      SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS run FROM gap_days)
+      SELECT user_id, min(day) AS gap_start, max(day) AS gap_end, CAST(count(*) AS INTEGER) AS days FROM runs
+      GROUP BY user_id, run HAVING count(*) > 1""",
     "user_spine_days": """SELECT user_id, CAST(d AS DATE) AS day, CAST(date_trunc('week', d) AS DATE) AS week_start,
         CAST(date_trunc('month', d) AS DATE) AS month_start FROM
-      (SELECT user_id, unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS d
+      (SELECT user_id, unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, (SELECT max(ts) FROM events), INTERVAL 1 DAY)) AS d
        FROM events GROUP BY user_id)""",
     "sql_over_views": f"""WITH {ENRICHED} SELECT category, account, count(*) AS n, CAST(sum(-amount) AS DECIMAL(18,2)) AS spend
       FROM enriched WHERE amount < 0 GROUP BY category, account HAVING count(*) > 10""",
