@@ -73,7 +73,7 @@ def test_query_equals_sql(spark, name):
 def test_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_near_copies_go_when_the_files_are_cut_anew(spark, tmp_path):
