@@ -84,10 +84,9 @@ class WordIds:
             self.store, self.older = {}, self.store
         cut = [self._pieces(text) if text else [] for text in texts]
         new = set().union(*[x for x in cut if x]).difference(self.store)
-        known = new.intersection(self.older)
-        for piece in known:
-            self.store[piece] = self.older[piece]
-        self._learn(list(new - known))
+        known = {piece: self.older[piece] for piece in new if piece in self.older}
+        self.store.update(known)
+        self._learn(list(new.difference(known)))
         ids = self.store.__getitem__
         return [self._whole(text) if x is None else b"".join(map(ids, x)) for text, x in zip(texts, cut, strict=True)]
 
