@@ -50,7 +50,7 @@ def text_lines(spark: SparkSession, root: str | list[str], glob: str = "*.txt")
 
 
 def chat_name(path: Column) -> Column:
-    """``WhatsApp Chat with Rahul.txt`` -> ``Rahul``; ``Family_chat.txt`` -> ``Family``."""
+    """``WhatsApp Chat with Tove.txt`` -> ``Tove``; ``Allotment_chat.txt`` -> ``Allotment``."""
     file_name = F.url_decode(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\+", "%2B"))
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
     name = F.regexp_replace(stem, "(?i)^whatsapp chat with ", "")
