@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from daybook.functions import amounts, dates, keys, text
 from daybook.operators import chat, enrich, merge, profiling, ranking, rules, spine, statement
@@ -15,7 +16,7 @@ from daybook.schemas import VOCABULARY_COLUMNS
 from daybook.session import scratch_path
 from daybook.sources import exports, files, statements
 from daybook.sources import tables as t
-from daybook.streaming import loads
+from daybook.streaming import loads, weeks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -695,18 +696,47 @@ def stream_insert_dedupe(spark, d):
     return spark.read.parquet(out).drop("batch")
 
 
+def _in_arrivals(spark: SparkSession, d: str, load: Callable[[DataFrame], StreamingQuery], deliveries: int = 1) -> None:
+    """Run a load after each arrival: the items received in one year, delivered so often."""
+    items = t.received_items(spark, d)
+    span = items.agg(F.min("received").alias("a"), F.max("received").alias("b")).first()
+    folder = scratch_path(spark, "arrivals")
+    stream = spark.readStream.schema(items.schema).option("recursiveFileLookup", True).parquet(f"{folder}/*")
+    for year in range(span["a"], span["b"] + 1):
+        for delivery in range(deliveries):
+            items.filter(F.col("received") == year).write.parquet(f"{folder}/{year}-{delivery}")
+            loads.run_to_end(load(stream))
+
+
 @query
 def stream_weekly_spend(spark, d):
-    stream = (
-        _item_stream(spark, d)
-        .filter("l_returnflag <> 'R'")
-        .select(F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
-    )
-    rollup = loads.weekly_rollup(
-        stream, "ts", "4000 days", spend=F.sum("price").cast("decimal(18,2)"), n=F.count(F.lit(1))
-    )
+    """Weekly spend of items in the order of their receipt; weeks close 14 days after their end."""
     out, checkpoint = scratch_path(spark, "stream-weeks"), scratch_path(spark, "stream-log")
-    loads.run_to_end(loads.write_changes(rollup, out, checkpoint))
-    return loads.current(spark.read.parquet(out), ["week_start"])
 
+    def load(stream: DataFrame) -> StreamingQuery:
+        rows = stream.filter("l_returnflag <> 'R'").select("ts", F.col("price").alias("spend"), F.lit(1).alias("n"))
+        return weeks.close_weeks(rows, out, checkpoint, "ts", "14 days", {"spend": "decimal(18,2)", "n": "bigint"})
+
+    _in_arrivals(spark, d, load)
+    week = F.date_trunc("week", "ts").cast("date").alias("week_start")
+    late = weeks.late_rows(spark, out).groupBy(week).agg(F.count(F.lit(1)).alias("late"))
+    found = weeks.closed_weeks(spark, out).unionByName(weeks.open_weeks(spark, out))
+    return found.join(late, "week_start", "full").select(
+        "week_start", "spend", F.coalesce("n", F.lit(0)).alias("n"), "is_open", F.coalesce("late", F.lit(0)).alias("late")
+    )
+
+
+@query
+def stream_dedupe_bounded(spark, d):
+    """Every delivery comes twice; repeats are dropped by state that a watermark of 60 days frees."""
+    out, checkpoint = scratch_path(spark, "stream-rows"), scratch_path(spark, "stream-log")
+    columns = ["l_orderkey", "l_linenumber", "price", "l_returnflag"]
+
+    def load(stream: DataFrame) -> StreamingQuery:
+        day = F.col("ts").cast("date").cast("string")
+        keyed = stream.withColumn("dedupe_key", keys.row_key("bank", day, *[F.col(c).cast("string") for c in columns]))
+        rows = loads.dedupe_in_stream(keyed.select("ts", *columns, "dedupe_key"), "ts", "60 days")
+        return loads.append_stream(rows, out, checkpoint)
 
+    _in_arrivals(spark, d, load, deliveries=2)
+    return zoneless(spark.read.parquet(out), "ts")

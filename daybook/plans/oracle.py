@@ -198,6 +198,9 @@ KEY_OF_EVENTS = """SELECT event_id,
 FROM (SELECT *, CASE WHEN event_type <> 'error' THEN props END AS p, CASE WHEN event_type <> 'click' THEN props END AS c,
   CASE WHEN event_type <> 'view' THEN event_type END AS v, {ms} AS ms FROM events)"""
 
+# Items arrive up to 30 days after their shipping.
+RECEIVED = "year(CAST(l_shipdate AS DATE) + CAST((l_orderkey + 5 * l_linenumber) % 31 AS INTEGER))"
+
 METRICS = """SELECT '{source}' AS source, '{table}' AS "table",
   count(*) FILTER (WHERE only_new) AS rows_inserted, CAST(sum(n) AS BIGINT) - count(*) FILTER (WHERE only_new) AS rows_skipped,
   CAST(min(lo) AS DATE) AS first_day, CAST(max(hi) AS DATE) AS last_day
@@ -456,6 +459,15 @@ ORACLE: dict[str, str] = {
     "stream_insert_dedupe": f"""SELECT l_shipdate AS ts, {PRICE} AS amount, l_linestatus AS account,
         sha256('bank|' || l_orderkey || '|' || l_linenumber) AS dedupe_key FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_extendedprice, l_linestatus) = 1""",
-    "stream_weekly_spend": f"""SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, CAST(sum({PRICE}) AS DECIMAL(18,2)) AS spend,
-        count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1""",
+    "stream_weekly_spend": f"""WITH r AS (SELECT l_shipdate AS ts, date_trunc('week', l_shipdate) AS w, {PRICE} AS price, {RECEIVED} AS y
+        FROM lineitem WHERE l_returnflag <> 'R'),
+      b AS (SELECT y, max(max(ts)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        max(max(ts)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS high FROM r GROUP BY y),
+      k AS (SELECT *, coalesce(w + INTERVAL 7 DAY <= before - INTERVAL 14 DAY, false) AS late FROM r JOIN b USING (y))
+      SELECT CAST(w AS DATE) AS week_start, CAST(sum(price) FILTER (NOT late) AS DECIMAL(18,2)) AS spend, count(*) FILTER (NOT late) AS n,
+        CASE WHEN count(*) FILTER (NOT late) > 0 THEN w + INTERVAL 7 DAY > max(high) - INTERVAL 14 DAY END AS is_open,
+        count(*) FILTER (late) AS late FROM k GROUP BY w""",
+    "stream_dedupe_bounded": f"""SELECT DISTINCT l_shipdate AS ts, l_orderkey, l_linenumber, {PRICE} AS price, l_returnflag,
+        sha256('bank|' || CAST(l_shipdate AS DATE) || '|' || l_orderkey || '|' || l_linenumber || '|' || {PRICE} || '|' || l_returnflag) AS dedupe_key
+      FROM lineitem""",
 }

@@ -34,6 +34,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def received_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with their year of receipt, which is up to 30 days after their shipping."""
+    days = ((F.col("l_orderkey") + 5 * F.col("l_linenumber")) % 31).cast("int")
+    return table(spark, folder, "lineitem").select(
+        F.col("l_shipdate").cast("timestamp").alias("ts"), "l_orderkey", "l_linenumber",
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), "l_returnflag",
+        F.year(F.date_add(F.col("l_shipdate").cast("date"), days)).alias("received"),
+    )
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

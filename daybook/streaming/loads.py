@@ -62,6 +62,17 @@ def dedupe_in_stream(stream: DataFrame, ts: str, delay: str, key: str = KEY) ->
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream to Parquet files; the log in their folder names those that count."""
+    return (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def weekly_rollup(stream: DataFrame, ts: str, delay: str, **aggregates) -> DataFrame:
     """Aggregates per Monday week of a stream; late rows count until ``delay`` has passed.
 
@@ -105,8 +116,6 @@ def run_to_end(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-
-
 def stream_json_export(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
     """Raw rows of JSON-array exports as files arrive; feed them to the export's normaliser."""
     return (
