@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import ACTIVITY_ALIASES
-from daybook.functions.dates import local_to_instant
+from daybook.functions.dates import local_day, local_to_instant
 from daybook.functions.keys import with_manual_key
 
 KEY = "dedupe_key"
@@ -130,11 +130,15 @@ def activity_label(spoken: Column) -> Column:
 def manual_activities(
     log: DataFrame, activities: DataFrame, tz: str = "UTC", order: Sequence[str] = ("duration_min",)
 ) -> DataFrame:
-    """Rows to append for a log of (activity, day, minutes): noon local, one per day and type."""
+    """Rows to append for a log of (activity, day, minutes): noon local, one per day and type.
+
+    Without a day an activity is logged as of now, on the local day of now.
+    """
     noon = F.col("day").cast("timestamp_ntz") + F.expr("interval 12 hours")
+    now = F.current_timestamp()
     rows = log.select(
-        "day",
-        local_to_instant(noon, tz).alias("ts_start"),
+        F.coalesce("day", local_day(now, tz)).alias("day"),
+        F.coalesce(local_to_instant(noon, tz), now).alias("ts_start"),
         F.lit(None).cast("timestamp").alias("ts_end"),
         activity_label(F.col("activity")).alias("activity_type"),
         F.col("minutes").cast("double").alias("duration_min"),

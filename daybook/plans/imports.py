@@ -42,7 +42,7 @@ NOT_IMPORTED = (UNREADABLE, NO_DATE, NO_MESSAGES, NO_PROFILE)
 
 METRICS = (
     "source string, table string, rows_inserted bigint, rows_skipped bigint, "
-    "files_imported bigint, files_skipped bigint"
+    "files_imported bigint, files_skipped bigint, load string"
 )
 
 
@@ -164,7 +164,7 @@ def bank_job(
 
 
 def run_job(spark: SparkSession, job: Job, folder: str, warehouse: str, force: bool = False) -> DataFrame:
-    """Run one job; returns one row of counts."""
+    """Run one job; returns one row of counts, with the name of the load."""
     found = files.fingerprint_files(spark, folder, job.glob)
     if job.only:
         found = found.filter(F.col("path").rlike(job.only))
@@ -188,7 +188,7 @@ def run_job(spark: SparkSession, job: Job, folder: str, warehouse: str, force: b
     # Names of the new files alone; Spark's own listing holds those of all files.
     names = [unquote(r["path"]) for r in todo.collect()]
     if not names:
-        return _metrics(spark, job, listed, None, None)
+        return _metrics(spark, job, load, listed, None, None)
     job.read(spark, names).write.mode("overwrite").parquet(raw_path)
     raw = spark.read.parquet(raw_path)
     staged = job.normalize(raw)
@@ -217,16 +217,16 @@ def run_job(spark: SparkSession, job: Job, folder: str, warehouse: str, force: b
         F.coalesce("rows_inserted", F.lit(0)).alias("rows_inserted"),
     )
     append_ledger(entries, warehouse)
-    return _metrics(spark, job, listed, batch, written)
+    return _metrics(spark, job, load, listed, batch, written)
 
 
 def _metrics(
-    spark: SparkSession, job: Job, listed: DataFrame, batch: DataFrame | None, written: DataFrame | None
+    spark: SparkSession, job: Job, load: str, listed: DataFrame, batch: DataFrame | None, written: DataFrame | None
 ) -> DataFrame:
     total = batch.count() if batch is not None else 0
     inserted = written.count() if written is not None else 0
     n = listed.agg(F.count_if(F.col("_fresh")).alias("f"), F.count(F.lit(1)).alias("n")).first()
-    row = (job.source, job.table, inserted, total - inserted, n["f"], n["n"] - n["f"])
+    row = (job.source, job.table, inserted, total - inserted, n["f"], n["n"] - n["f"], load)
     return spark.createDataFrame([row], METRICS)
 
 
