@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ ROUNDS = 2
 BURN_IN = 3
 SAMPLES = 3
 WINDOW = 64
+# Up to so many customers of a dish the law of its tables is exact, from a table of ratios.
+LISTED = 256
 STRENGTH = (1.0, 1.0, 1.0)
 SEED = 20240229
 END = np.uint64(0x454E44)  # no word has this hash but by a chance of 2**-64
@@ -254,6 +257,26 @@ def _alone(discount: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0.0], np.log(mean)]), np.concatenate([[1.0], discount * z / total])
 
 
+@cache
+def _more_tables(discount: float) -> np.ndarray:
+    """Logarithm of S(c, t + 1) / S(c, t) at [c, t], S(c, t) being the weight of all ways to seat c customers at t tables.
+
+    Seats are taken one by one: a table with k customers weighs k - discount to the next one, a
+    new one 1 (generalised Stirling numbers).
+    """
+    t = np.arange(LISTED + 2)
+    ways = np.full(LISTED + 2, -np.inf)
+    ways[1] = 0.0
+    out = np.zeros((LISTED + 1, LISTED + 2))
+    for c in range(2, LISTED + 1):
+        with np.errstate(divide="ignore"):
+            stay = ways + np.log(np.maximum(c - 1 - discount * t, 0.0))
+        ways = np.logaddexp(stay, np.append(-np.inf, ways[:-1]))
+        out[c, 1:c] = np.diff(ways[1 : c + 1])
+        out[c, c:] = out[c, c - 1]
+    return out
+
+
 class Seating:
     """The chains of one shard, given the totals of the restaurants (customers and tables)."""
 
@@ -287,9 +310,30 @@ class Seating:
         return out
 
     def _ratio(self, d: int, c: np.ndarray, t: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """Logarithm of how much likelier t + 1 tables are than t: where leaving and sitting down again balance."""
+        """Logarithm of how much likelier t + 1 tables are than t, for rows of c customers and opening weight a.
+
+        Exact for up to ``LISTED`` customers (between whole numbers of tables on a line), of the
+        tilted stable law beyond.
+        """
+        few = (c <= LISTED).reshape(-1)
+        if few.all():
+            return np.log(a) + self._listed_ratio(d, c, t)
+        if not few.any():
+            return np.log(a) + self._wide_ratio(d, c, t)
+        out = np.empty(np.broadcast_shapes(c.shape, t.shape))
+        out[few] = self._listed_ratio(d, c[few], t[few])
+        out[~few] = self._wide_ratio(d, c[~few], t[~few])
+        return np.log(a) + out
+
+    def _listed_ratio(self, d: int, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        ratios = _more_tables(float(self.discount[d]))
+        c, at = c.astype(np.int64), np.floor(t).astype(np.int64)
+        low = ratios[c, at]
+        return low + (t - at) * (ratios[c, at + 1] - low)
+
+    def _wide_ratio(self, d: int, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         lonely = lambda t: (t - 1) / (c - 1) * np.interp(np.log(c / t), *self.alone[d])
-        return np.log1p(-lonely(t)) + np.log(a) - np.log(lonely(t + 1)) - np.log(c - 1 - self.discount[d] * t)
+        return np.log1p(-lonely(t)) - np.log(lonely(t + 1)) - np.log(c - 1 - self.discount[d] * t)
 
     def _balance(self, d: int, c: np.ndarray, a: np.ndarray) -> np.ndarray:
         """Between 1 and c - 1, the place at which a table more is as likely as not, by bisection."""

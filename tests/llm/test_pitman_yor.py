@@ -173,6 +173,22 @@ def test_tables_of_thousands_of_customers_follow_the_exact_law(opening):
     assert seat._full(0, np.array([1_000_000]), np.array([0.1]))[0] <= 3
 
 
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.8, 0.95])
+@pytest.mark.parametrize("n", [2, 5, 17, 100, 200])
+@pytest.mark.parametrize("opening", [0.01, 1.0, 30.0])
+def test_tables_of_few_customers_have_the_exact_law(d, n, opening):
+    """Total variation between 400,000 draws and the law of seats taken one by one."""
+    law = [0.0, 1.0]  # weight of so many tables
+    for k in range(1, n):
+        law = [(law[t] * (k - d * t) if t < len(law) else 0) + (law[t - 1] * opening if t else 0) for t in range(k + 2)]
+        law = [x / max(law) for x in law]
+    seat = H.Seating(*(np.zeros(1, dtype=np.int64),) * 3, np.zeros(2, dtype=np.int64), (d, d, d))
+    draws = 400_000
+    tables = seat._step(0, np.full(draws, n), np.full(draws, 1), np.full(draws, opening), np.random.default_rng(5))
+    found = np.bincount(tables, minlength=n + 1) / draws
+    assert np.abs(found - np.array(law) / sum(law)).sum() / 2 < 0.01
+
+
 def test_rare_words_and_pairs_are_contexts(spark):
     """Each of 12,000 words is 1 / 36,000 of the tokens and tells the next one for certain."""
     rows = [(i, " ".join(f"a{j} b{j}" for j in range(i * 40, i * 40 + 40))) for i in range(300)] * 3
