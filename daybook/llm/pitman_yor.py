@@ -41,7 +41,7 @@ from daybook.llm.common import map_batches, partitions, release, ship, table
 from daybook.llm.words import chunks, hash_words
 from daybook.session import materialize
 
-SHARDS_A_PARTITION = 1
+SHARDS_A_PARTITION = 4
 BLOCK_BYTES = 6_000_000
 BLOCK_TEXTS = 60_000
 ROUNDS = 2
@@ -211,7 +211,7 @@ _BLOBS = ("words", "one", "two", "learn", "occurs", "docs")
 
 def _merge(group: pa.Table) -> Iterator[dict]:
     """One shard: its dishes over all blocks, then a row a block with the dishes of its words."""
-    get = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in group.column(c).to_pylist()]
+    get = lambda c, kind: [np.frombuffer(x.as_buffer(), dtype=kind) for x in group.column(c)]
     words = get("words", "<u8")
     sizes = [len(x) for x in words]
     names, word = np.unique(np.concatenate(words), return_inverse=True)
@@ -572,7 +572,8 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield pa.RecordBatch.from_pylist([{"home": -1, "shard": row["shard"], "keys": b"", "sums": np.array(once, dtype="<i8").tobytes()}], letter_types)
 
     letter_types = _arrow(spark, letter)
-    homes = Homes(shards, 0.0, None, None)
+    n_homes = partitions(spark)
+    homes = Homes(n_homes, 0.0, None, None)
     letters = materialize(map_batches(dishes_of, begin, letter), "letters")
     once = np.zeros(4)
     for (row,) in letters.filter("home = -1").select("sums").collect():  # a row a shard
@@ -605,7 +606,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     for _ in range(rounds):
         before, house_before = after, house
         asked = dishes_of.groupBy("shard").cogroup(turn(before, 0).groupBy("shard")).applyInArrow(sampled(house_before), letter)
-        after, told = ask(asked, Homes(shards, base, discounts, house_before.mean(0)), SAMPLES, "totals")
+        after, told = ask(asked, Homes(n_homes, base, discounts, house_before.mean(0)), SAMPLES, "totals")
         house = told[2:]
 
     def score(left, right):
