@@ -202,11 +202,14 @@ def _send(ids: list, texts: list[bytes], contexts: Contexts | None, shards: int,
     tokens, one, two, shard = tokens[at], one[at], two[at], shard[at]
     for s in np.unique(shard).tolist():
         a, b = np.searchsorted(shard, [s, s + 1])
-        yield {"shard": s, "block": block, "words": tokens[a:b].tobytes(), "one": one[a:b].tobytes(), "two": two[a:b].tobytes(), "learn": learn[a:b].tobytes()}
+        # Words before are sent once a block and named by their place there.
+        before, places = np.unique(np.concatenate([one[a:b], two[a:b]]), return_inverse=True)
+        places = places.astype("<u2" if len(before) <= 1 << 16 else "<u4")
+        yield {"shard": s, "block": block, "words": tokens[a:b].tobytes(), "before": before.tobytes(), "one": places[: b - a].tobytes(), "two": places[b - a :].tobytes(), "learn": learn[a:b].tobytes()}
     yield {"shard": -1 - block, "block": block, "ids": ids, "n_tokens": n_tokens.tolist(), "held_out": out.tolist(), "occurs": occurs.tobytes(), "docs": doc.astype("<u2").tobytes()}
 
 
-_BLOBS = ("words", "one", "two", "learn", "occurs", "docs")
+_BLOBS = ("words", "before", "one", "two", "learn", "occurs", "docs")
 
 
 def _merge(group: pa.Table) -> Iterator[dict]:
@@ -215,13 +218,19 @@ def _merge(group: pa.Table) -> Iterator[dict]:
     words = get("words", "<u8")
     sizes = [len(x) for x in words]
     names, word = np.unique(np.concatenate(words), return_inverse=True)
-    one, two = np.concatenate(get("one", "<u8")), np.concatenate(get("two", "<u8"))
+    before = get("before", "<u8")
+
+    def looked_up(c):
+        blobs = [x.as_buffer() for x in group.column(c)]
+        return np.concatenate([b[np.frombuffer(x, dtype=f"<u{x.size // n}")] for b, x, n in zip(before, blobs, sizes, strict=True)])
+
+    one, two = looked_up("one"), looked_up("two")
     own = np.where(two == 0, one, _mix(two, one))
     keys, at = np.unique(np.concatenate([np.zeros(1, dtype=np.uint64), one, own]), return_inverse=True)
     single, context = at[1 : 1 + len(one)], at[1 + len(one) :]
     parents = np.zeros(len(keys), dtype=np.int64)
     parents[context[two != 0]] = single[two != 0]
-    del words, one, two, own, at
+    del words, before, one, two, own, at
     # Each dish is also one of the context's parent, which may not have been seen by itself.
     kinds = len(keys)
     key = word * kinds + context
