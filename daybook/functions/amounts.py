@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(12,2)"
+PLAIN = r"^-?\d+(?:\.\d+)?$"
 
 
 def _signed(sign: Column, number: Column) -> Column:
@@ -37,7 +38,8 @@ def parse_amount(text: Column, strict: bool = False) -> Column:
     number = F.when(digits.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), digits.try_cast(MONEY))
     upper = F.upper(F.coalesce(text, F.lit("")))
     sign = F.when(upper.rlike(r"DR\.?\s*$"), F.lit(-1)).when(upper.rlike(r"CR\.?\s*$"), F.lit(1))
-    return _signed(sign, number)
+    # Most cells are empty or a plain number, which both ways read as it stands.
+    return F.when(text.rlike(PLAIN), text.try_cast(MONEY)).when(text != "", _signed(sign, number))
 
 
 def debit_credit(

@@ -67,10 +67,7 @@ def utc_wall_clock(instant: Column) -> Column:
 
     Counted from the epoch: a detour over the session zone would lose hours at DST changes.
     """
-    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(8,0)")
-    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(
-        secs=seconds.cast("decimal(18,6)")
-    )
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
 
 
 def utc_text(ts: Column, has_zone: bool = True) -> Column:

@@ -13,7 +13,7 @@ from daybook.operators import chat, enrich, merge, profiling, ranking, rules, sp
 from daybook.operators.columns import computed_once
 from daybook.plans import analytics, recommend
 from daybook.schemas import VOCABULARY_COLUMNS
-from daybook.session import scratch_path
+from daybook.session import materialize, scratch_path
 from daybook.sources import exports, files, statements
 from daybook.sources import tables as t
 from daybook.streaming import loads, weeks
@@ -354,7 +354,8 @@ def header_signature_match(spark, d):
 
 @query
 def statement_file_load(spark, d):
-    cells = statements.statement_cells(t.statement_lines(spark, d), t.PROFILES)
+    lines = materialize(t.statement_lines(spark, d), "statement-lines")  # read several times, as staged raw rows are
+    cells = statements.statement_cells(lines, t.PROFILES)
     rows = statement.normalize_statement(cells, t.PROFILES, t.RULES)
     return zoneless(rows.select("path", "ts", "amount", "narration", "merchant", "category", "account", "dedupe_key"), "ts")
 

@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from daybook.fixed_values import HEADER_SCAN_LINES
 from daybook.operators.runs import running_sum
 from daybook.schemas import BankProfile
+from daybook.session import materialize
 
 # One cell behind its comma: quoted, with doubled quotes inside, or plain.
-CELL = r',("(?:[^"]|"")*"|[^,]*)'
+CELL = r',("[^"]*+(?:""[^"]*+)*"|[^,]*)'
 
 
 def cells(line: Column) -> Column:
     """Cells of one CSV row, quotes honoured; a quoted cell may hold line breaks."""
     found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+    found = F.when(line.contains('"'), found).otherwise(F.split(line, ",", -1))
+    # A quoted cell ends in its quote, unless it is not closed: then it has no other one.
+    closed = lambda c: c.endswith('"') & (F.length(c) > 1)
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - F.when(closed(c), 2).otherwise(1))
     return F.transform(
         found,
-        lambda c: F.when(
-            c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
+        lambda c: F.when(c.startswith('"'), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c),
     )
 
 
@@ -35,27 +38,33 @@ def signature(cell_array: Column) -> Column:
 def whole_rows(lines: DataFrame, file: str = "path", order: Sequence[str] = ("block", "line_id", "pos")) -> DataFrame:
     """Rows of CSV files from their lines: a line break inside quotes does not end a row.
 
-    A line ends inside quotes if the quotes of its file up to there are odd in number; doubled
-    quotes count twice. The sum is taken per split (the first column of ``order``) and then
-    over splits. A row of one line stays where it is; lines of longer rows are brought together by
-    row, stand at their first line, and have ``\\n`` between them. A file with an odd
-    number of quotes in all does not quote by this rule: its lines stay as they are.
+    A line with an odd number of quotes, doubled quotes counted twice, opens or closes a quote that
+    spans lines. Lines of files without one are rows and are only read. In other files such lines are
+    counted per split (the first column of ``order``) and then over splits. A row of one line
+    stays where it is; lines of longer rows are brought together by row, stand at their first
+    line, and have ``\\n`` between them. A file with an odd number of quotes in all does not
+    quote by this rule: its lines stay as they are.
     """
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
-    counted = lines.withColumn("_quotes", F.coalesce(quotes, F.lit(0)))
-    odd = counted.groupBy(file).agg((F.sum("_quotes") % 2).alias("_odd")).filter("_odd = 1").select(file)
-    at = running_sum(counted, F.col("_quotes"), [file], order[:1], order[1:], "_so_far")
-    starts = (F.col("_so_far") - F.col("_quotes")) % 2 == 0
-    at = running_sum(at.withColumn("_starts", starts), F.col("_starts").cast("int"), [file], order[:1], order[1:], "_row")
-    alone = F.col("_starts") & (F.col("_quotes") % 2 == 0)
+    turn = F.coalesce(quotes % 2, F.lit(0))
     columns = [file, *order, "line"]
-    placed = at.join(odd, file, "left_anti")
-    lone = placed.filter(alone).select(columns)
+    turning = lines.filter(turn == 1).groupBy(file).agg((F.count(F.lit(1)) % 2).alias("_odd")).filter(F.col(file).isNotNull())
+    # Written, so that joins with it are planned by what it holds: few files or none.
+    turning = materialize(turning, "quoted-files")
+    placed = lines.select(columns).dropna(subset=[file, order[0]])
+    if turning.isEmpty():
+        return placed
+    plain = placed.join(turning, file, "left_anti").select(columns)
+    even = lines.join(turning.filter("_odd = 0"), file, "left_semi")
+    at = running_sum(even, turn, [file], order[:1], order[1:], "_turns")
+    alone = (F.col("_turns") % 2 == 0) & (turn == 0)
+    lone = at.filter(alone).select(columns)
     parts = F.sort_array(F.collect_list(F.struct(*order, "line")))
-    joined = placed.filter(~alone).groupBy(file, "_row").agg(parts.alias("_p"))
+    joined = at.filter(~alone).groupBy(file, F.ceil(F.col("_turns") / 2).alias("_row")).agg(parts.alias("_p"))
     text = F.array_join(F.transform("_p", lambda x: x["line"]), "\n")
     joined = joined.select(file, *[F.col("_p")[0][c].alias(c) for c in order], text.alias("line"))
-    return lone.unionByName(joined).unionByName(lines.join(odd, file, "left_semi").select(columns))
+    odd = lines.join(turning.filter("_odd = 1"), file, "left_semi").select(columns)
+    return plain.unionByName(lone).unionByName(joined).unionByName(odd)
 
 
 def profile_table(lines: DataFrame, profiles: Sequence[BankProfile]) -> DataFrame:
@@ -74,6 +83,15 @@ def profile_table(lines: DataFrame, profiles: Sequence[BankProfile]) -> DataFram
     )
 
 
+def _may_be_header(line: Column, signatures: Sequence[str]) -> Column:
+    """False only for lines that have none of the signatures: a plain name of one stands in the line as it is."""
+    may = F.lit(False)
+    for known in signatures:
+        names = [n for n in known.split("|") if n and n.isascii() and '"' not in n]
+        may = may | (F.lower(line).contains(max(names, key=len)) if names else F.lit(True))
+    return may
+
+
 def find_headers(
     lines: DataFrame,
     profiles: DataFrame,
@@ -85,25 +103,34 @@ def find_headers(
 
     ``scan_lines`` says how far down a header is looked for; None looks at all lines.
 
-    Only the first lines of a file are ranked; the rank filter runs below the shuffle.
+    Only lines that may be a header are split into cells. How far down the first header stands is
+    a count of the lines before it, so no line is sorted.
     """
     at = F.struct(*order)
-    top = Window.partitionBy(file).orderBy(*order)
+    signatures = [r["signature"] for r in profiles.select("signature").collect()]
     heads = (
-        lines.withColumn("_n", F.row_number().over(top))
-        .filter(F.col("_n") <= scan_lines if scan_lines is not None else F.lit(True))
+        lines.filter(_may_be_header(F.col("line"), signatures))
         .withColumn("header", cells(F.col("line")))
         .withColumn("signature", signature(F.col("header")))
         .filter("signature <> ''")
     )
-    hits = heads.select(file, "signature", "header", at.alias("header_at"), (F.col("_n") - 1).alias("header_row"))
+    hits = heads.select(file, "signature", "header", at.alias("header_at"))
     matched = hits.join(profiles, "signature")
     keep = [c for c in matched.columns if c not in (file, "header_at")]
-    return (
+    first = (
         matched.groupBy(file)
         .agg(F.min_by(F.struct("header_at", *keep), "header_at").alias("_h"))
         .select(file, "_h.*")
     )
+    # Written: joins with it are planned by its size, and are read more than once.
+    first = materialize(first, "statement-headers")
+    mark = first.select(F.col(file).alias("_file"), "header_at")
+    above = lines.select(file, at.alias("_at")).join(mark, F.col(file).eqNullSafe(F.col("_file")))
+    above = above.filter(F.col("_at") < F.col("header_at")).groupBy("_file").agg(F.count(F.lit(1)).alias("_above"))
+    found = first.join(above, F.col(file).eqNullSafe(F.col("_file")), "left")
+    found = found.withColumn("header_row", F.coalesce("_above", F.lit(0)).cast("int"))
+    found = found.filter(F.col("header_row") < scan_lines) if scan_lines is not None else found
+    return found.select(*first.columns, "header_row")
 
 
 def statement_cells(
@@ -120,22 +147,16 @@ def statement_cells(
     """
     lines = whole_rows(lines, file, order)
     headers = find_headers(lines, profile_table(lines, profiles), file, order, scan_lines)
+    names = F.transform("header", lambda h: F.trim(h))
+    roles = ("date", "narration", "amount", "debit", "credit")
+    places = [F.array_position(names, F.trim(f"{role}_col")).cast("int").alias(f"_{role}") for role in roles]
+    # Written: one row per file, and the lines meet it without counting again.
+    headers = materialize(headers.select(file, "header_at", "profile", "amount_style", *places), "statement-columns")
     rows = lines.join(headers, file).filter(F.struct(*order) > F.col("header_at"))
     rows = rows.withColumn("_c", cells(F.col("line")))
-    names = F.transform("header", lambda h: F.trim(h))
 
     def cell(role: str) -> Column:
-        at = F.array_position(names, F.trim(F.col(role)))
-        return F.when(at > 0, F.get("_c", (at - 1).cast("int")))
-
-    return rows.select(
-        file,
-        *order,
-        "profile",
-        "amount_style",
-        cell("date_col").alias("date_text"),
-        cell("narration_col").alias("narration_text"),
-        cell("amount_col").alias("amount_text"),
-        cell("debit_col").alias("debit_text"),
-        cell("credit_col").alias("credit_text"),
-    )
+        at = F.col(f"_{role}")
+        return F.when(at > 0, F.get("_c", at - 1)).alias(f"{role}_text")
+
+    return rows.select(file, *order, "profile", "amount_style", *[cell(role) for role in roles])

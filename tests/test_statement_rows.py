@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daybook.plans import imports
 from daybook.schemas import BankProfile
 from daybook.sources.chat_lines import text_lines
-from daybook.sources.statements import cells, whole_rows
+from daybook.sources.statements import cells, find_headers, profile_table, statement_cells, whole_rows
 from tests.samples import RULES, TZ
 
 CELLS = ["x", "", "two words", "a,b", 'said "no"', "one\ntwo", "\n", 'q"\n"q', "1,2\n3", "tail\n", '"', "é☃"]
@@ -63,3 +63,39 @@ def test_import_of_such_a_statement_below_a_long_preamble(spark, tmp_path, wareh
     assert deep.rows_inserted == 3
     found = imports.read_table(spark, warehouse, "transactions").select("narration").collect()
     assert {"plain"} < {r.narration for r in found} and any("MILL" in r.narration for r in found)
+
+
+def test_a_long_quoted_cell_with_doubled_quotes_is_one_cell(spark):
+    long = 'say ""x"" ' * 20 + "x, y " * 20_000
+    lines = [f'1,"{long}",2', '"', '"open,1', '"a""', '""', "", ",", '"a"x,b', '"""",1']
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    got = [r.c for r in rows.select("i", cells(F.col("line")).alias("c")).orderBy("i").collect()]
+    assert got == [["1", long.replace('""', '"'), "2"], [""], ["open", "1"], ["a"], [""], [""], ["", ""], ["a", "b"], ['"', "1"]]
+
+
+STATEMENT = BankProfile(
+    name="mill", header_signature=("When", "What", "Sum"), date_col="When", narration_col="What",
+    amount_style="signed", amount_col="Sum", date_format="%d-%m-%Y",
+)
+
+
+def test_lines_of_files_without_open_quotes_are_neither_sorted_nor_shuffled(spark, tmp_path):
+    rows = [("a", 0, 0, i, line) for i, line in enumerate(["top", "When,What,Sum", '01-02-2023,"x",1', "02-02-2023,y,2"])]
+    rows += [("b", 0, 0, 0, '"When",What, Sum'), ("b", 1, 0, 0, "01-02-2023,z,3"), ("c", 0, 0, 0, "When,Sum"), (None, 0, 0, 0, "x")]
+    path = str(tmp_path / "lines")
+    spark.createDataFrame(rows, "path string, block long, line_id long, pos int, line string").write.parquet(path)
+    found = statement_cells(spark.read.parquet(path), [STATEMENT])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    got = {(r.path, r.date_text, r.narration_text, r.amount_text) for r in found.collect()}
+    assert got == {("a", "01-02-2023", "x", "1"), ("a", "02-02-2023", "y", "2"), ("b", "01-02-2023", "z", "3")}
+
+
+def test_a_header_stands_where_lines_before_it_are_counted(spark):
+    rows = [("deep", 0, 0, i, "x") for i in range(40)] + [("deep", 1, 0, 0, "When,What,Sum")]
+    rows += [("two", 0, 0, 0, "x"), ("two", 0, 0, 1, "sum,what,WHEN"), ("two", 0, 0, 2, "When,What,Sum")]
+    lines = spark.createDataFrame(rows, "path string, block long, line_id long, pos int, line string")
+    profiles = profile_table(lines, [STATEMENT])
+    at = lambda **k: {(r.path, r.header_row) for r in find_headers(lines, profiles, **k).collect()}
+    assert at() == {("two", 1)}
+    assert at(scan_lines=41) == at(scan_lines=None) == {("two", 1), ("deep", 40)}
