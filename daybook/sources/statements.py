@@ -126,10 +126,14 @@ def find_headers(
     first = materialize(first, "statement-headers")
     mark = first.select(F.col(file).alias("_file"), "header_at")
     above = lines.select(file, at.alias("_at")).join(mark, F.col(file).eqNullSafe(F.col("_file")))
-    above = above.filter(F.col("_at") < F.col("header_at")).groupBy("_file").agg(F.count(F.lit(1)).alias("_above"))
-    found = first.join(above, F.col(file).eqNullSafe(F.col("_file")), "left")
-    found = found.withColumn("header_row", F.coalesce("_above", F.lit(0)).cast("int"))
-    found = found.filter(F.col("header_row") < scan_lines) if scan_lines is not None else found
+    upper = F.count_if(F.col("_at") < F.col("header_at"))
+    above = above.filter(F.col("_at") <= F.col("header_at")).groupBy("_file").agg(upper.alias("_above"), F.count(F.lit(1)).alias("_upto"))
+    found = first.join(above, F.col(file).eqNullSafe(F.col("_file")))
+    # Of lines that share the place of the header it is the last.
+    row = F.col("_upto") - 1
+    if scan_lines is not None:
+        found, row = found.filter(F.col("_above") < scan_lines), F.least(row, F.lit(scan_lines - 1))
+    found = found.withColumn("header_row", row.cast("int"))
     return found.select(*first.columns, "header_row")
 
 

@@ -94,8 +94,9 @@ def test_lines_of_files_without_open_quotes_are_neither_sorted_nor_shuffled(spar
 def test_a_header_stands_where_lines_before_it_are_counted(spark):
     rows = [("deep", 0, 0, i, "x") for i in range(40)] + [("deep", 1, 0, 0, "When,What,Sum")]
     rows += [("two", 0, 0, 0, "x"), ("two", 0, 0, 1, "sum,what,WHEN"), ("two", 0, 0, 2, "When,What,Sum")]
+    rows += [("twice", 0, 0, 0, "x"), ("twice", 0, 0, 1, "When,What,Sum"), ("twice", 0, 0, 1, "When,What,Sum")]
     lines = spark.createDataFrame(rows, "path string, block long, line_id long, pos int, line string")
     profiles = profile_table(lines, [STATEMENT])
     at = lambda **k: {(r.path, r.header_row) for r in find_headers(lines, profiles, **k).collect()}
-    assert at() == {("two", 1)}
-    assert at(scan_lines=41) == at(scan_lines=None) == {("two", 1), ("deep", 40)}
+    assert at() == {("two", 1), ("twice", 2)}
+    assert at(scan_lines=41) == at(scan_lines=None) == {("two", 1), ("twice", 2), ("deep", 40)}
