@@ -3,8 +3,8 @@
 Building tokenises each text once. A posting is one term of one document with its impact, the part
 of the BM25 gain that does not depend on the query. Documents stand in blocks of
 ``BLOCK_DOCS``, and a second table keeps for each term and block how many documents have the term and
-the largest impact among them. Postings are written where their documents were tokenised, in order
-of term, block and falling impact: building shuffles no posting, only the short block rows.
+the largest impact among them. Texts are dealt out by block and all tables are bucketed by it:
+building shuffles no posting, and a search moves what it looks for to the postings, never these.
 
 A search goes over the postings of its terms in three steps:
 
@@ -18,8 +18,8 @@ A search goes over the postings of its terms in three steps:
   cannot reach the bound with the largest gains of all other terms in their block are out; for
   those that are left the other terms are added.
 
-A common word therefore meets a query only in the few documents that its rare words lead to. Joins
-by term are salted by block, so no word is a hot key.
+A common word therefore meets a query only in the few documents that its rare words lead to. Terms of
+queries are copied to all tasks, or joins by term are salted by block, so no word is a hot key.
 """
 
 from __future__ import annotations
@@ -30,12 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.fixed_values import BM25_B, BM25_K1
-from daybook.functions.text import tokens, with_term_counts
-from daybook.session import materialize
+from daybook.functions.text import tokens
+from daybook.session import materialize, materialize_in_buckets, meeting_in_buckets
 
 BLOCK_BITS = 8
 BLOCK_DOCS = 1 << BLOCK_BITS
 SALTS = 16
+# So many terms of queries are copied to every task; more of them are shuffled.
+COPIED_TERMS = 200_000
+# Stands in the table of term counts for the document itself; a term has three letters or more.
+NO_TERM = ""
 # Bounds are sums of doubles in another order than the scores: a block this close stays in.
 SLACK = 1e-9
 
@@ -54,9 +58,14 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
     )
 
 
+def _copied(rows: DataFrame) -> DataFrame:
+    """Written rows, marked to be copied to all tasks unless they are too many."""
+    return F.broadcast(rows) if rows.count() <= COPIED_TERMS else rows
+
+
 class PostingIndex:
-    """Written tables: ``postings`` (corpus, term, block, row, doc, impact), ``blocks`` (corpus, term,
-    block, n, most) and ``stats`` (corpus, n_docs, avgdl). ``whole`` is false for an index of some terms."""
+    """Tables ``postings`` (corpus, term, block, row, doc, impact), ``blocks`` (corpus, term, block, n,
+    most) and ``stats`` (corpus, n_docs, avgdl). ``whole`` is false for an index of some terms."""
 
     def __init__(self, postings: DataFrame, blocks: DataFrame, stats: DataFrame, whole: bool = True):
         self.postings, self.blocks, self.stats, self.whole = postings, blocks, stats, whole
@@ -65,26 +74,29 @@ class PostingIndex:
     def build(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text", k1: float = BM25_K1, b: float = BM25_B, terms: DataFrame | None = None) -> PostingIndex:
         """Index ``docs``, which has a ``corpus`` column. Each row is a document, whatever its id.
 
-        An index for one search needs the terms of its queries only: ``terms`` (corpus, term).
+        An index for a few searches needs the terms of their queries only: those in ``terms``, a column ``term``.
         """
         pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # Tokenising costs more than moving a text; dealt out, a file of one row group is not one task.
-        dealt = docs.select("corpus", F.col(doc).alias("doc"), F.col(text).alias("text")).repartition(pieces)
-        length = F.aggregate("term_counts", F.lit(0), lambda n, x: n + x["tf"])
-        counted = with_term_counts(dealt, "text").select("corpus", "doc", length.alias("doc_len"), F.col("term_counts").alias("terms"))
-        forward = materialize(counted.withColumn("row", F.monotonically_increasing_id()), "forward")
-        stats = forward.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("doc_len") / F.count(F.lit(1))).alias("avgdl"))
-        stats = materialize(stats, "corpus-stats")
-        one = forward.join(stats.select("corpus", "avgdl"), "corpus").select(
-            "corpus", F.shiftright("row", BLOCK_BITS).alias("block"), "row", "doc", "doc_len", "avgdl", F.inline("terms")
-        )
+        numbered = docs.select("corpus", F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.col(text).alias("text"))
+        dealt = numbered.withColumn("block", F.shiftright("row", BLOCK_BITS)).repartition(pieces, "block")
+        words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+        said = dealt.select("corpus", "block", "row", "doc", words.alias("words"))
+        every = F.explode(F.concat("words", F.array(F.lit(NO_TERM)))).alias("term")
+        one = said.select("corpus", "block", "row", "doc", F.size("words").alias("doc_len"), every)
         if terms is not None:
-            one = one.join(terms.select("corpus", "term").distinct(), ["corpus", "term"], "left_semi")
+            asked = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(NO_TERM))).distinct()
+            one = one.join(_copied(materialize(asked, "asked-terms")), "term", "left_semi")
+        counts = one.groupBy("block", "row", "term", "doc", "corpus", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+        counts = materialize_in_buckets(counts, "term-counts", "block")
+        stats = counts.filter(F.col("term") == NO_TERM).groupBy("corpus")
+        stats = stats.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("doc_len") / F.count(F.lit(1))).alias("avgdl"))
+        stats = materialize(stats, "corpus-stats")
         impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-        postings = one.select("corpus", "term", "block", "row", "doc", impact.alias("impact"))
-        postings = materialize(postings.sortWithinPartitions("corpus", "term", "block", F.desc("impact")), "postings")
+        postings = counts.filter(F.col("term") != NO_TERM).join(F.broadcast(stats.select("corpus", "avgdl")), "corpus")
+        postings = postings.select("corpus", "term", "block", "row", "doc", impact.alias("impact"))
         blocks = postings.groupBy("corpus", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("most"))
-        return cls(postings, materialize(blocks, "posting-blocks"), stats, terms is None)
+        return cls(postings, materialize_in_buckets(blocks, "posting-blocks", "block"), stats, terms is None)
 
 
 class Search:
@@ -99,9 +111,9 @@ class Search:
         self.most = max(k.values(), default=0) if isinstance(k, Mapping) else k
         self.postings, self.blocks = index.postings, index.blocks
         if index.whole:  # rows of its own terms are all that the search reads, once
-            terms = wanted.select("corpus", "term").distinct()
-            self.postings = materialize(index.postings.join(terms, ["corpus", "term"], "left_semi"), "query-postings")
-            self.blocks = materialize(index.blocks.join(terms, ["corpus", "term"], "left_semi"), "query-blocks")
+            terms = _copied(materialize(wanted.select("corpus", "term").distinct(), "asked-terms"))
+            self.postings = materialize_in_buckets(index.postings.join(terms, ["corpus", "term"], "left_semi"), "query-postings", "block")
+            self.blocks = materialize_in_buckets(index.blocks.join(terms, ["corpus", "term"], "left_semi"), "query-blocks", "block")
         known = self.blocks.groupBy("corpus", "term").agg(F.sum("n").alias("df"), F.max("most").alias("top"))
         weight = F.col("mult") * idf(F.col("n_docs"), F.col("df"))
         weighted = wanted.join(known, ["corpus", "term"]).join(index.stats, "corpus").withColumn("weight", weight)
@@ -109,16 +121,18 @@ class Search:
         seed = F.coalesce(F.sum("df").over(rarest), F.lit(0)) < self.limit
         self.weights = materialize(weighted.select("corpus", "query", "term", "weight", "top", seed.alias("seed")), "query-weights")
 
-    @staticmethod
-    def _blocks_of(weights: DataFrame, blocks: DataFrame) -> DataFrame:
-        """(corpus, query, block): the blocks of the terms of each query."""
-        salted = blocks.select("corpus", "term", "block", F.pmod("block", F.lit(SALTS)).alias("salt"))
-        spread = weights.select("corpus", "query", "term", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-        return salted.join(spread, ["corpus", "term", "salt"]).select("corpus", "query", "block").distinct()
+    def _met(self, weights: DataFrame) -> DataFrame:
+        """Written ``weights``, a row a term of a query, with the blocks of the term."""
+        blocks = self.blocks.select("corpus", "term", "block", "most")
+        if weights.count() <= COPIED_TERMS:
+            return blocks.join(F.broadcast(weights), ["corpus", "term"])
+        salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+        salted = blocks.withColumn("salt", F.pmod("block", F.lit(SALTS)))
+        return salted.join(weights.withColumn("salt", F.explode(salts)), ["corpus", "term", "salt"]).drop("salt")
 
     def _gains(self, chosen: DataFrame, *keep: str) -> DataFrame:
         """(corpus, query, block, row, doc, gain) of the postings in ``chosen`` (corpus, query, term, block, weight)."""
-        met = self.postings.join(chosen, ["corpus", "term", "block"])
+        met = self.postings.join(chosen.hint("shuffle_hash"), ["corpus", "term", "block"])
         return met.select("corpus", "query", "block", "row", "doc", (F.col("weight") * F.col("impact")).alias("gain"), *keep)
 
     def bounds(self) -> DataFrame:
@@ -129,7 +143,7 @@ class Search:
         blocks = blocks.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= self.most)
         pairs = seeds.join(blocks.select("corpus", "term", "block"), ["corpus", "term"]).select("corpus", "query", "block").distinct()
         chosen = pairs.join(self.weights.select("corpus", "query", "term", "weight"), ["corpus", "query"])
-        scores = self._gains(chosen).groupBy("corpus", "query", "row").agg(F.sum("gain").alias("score"))
+        scores = self._gains(chosen).groupBy("corpus", "query", "block", "row").agg(F.sum("gain").alias("score"))
         order = Window.partitionBy("corpus", "query").orderBy(F.desc("score"))
         placed = scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= self.most)
         return placed.filter(F.col("place") == self.limit).select("corpus", "query", F.col("score").alias("bound"))
@@ -142,14 +156,13 @@ class Search:
         rising = Window.partitionBy("corpus", "query").orderBy(F.col("weight") * F.col("top"), "term")
         together = F.sum(F.col("weight") * F.col("top")).over(rising)
         bounded = bounded.withColumn("least", least).withColumn("essential", together >= F.col("least"))
-        bounded = bounded.select("corpus", "query", "term", "weight", "least", "essential")
-        pairs = self._blocks_of(bounded.filter("essential"), self.blocks)
-        held = pairs.join(bounded, ["corpus", "query"]).join(self.blocks.select("corpus", "term", "block", "most"), ["corpus", "term", "block"])
+        bounded = bounded.filter("query is not null").select("corpus", "query", "term", "weight", "least", "essential")
         of_block = Window.partitionBy("corpus", "query", "block")
         largest = F.col("weight") * F.col("most")
-        held = held.withColumn("reach", F.sum(largest).over(of_block))
+        held = self._met(materialize(bounded, "query-bounded"))
+        held = held.withColumn("reach", F.sum(largest).over(of_block)).withColumn("led", F.max("essential").over(of_block))
         held = held.withColumn("others", F.coalesce(F.sum(F.when(~F.col("essential"), largest)).over(of_block), F.lit(0.0)))
-        return held.filter("reach >= least").select("corpus", "query", "term", "block", "weight", "essential", "others", "least")
+        return held.filter("led and reach >= least").select("corpus", "query", "term", "block", "weight", "essential", "others", "least")
 
     def everything(self) -> DataFrame:
         """All terms of each query in all of their blocks: what a search without bounds reads."""
@@ -163,19 +176,25 @@ class Search:
 
     def scores(self) -> DataFrame:
         """(corpus, query, block, row, doc, score, order) of documents that can be among the best."""
-        chosen = materialize(self.reachable(), "query-reachable")
+        chosen = materialize_in_buckets(self.reachable(), "query-reachable", "block")
         first = self._gains(chosen.filter("essential"), "others", "least")
         first = self._summed(first, F.max("others").alias("others"), F.max("least").alias("least"))
-        first = materialize(first.filter(F.col("score") * (1 + SLACK) + F.col("others") >= F.col("least")), "query-candidates")
-        rest = first.select("corpus", "query", "block", "row").join(chosen.filter(~F.col("essential")), ["corpus", "query", "block"])
+        first = first.filter(F.col("score") * (1 + SLACK) + F.col("others") >= F.col("least"))
+        first = materialize_in_buckets(first.drop("others", "least"), "query-candidates", "block")
+        wanted = chosen.filter(~F.col("essential")).select("corpus", "query", "term", "block", "weight").hint("shuffle_hash")
+        rest = first.select("corpus", "query", "block", "row").join(wanted, ["corpus", "query", "block"]).hint("shuffle_hash")
         rest = self.postings.join(rest, ["corpus", "term", "block", "row"])
         rest = self._summed(rest.select("corpus", "query", "block", "row", "doc", (F.col("weight") * F.col("impact")).alias("gain")))
-        both = first.drop("others", "least").unionByName(rest)
-        return both.groupBy("corpus", "query", "block", "row", "doc").agg(F.sum("score").alias("score"), F.sum("order").alias("order"))
+        rest = rest.select("corpus", "query", "block", "row", F.col("score").alias("more"), F.col("order").alias("more_order"))
+        both = first.join(rest.hint("shuffle_hash"), ["corpus", "query", "block", "row"], "left")
+        score, order = F.col("score") + F.coalesce("more", F.lit(0.0)), F.col("order") + F.coalesce("more_order", F.lit(0))
+        return both.select("corpus", "query", "block", "row", "doc", score.alias("score"), order.alias("order"))
 
     def top(self, pruned: bool = True) -> DataFrame:
         """(corpus, query, rank, doc, score): scores above zero, ties by document and then row."""
-        scored = (self.scores() if pruned else self._summed(self._gains(self.everything()))).filter("score > 0")
-        best = Window.partitionBy("corpus", "query").orderBy(F.desc("order"), "doc", "row")
-        placed = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= self.most)
-        return placed.filter(F.col("rank") <= self.limit).select("corpus", "query", "rank", "doc", "score")
+        with meeting_in_buckets(self.weights.sparkSession):
+            scored = (self.scores() if pruned else self._summed(self._gains(self.everything()))).filter("score > 0")
+            best = Window.partitionBy("corpus", "query").orderBy(F.desc("order"), "doc", "row")
+            placed = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= self.most)
+            found = placed.filter(F.col("rank") <= self.limit).select("corpus", "query", "rank", "doc", "score")
+            return materialize(found, "query-hits")  # a few rows a query

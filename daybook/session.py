@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_in_buckets(df: DataFrame, label: str, column: str) -> DataFrame:
+    """As ``materialize``, in as many buckets of ``column`` as a shuffle has partitions: what groups or
+    joins by that column among others then reads the rows where they lie. No table stays in the catalog."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files are external and stay
+    return rows
+
+
+@contextmanager
+def meeting_in_buckets(spark: SparkSession) -> Iterator[None]:
+    """Joins run inside of it leave a side in place that is bucketed by one of several keys."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -248,3 +248,63 @@ def test_catalog_files(spark, tmp_path):
     items = spark.createDataFrame([("Web Shop",)], "item string")
     (row,) = rules.apply_rule(rules.tiered_lookup(items, "item", table), table).collect()
     assert (row.tier, row.style_priority, row.decision_rules) == (2, ["A", "B"], {"must": "x"})
+
+
+def moves_of_postings(df):
+    """Shuffles in the plan of ``df`` below which term counts are read."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    open_, moved = [], 0
+    for line in plan.splitlines():
+        open_ = [d for d in open_ if d < depth(line)]
+        if " Exchange " in line or line.lstrip(" :+-").startswith("Exchange "):
+            open_.append(depth(line))
+        moved += bool(open_) and "FileScan" in line and "tf#" in line
+    return moved
+
+
+def test_a_search_does_not_move_postings(spark, monkeypatch):
+    """Only the hits and what is looked for are shuffled, with no table small enough to be copied."""
+    plans = {}
+
+    def written(df, label, *column):
+        plans[label] = moves_of_postings(df)
+        return (session.materialize_in_buckets if column else session.materialize)(df, label, *column)
+
+    monkeypatch.setattr(postings, "materialize", written)
+    monkeypatch.setattr(postings, "materialize_in_buckets", written)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(5_000).select("id", F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("word"), F.col("id") % 700)).alias("text"))
+        queries = spark.createDataFrame([(1, "common word5 word9"), (2, "word11")], "query_id int, query_text string")
+        got = ranking.bm25_topk(docs, queries, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == [(1, 1, 5), (1, 2, 9), (2, 1, 11), (2, 2, 711)]
+    assert plans["posting-blocks"] == plans["query-candidates"] == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("term_counts", "posting_blocks", "query_"))]
+
+
+@pytest.mark.parametrize("copied", [0, 200_000])
+def test_terms_that_are_too_many_to_copy_are_shuffled(spark, corpus, monkeypatch, copied):
+    monkeypatch.setattr(postings, "COPIED_TERMS", copied)
+    docs, queries = corpus
+    got = ranking.bm25_topk(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(queries, "query_id int, query_text string"), 5).collect()
+    for q, text in queries:
+        assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for i, _ in brute_bm25(docs, text, 5)]
+
+
+def test_recommendations_index_only_words_that_can_be_asked_for(spark, monkeypatch):
+    indexes, build = [], postings.PostingIndex.build
+    monkeypatch.setattr(postings.PostingIndex, "build", lambda *a, **k: indexes.append(build(*a, **k)) or indexes[-1])
+    docs = spark.createDataFrame([(c, i, t + " filler padding", r) for c, i, t, r in DOCS], "corpus string, doc_id int, text string, record map<string,string>")
+    table = spark.createDataFrame(
+        [(1, "shop", "P", "Bold+Loud + Dense", "m", "Sans", "glow", "clutter", "{}", "HIGH")],
+        "rule_no int, label string, pattern string, style_priority string, color_mood string, typography_mood string, "
+        "key_effects string, anti_patterns string, decision_rules string, severity string")
+    queries = spark.createDataFrame([(1, "shop cart"), (2, "zebra"), (3, None)], "query_id int, query_text string")
+    got = {r.query_id: (r.category, r.style_name) for r in recommend.recommend(queries, docs, table).collect()}
+    assert got == {1: ("shop", "Bold"), 2: ("General", "Flat"), 3: ("General", "Flat")}
+    (index,) = indexes
+    assert {r.term for r in index.postings.select("term").distinct().collect()} == {"shop", "cart", "bold", "dense", "flat"}
