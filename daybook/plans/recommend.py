@@ -12,6 +12,7 @@ from daybook.fixed_values import (
     CORPUS_K,
     DEFAULT_ADVICE,
     DEFAULT_CATEGORY,
+    DEFAULT_RULE,
     LAYOUT_CLASSES,
     PLAIN_LAYOUT,
     RECOMMENDATION_PARTS,
@@ -19,7 +20,7 @@ from daybook.fixed_values import (
     STACKS,
     STANDARD_LAYOUT,
 )
-from daybook.functions.text import contains_any
+from daybook.functions.text import contains_any, tokens
 from daybook.operators.postings import PostingIndex
 from daybook.operators.ranking import bm25_topk, rerank, search_topk
 from daybook.operators.rules import apply_rule, page_type, tiered_lookup, topic
@@ -66,7 +67,11 @@ def recommend(queries: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFram
     style priorities of the rule to the query, so it runs after the others.
     """
     plain = {c: k for c, k in CORPUS_K.items() if c != "style"}
-    index = PostingIndex.build(docs.filter(F.col("corpus").isin(list(CORPUS_K))))
+    # The words of both searches: a style search adds none but those of some rule's priorities, or of the defaults.
+    defaults = F.array_join(F.array(*map(F.lit, DEFAULT_RULE["style_priority"])), " ")
+    texts = queries.select(F.concat_ws(" ", "query_text", defaults).alias("text")).union(rules.select("style_priority"))
+    asked = texts.select(F.explode(tokens(F.col("text"))).alias("term"))
+    index = PostingIndex.build(docs.filter(F.col("corpus").isin(list(CORPUS_K))), terms=asked)
     hits = with_documents(search_topk(index, queries, plain), docs)
     parts = {"product": {"category": "Product Type"}, **{c: _fields(c) for c in ("landing", "color", "typography")}}
     # One row per query, which the rule lookup and the result both read.
