@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import sys
 import tempfile
 import time
 import zipfile
@@ -71,12 +72,24 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with the package at hand; a batch of long rows ends early."""
+def forget_words() -> None:
+    """Drop the ids of words that this worker has kept, if it ever tokenised."""
+    tokens = sys.modules.get("daybook.llm.tokens")
+    if tokens is not None:
+        tokens.forget()
+
+
+def map_batches(df: DataFrame, function, schema, tokenises: bool = False) -> DataFrame:
+    """``mapInArrow`` with the package at hand; a batch of long rows ends early.
+
+    Workers are used again by other steps: only one that ``tokenises`` finds the words kept there by the last.
+    """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches):
+        if not tokenises:
+            forget_words()
         yield from function(batches)
         give_back()
 

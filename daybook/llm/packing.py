@@ -156,7 +156,7 @@ def _tokenised(docs: DataFrame, keep: list[str], path: str, end_id: int, text_co
     names = [*[f"k{i}" for i in range(n)], "queue", "part", "before", "n_ids", "ids"]
     chosen = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], queue.alias("queue"), F.col(f"`{text_column}`").alias("text"))
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    out = map_batches(chosen, run, ", ".join([*schema, "part int, before bigint, n_ids bigint, ids binary"]))
+    out = map_batches(chosen, run, ", ".join([*schema, "part int, before bigint, n_ids bigint, ids binary"]), tokenises=True)
     return materialize(out, "tokens")
 
 

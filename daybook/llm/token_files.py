@@ -85,7 +85,7 @@ def write_token_files(
         if ids:
             yield out()
 
-    return map_batches(ordered, run, "file string, documents bigint, ids bigint, bytes bigint")
+    return map_batches(ordered, run, "file string, documents bigint, ids bigint, bytes bigint", tokenises=True)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

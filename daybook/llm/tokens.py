@@ -99,3 +99,8 @@ def word_ids(path: str) -> WordIds:
     if path not in _LOADED:
         _LOADED[path] = WordIds(path)
     return _LOADED[path]
+
+
+def forget() -> None:
+    """Drop the tokenizers that this worker has loaded, with all pieces kept."""
+    _LOADED.clear()

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from daybook.llm import tokens
+from daybook.llm.common import map_batches
 from daybook.llm.packing import Schedule, pack
 from daybook.llm.tokens import WordIds
 
@@ -130,3 +131,18 @@ def test_packed_rows(request, name, weights):
 
 def test_empty_table(no_documents):
     assert pack(no_documents).collect() == []
+
+
+def test_steps_that_do_not_tokenise_find_no_words_kept(spark):
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('some words ', id) AS text", "'s' AS source").repartition(4)
+    assert pack(rows).count() == 40
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from daybook.llm import tokens
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"kept": [len(tokens._LOADED)]})
+
+    assert {r.kept for r in map_batches(rows.select("doc_id"), kept, "kept bigint").collect()} == {0}
