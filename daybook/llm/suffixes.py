@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import map_batches, partitions, release, ship, table
-from daybook.llm.words import prefix_sums, spans
+from daybook.llm.common import give_back, map_batches, partitions, release, ship, table
+from daybook.llm.words import distinct, prefix_sums, spans
 from daybook.session import materialize
 
 LENGTH = 100
@@ -39,6 +39,10 @@ BLOCK_ROWS = 500
 BLOCK_BYTES = 8_000_000
 # Suffix buckets are sorted in so many turns, one after the other, which bounds what lies on disk.
 TURNS = 2
+# So many bytes are fingerprinted at a time, and so many ranges of names looked at one after the
+# other: what a worker holds beside a block's names does not grow with the block.
+NAMED_BYTES = 500_000
+NAME_BITS = 4
 # Perfect difference sets, all differences modulo v exactly once.
 COVERS = {
     1: (0,),
@@ -65,7 +69,6 @@ class Texts:
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.sizes)])
         self.raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.sums = prefix_sums(self.raw)
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """(place in its text, bytes left in it) of every byte."""
@@ -73,8 +76,21 @@ class Texts:
         first = np.repeat(self.start[:-1], self.sizes)
         return every - first, np.repeat(self.start[1:], self.sizes) - every
 
+    def named(self, at: np.ndarray, length: int) -> Iterator[np.ndarray]:
+        """Names of the strings at ascending positions, ``NAMED_BYTES`` of the block at a time."""
+        cut = np.searchsorted(at, np.arange(0, len(self.raw) + NAMED_BYTES, NAMED_BYTES)).tolist()
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if j > i:
+                first = at[i]
+                here = at[i:j] - first
+                yield spans(prefix_sums(self.raw[first : at[j - 1] + length]), here, here + length)
+
     def names(self, at: np.ndarray, length: int) -> np.ndarray:
-        return spans(self.sums, at, at + length)
+        out, done = np.empty(len(at), dtype=np.uint64), 0
+        for part in self.named(at, length):
+            out[done : done + len(part)] = part
+            done += len(part)
+        return out
 
 
 def _samples(texts: Texts, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +113,7 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     change = np.zeros(n + 1, dtype=np.int32)
     np.add.at(change, starts, 1)
     np.add.at(change, ends, -1)
-    return np.cumsum(change[:n]) > 0
+    return np.cumsum(change[:n], dtype=np.int32) > 0
 
 
 def _bits(raw: list[bytes], sizes: list[int]) -> np.ndarray:
@@ -279,14 +295,30 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return (((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _suffixes(size_list: list[int], raw: bytes, ranges: list[bytes], length: int) -> tuple[Texts, np.ndarray, np.ndarray]:
-    """(texts, candidate positions, their names) of a block."""
+def _suffixes(size_list: list[int], raw: bytes, ranges: list[bytes]) -> tuple[Texts, np.ndarray]:
+    """(texts, candidate positions) of a block."""
     cut = np.concatenate([[0], np.cumsum(size_list)]).astype(np.int64)
     texts = Texts([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
     pairs = [np.frombuffer(r, dtype="<u4").astype(np.int64).reshape(-1, 2) + s for r, s in zip(ranges, cut[:-1], strict=True)]
     pairs = np.concatenate([*pairs, np.zeros((0, 2), np.int64)])
-    at = np.flatnonzero(_covered(len(raw), pairs[:, 0], pairs[:, 1]))
-    return texts, at, texts.names(at, length)
+    return texts, np.flatnonzero(_covered(len(raw), pairs[:, 0], pairs[:, 1]))
+
+
+def _repeats(names: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which names are flagged or not the first of their kind; ``flags`` belong to the distinct names in order."""
+    out = np.zeros(len(names), dtype=bool)
+    top, done = (names >> np.uint64(64 - NAME_BITS)).astype(np.uint8), 0
+    for k in range(1 << NAME_BITS):
+        mine = np.flatnonzero(top == k)
+        own = names[mine]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        again = np.zeros(len(own), dtype=bool)
+        again[1:] = own[1:] == own[:-1]
+        run = np.cumsum(~again)
+        out[mine[order]] = again | flags[done + run - 1]
+        done += int(run[-1]) if len(run) else 0
+    return out
 
 
 def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int, with_kept: bool) -> DataFrame:
@@ -319,9 +351,10 @@ def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int, with
     def send(batches, turn):
         for b in batches:
             for r in b.to_pylist():
-                _, _, names = _suffixes(r["sizes"], r["raw"], r["ranges"], length)
-                bucket = _bucket(names, buckets)
-                names = np.unique(names[bucket * TURNS // buckets == turn])
+                texts, at = _suffixes(r["sizes"], r["raw"], r["ranges"])
+                own = [x[_bucket(x, buckets) * TURNS // buckets == turn] for x in texts.named(at, length)]
+                names = distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *own]))
+                del texts, at, own
                 for k, lo, hi in _runs(_bucket(names, buckets)):
                     yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([k], pa.int32()), "keys": [_squeezed(names[lo:hi])]})
 
@@ -336,16 +369,18 @@ def _finish(spark, parted: DataFrame, kind: str, length: int, buckets: int, with
 
     def remove(block: pa.Table, told: pa.Table) -> pa.Table:
         r = block.to_pylist()[0]
-        texts, at, suffix = _suffixes(r["sizes"], r["raw"], r["ranges"], length)
-        known, first, place = np.unique(suffix, return_index=True, return_inverse=True)
-        repeat = _flags(told)[place]
-        repeat |= first[place] != np.arange(len(at))
-        gone = _covered(len(texts.raw), at[repeat], at[repeat] + length)
+        texts, at = _suffixes(r["sizes"], r["raw"], r["ranges"])
+        starts = np.zeros(len(texts.raw), dtype=bool)
+        starts[at[_repeats(texts.names(at, length), _flags(told))]] = True
+        del at
+        first, after = _ranges(starts)
+        gone = _covered(len(texts.raw), first, after - 1 + length)
         out = []
         for i, a, b in zip(r["ids"], texts.start[:-1].tolist(), texts.start[1:].tolist(), strict=True):
             own = gone[a:b]
             kept = texts.raw[a:b][~own].tobytes()
             out.append((i, b - a, int(own.sum()), len(_ranges(own)[0]), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+        give_back()
         types = [block.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from daybook.llm import suffixes as X
+from daybook.llm.words import distinct, prefix_sums, spans
 
 
 def brute(rows, length):
@@ -73,3 +76,31 @@ def test_awkward_rows(odd_documents, no_documents):
     longest = max(n for n, _ in copies)
     assert [(n, g) for n, g in copies if n == longest] == [(longest, 0), (longest, longest)]
     assert found(no_documents, 100) == []
+
+
+def test_names_by_pieces_are_those_of_the_whole_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = X.Texts([rng.integers(97, 99, n, dtype=np.uint8).tobytes() for n in (0, 5, 300, 12, 1000)])
+    at = np.flatnonzero(rng.random(len(texts.raw) - 12) < 0.7)
+    whole = spans(prefix_sums(texts.raw), at, at + 12)
+    for size in (1, 7, 64, 5000):
+        monkeypatch.setattr(X, "NAMED_BYTES", size)
+        assert (texts.names(at, 12) == whole).all()
+    known, first, place = np.unique(whole, return_index=True, return_inverse=True)
+    assert len(known) < len(whole) and (distinct(whole) == known).all()
+    flags = rng.random(len(known)) < 0.2
+    assert (X._repeats(whole, flags) == (flags[place] | (first[place] != np.arange(len(at))))).all()
+    assert len(X._repeats(whole[:0], flags[:0])) == 0
+
+
+def test_memory_of_a_block():
+    texts = np.random.default_rng(6).integers(0, 256, 6_000_000, dtype=np.uint8).tobytes()
+    X.Texts([texts[:9000]]).names(np.arange(10), 100)  # powers are kept by the process
+    at = np.arange(len(texts) - 100)
+    tracemalloc.start()
+    names = X.Texts([texts]).names(at, 100)
+    named = tracemalloc.get_traced_memory()[1]
+    X._repeats(names, np.zeros(len(names), dtype=bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert named < 20 * len(texts) and peak < 30 * len(texts)
