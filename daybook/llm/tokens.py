@@ -4,11 +4,14 @@ Both tokenizers cut a text at white space before they merge anything, so a text
 where a single space or line feed stands between two other characters has the ids of its pieces
 one after the other. Pieces repeat, their ids are kept. Where white space stands in any other
 way, or a text holds the string of one of the tokenizer's added tokens, it is encoded whole.
+A piece that ends in punctuation after a letter has the ids of the two parts: both tokenizers cut
+there, too, and a word is then encoded once for all the marks that follow it.
 """
 
 from __future__ import annotations
 
 import os
+from string import punctuation
 
 import numpy as np
 
@@ -16,6 +19,16 @@ import numpy as np
 # goes, and pieces in use have moved on by then. It bounds memory, not results.
 KEPT = 800_000
 JOINED = 50
+_OTHER_SPACE = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]
+_ASCII_SPACE = sum(c < "\x80" for c in _OTHER_SPACE)
+_TWO_SPACES = ["  ", " \n", "\n ", "\n\n"]
+
+
+def _plainly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between two other characters."""
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _TWO_SPACES):
+        return False
+    return not any(c in text for c in (_OTHER_SPACE[:_ASCII_SPACE] if text.isascii() else _OTHER_SPACE))
 
 
 class WordIds:
@@ -42,10 +55,14 @@ class WordIds:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _bytes_of(self, word: str) -> int:
-        if self.lowers and not word.isascii():
-            word = "".join(c.lower() for c in word)
-        return len(word.encode()) + self.spaced
+    def _ends(self, joined: str) -> np.ndarray:
+        """How many bytes the ids of each word of a text and those before stand for; a space is before each word."""
+        if self.lowers and not joined.isascii():
+            joined = "".join(c.lower() for c in joined)
+        raw = np.frombuffer(joined.encode(), dtype=np.uint8)
+        spaces = np.flatnonzero(raw == 32)
+        ends = np.append(spaces[1:], len(raw))
+        return ends if self.spaced else ends - np.arange(1, len(ends) + 1)
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces. Those that follow a space are encoded many at a time and parted by
@@ -56,11 +73,12 @@ class WordIds:
             self.store[p] = (self.feed if p[0] == "\n" else b"") + np.array(e.ids, dtype="<u4").tobytes()
         after = [p for p in pieces if p[0] not in "\0\n"]
         groups = [after[i : i + JOINED] for i in range(0, len(after), JOINED)]
-        joined = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, joined, strict=True):
+        joined = [" " + " ".join(g) for g in groups]
+        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        for group, text, e in zip(groups, joined, encoded, strict=True):
             ids = np.array(e.ids, dtype="<u4")
             reach = np.cumsum(self.width[ids])
-            ends = np.cumsum([self._bytes_of(p) for p in group])
+            ends = self._ends(text)
             at = np.searchsorted(reach, ends)
             if len(ids) and reach[-1] == ends[-1] and (reach[at] == ends).all():
                 raw, cuts = ids.tobytes(), ((at + 1) * 4).tolist()
@@ -70,10 +88,35 @@ class WordIds:
                 for p in group:
                     self.store[p] = self._whole(" " + p)
 
+    def _add(self, pieces: set[str]) -> None:
+        """Put pieces into the store that are not there."""
+        store, older = self.store, self.older
+        wanted, heads, parted = set(), set(), []
+        for p in pieces:
+            if p in older:
+                store[p] = older[p]
+                continue
+            head = p.rstrip(punctuation)
+            # The cut is sure to be the tokenizer's after a letter that every version of Unicode knows
+            # and whose lower case has no mark of its own.
+            if len(head) < len(p) and head and head[-1] < "\u0250" and head[-1].lower().isalpha():
+                parted.append((p, head))
+                heads.add(head)
+            else:
+                wanted.add(p)
+        heads.update({"\0" + p[len(head) :] for p, head in parted})
+        for p in heads:
+            if p in older:
+                store[p] = older[p]
+            elif p not in store:
+                wanted.add(p)
+        self._learn(list(wanted))
+        for p, head in parted:
+            store[p] = store[head] + store["\0" + p[len(head) :]]
+
     def _pieces(self, text: str) -> list[str] | None:
         """The parts of a text that can be encoded apart; None if it has to be encoded whole."""
-        # Words joined by single spaces are the text again only if no other white space is in it.
-        if "\0" in text or " ".join(text.split()) != text.replace("\n", " ") or any(t in text for t in self.added):
+        if "\0" in text or not _plainly_spaced(text) or any(t in text for t in self.added):
             return None
         pieces = text.replace("\n", " \n").split(" ")
         pieces[0] = "\0" + pieces[0]
@@ -83,12 +126,15 @@ class WordIds:
         if len(self.store) > KEPT // 2:
             self.store, self.older = {}, self.store
         cut = [self._pieces(text) if text else [] for text in texts]
-        new = set().union(*[x for x in cut if x]).difference(self.store)
-        known = {piece: self.older[piece] for piece in new if piece in self.older}
-        self.store.update(known)
-        self._learn(list(new.difference(known)))
-        ids = self.store.__getitem__
-        return [self._whole(text) if x is None else b"".join(map(ids, x)) for text, x in zip(texts, cut, strict=True)]
+        # A piece is looked up once; only those not found are gathered, learnt and put in their places.
+        found = [list(map(self.store.get, x or ())) for x in cut]
+        gaps = [[i for i, x in enumerate(known) if x is None] if None in known else [] for known in found]
+        new = {x[i] for x, at in zip(cut, gaps, strict=True) for i in at}
+        self._add(new)
+        for x, ids, at in zip(cut, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self.store[x[i]]
+        return [self._whole(text) if x is None else b"".join(ids) for text, x, ids in zip(texts, cut, found, strict=True)]
 
 
 _LOADED: dict[str, WordIds] = {}

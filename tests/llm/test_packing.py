@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import defaultdict
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
@@ -75,6 +76,22 @@ def test_word_ids_equal_whole_encodings(name, document_rows):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_a_word_is_encoded_once_for_all_marks_after_it(name):
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    words, learnt = WordIds(public_tokenizers.path(name)), []
+    learn = words._learn
+    words._learn = lambda pieces: (learnt.extend(pieces), learn(pieces))
+    ends = ["", ",", "!?", "'", "...", "%%%$", "'s", "'s.", ".5", "\u0301", "\u0301.", "\u0338", "=\u0338", "\u2019,", "_", "\"\u00bb"]
+    heads = ["quequer", "don't", "\u00e9t\u00e9", "a1", "7", "x\u0250", "\u03a3", "\u00aa", "\u0130", "\ufb01", "e\u0301", "\u01c5", ".", "", "A.b"]
+    texts = [a + h + e + b for h in heads for e in ends for a in ("", "x ", "x\n") for b in ("", " y")]
+    texts = [t for t in texts if t] + [f"x {chr(c)}{mark} y" for c in range(33, 0x260) for mark in punctuation]
+    for _ in range(2):
+        got = words.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [p for p in learnt if p.startswith("quequer") and p.rstrip(",!?.%$_'") == "quequer"] == ["quequer"]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_any_white_space(name):
     """All texts of up to six of these characters; white space that only seems to balance."""
