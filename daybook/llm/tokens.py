@@ -6,6 +6,9 @@ one after the other. Pieces repeat, their ids are kept. Where white space stands
 way, or a text holds the string of one of the tokenizer's added tokens, it is encoded whole.
 A piece that ends in punctuation after a letter has the ids of the two parts: both tokenizers cut
 there, too, and a word is then encoded once for all the marks that follow it.
+
+Texts are cut many at a time, on their bytes, and Arrow tells the pieces apart, so that Python
+sees each distinct piece of a group of texts and not each occurrence.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import os
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
 
 # Pieces kept by a worker, in two generations: when the younger one has half of them the older one
 # goes, and pieces in use have moved on by then. It bounds memory, not results.
@@ -22,6 +26,12 @@ JOINED = 50
 _OTHER_SPACE = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]
 _ASCII_SPACE = sum(c < "\x80" for c in _OTHER_SPACE)
 _TWO_SPACES = ["  ", " \n", "\n ", "\n\n"]
+_GROUP = 4_000_000  # characters cut at a time; a longer text is a group of its own
+_TAIL = 8  # marks in a row up to which pieces are cut on bytes; longer ones when they are learnt
+_BYTES = np.arange(256)
+_CUT = (_BYTES == 32) | (_BYTES == 10)
+_MARK = np.isin(_BYTES, np.frombuffer(punctuation.encode(), dtype=np.uint8))
+_LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) & (_BYTES < 128)
 
 
 def _plainly_spaced(text: str) -> bool:
@@ -58,7 +68,7 @@ class WordIds:
     def _ends(self, joined: str) -> np.ndarray:
         """How many bytes the ids of each word of a text and those before stand for; a space is before each word."""
         if self.lowers and not joined.isascii():
-            joined = "".join(c.lower() for c in joined)
+            joined = joined.replace("\u03a3", "\u03c3").lower()  # the one letter that Python lowers by what is around it
         raw = np.frombuffer(joined.encode(), dtype=np.uint8)
         spaces = np.flatnonzero(raw == 32)
         ends = np.append(spaces[1:], len(raw))
@@ -114,27 +124,62 @@ class WordIds:
         for p, head in parted:
             store[p] = store[head] + store["\0" + p[len(head) :]]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The parts of a text that can be encoded apart; None if it has to be encoded whole."""
-        if "\0" in text or not _plainly_spaced(text) or any(t in text for t in self.added):
-            return None
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\0" + pieces[0]
-        return pieces
+    def _parts(self, text: str) -> bool:
+        """Whether a text's pieces can be encoded apart."""
+        return bool(text) and "\0" not in text and _plainly_spaced(text) and not any(t in text for t in self.added)
+
+    def _ids(self, raw: bytes, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(ids of texts that stand one after the other, the bytes before each text's and after the last's)."""
+        own = np.frombuffer(raw, dtype=np.uint8)
+        cut = _CUT[own]
+        cut[starts] = True
+        lo = np.flatnonzero(cut)
+        # Marks at the end of a piece are a piece of their own if an ASCII letter stands before them.
+        tail = hi = np.append(lo[1:], len(own))
+        on = np.arange(len(lo))
+        for _ in range(_TAIL):
+            on = on[(tail[on] > lo[on]) & _MARK[own[tail[on] - 1]]]
+            tail = tail.copy() if tail is hi else tail
+            tail[on] -= 1
+        cut[tail[(tail < hi) & (tail > lo) & _LETTER[own[tail - 1]]]] = True
+        at = np.flatnonzero(cut)
+        ends = np.append(at, len(own)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        names = [p[1:] if p[0] == " " else p if p[0] == "\n" else "\0" + p for p in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        found = list(map(self.store.get, names))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        self._add({names[i] for i in gaps})
+        for i in gaps:
+            found[i] = self.store[names[i]]
+        kept = pa.array(found, pa.large_binary()).take(pieces.indices)
+        reach = np.frombuffer(kept.buffers()[1], dtype=np.int64, count=len(at) + 1)
+        return kept.buffers()[2].to_pybytes(), reach[np.append(np.searchsorted(at, starts), len(at))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.store) > KEPT // 2:
-            self.store, self.older = {}, self.store
-        cut = [self._pieces(text) if text else [] for text in texts]
-        # A piece is looked up once; only those not found are gathered, learnt and put in their places.
-        found = [list(map(self.store.get, x or ())) for x in cut]
-        gaps = [[i for i, x in enumerate(known) if x is None] if None in known else [] for known in found]
-        new = {x[i] for x, at in zip(cut, gaps, strict=True) for i in at}
-        self._add(new)
-        for x, ids, at in zip(cut, found, gaps, strict=True):
-            for i in at:
-                ids[i] = self.store[x[i]]
-        return [self._whole(text) if x is None else b"".join(ids) for text, x, ids in zip(texts, cut, found, strict=True)]
+        out: list[bytes] = [b""] * len(texts)
+        group, size = [], 0
+
+        def finish():
+            if len(self.store) > KEPT // 2:
+                self.store, self.older = {}, self.store
+            raw = [texts[k].encode() for k in group]
+            length = np.cumsum([len(x) for x in raw])
+            ids, ends = self._ids(b"".join(raw), np.append(0, length[:-1]))
+            for k, lo, hi in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out[k] = ids[lo:hi]
+
+        for k, text in enumerate(texts):
+            if self._parts(text):
+                if group and size + len(text) > _GROUP:
+                    finish()
+                    group, size = [], 0
+                group.append(k)
+                size += len(text)
+            elif text:
+                out[k] = self._whole(text)
+        if group:
+            finish()
+        return out
 
 
 _LOADED: dict[str, WordIds] = {}

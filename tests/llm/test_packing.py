@@ -103,6 +103,30 @@ def test_any_white_space(name):
     assert [np.frombuffer(g, "<u4").tolist() for g in words.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_a_piece_is_looked_up_once_for_all_its_places(name):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    whole, words = Tokenizer.from_file(public_tokenizers.path(name)), WordIds(public_tokenizers.path(name))
+    words.store = Counted(words.store)
+    texts = ["\u00e9t\u00e9 some words, some words", "", "words, some\nwords!", "a\u03a3 \u03a3a \u03a3"] * 200
+    got = words.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert Counted.asked <= 12  # distinct pieces, of 2200
+
+
+def test_groups_of_texts_do_not_show(monkeypatch, document_rows):
+    texts = [r[1] for r in document_rows if r[1]]
+    want = WordIds(public_tokenizers.path(NAMES[0])).encode(texts)
+    monkeypatch.setattr(tokens, "_GROUP", 300)
+    assert WordIds(public_tokenizers.path(NAMES[0])).encode(texts) == want
+
+
 def test_a_full_store_changes_nothing(monkeypatch, document_rows):
     monkeypatch.setattr(tokens, "KEPT", 40)
     words, texts = WordIds(public_tokenizers.path(NAMES[0])), [r[1] for r in document_rows if r[1]]
