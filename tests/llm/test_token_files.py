@@ -56,6 +56,40 @@ def test_learns():
     assert len(codec.encode_blocks([tokens], 4)[0]) < 0.25 * 2 * len(tokens)
 
 
+def test_blocks_start_from_what_the_file_has_learnt():
+    phrase = np.random.default_rng(2).integers(0, 49_000, codec.BLOCK)
+    tokens = np.tile(phrase, 8).astype("<u4")  # nothing comes twice in a block
+    raw = codec.pack_file(0, [1], [len(tokens)], tokens, codec.BLOCK)
+    assert len(raw) < len(tokens) and codec.unpack_file(raw)[3].tobytes() == tokens.tobytes()
+
+
+def test_a_missed_id_is_one_step_of_the_coder(monkeypatch):
+    steps = []
+    put = codec._Encoder.put
+    monkeypatch.setattr(codec._Encoder, "put", lambda self, *rest: (steps.append(1), put(self, *rest))[1])
+    tokens = np.random.default_rng(3).permutation(np.arange(2000) % 100 * 400).astype("<u4")
+    raw = codec.pack_file(0, [1], [len(tokens)], tokens, 500)
+    assert len(steps) <= 500 and codec.unpack_file(raw)[3].tobytes() == tokens.tobytes()
+
+
+@pytest.mark.parametrize("top", [0, 1, 255, 65_535, 65_536, codec.DENSE if hasattr(codec, "DENSE") else 1 << 20, 2**32 - 1])
+def test_ids_around_each_width(top):
+    tokens = np.array([top, 0, top, top, 0, top // 2, top // 2, top] * 40, dtype="<u4")
+    assert codec.unpack_file(codec.pack_file(0, [1], [len(tokens)], tokens, 50))[3].tobytes() == tokens.tobytes()
+
+
+@pytest.mark.parametrize("back", [*range(1, 60), 400, 900])
+def test_damage_anywhere_after_the_documents_is_found(back):
+    rng = np.random.default_rng(back)
+    tokens = (rng.zipf(1.3, 3000) % 40_000).astype("<u4")
+    raw = bytearray(codec.pack_file(0, [1], [len(tokens)], tokens))
+    raw[-back] ^= 1 << int(rng.integers(8))
+    try:
+        assert codec.unpack_file(bytes(raw))[3].tobytes() == tokens.tobytes()  # a last bit may not matter
+    except ValueError as error:
+        assert "damaged" in str(error)
+
+
 def test_damage_is_found():
     raw = bytearray(codec.pack_file(0, [1], [5000], np.arange(5000, dtype="<u4")))
     raw[-700] ^= 0x40
