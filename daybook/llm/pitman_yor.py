@@ -49,9 +49,11 @@ from daybook.session import materialize, scratch_path
 
 SHARDS_A_PARTITION = 4
 # Texts are read so often, for a part of the shards each time; fewer times if there are few input partitions.
-TURNS = 3
+TURNS = 4
 # The first letters, which name keys in full, go to a part of the homes at a time.
 HALVES = 2
+# The shards of a turn meet the first answers in so many parts.
+PIECES = 3
 BLOCK_BYTES = 32_000_000
 BLOCK_TEXTS = 60_000
 ROUNDS = 2
@@ -182,8 +184,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1)
     """Ids and texts of about ``BLOCK_BYTES``, across batches."""
     ids, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), strict=True):
-            raw = b"" if t is None else t.encode("utf-8", "replace")
+        for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at).cast(pa.binary()).to_pylist(), strict=True):
+            raw = t or b""
             ids.append(i)
             texts.append(raw)
             size += len(raw) + 1
@@ -913,11 +915,15 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     settled = []
     for turn in range(turns):
-        answers = of_turn(_union(introduced), turn)
-        settled.append(kept.write(dishes[turn].groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(settle, place_schema), "dishes"))
+        pieces = []
+        for piece in range(PIECES if turns > 1 else 1):
+            some = F.expr(f"shard div {turns} % {PIECES if turns > 1 else 1} = {piece}")
+            left, answers = dishes[turn].filter(some), of_turn(_union(introduced), turn).filter(some)
+            pieces.append(kept.write(left.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(settle, place_schema), "dishes"))
+            del left, answers
+            release(spark)
+        settled.append(_union(pieces))
         kept.drop(everything[turn], f"/part={DISHES}")
-        del answers
-        release(spark)
     for x in introduced:
         kept.drop(x)
 
